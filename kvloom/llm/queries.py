@@ -5,15 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kvloom.llm import license_scan
+from kvloom.llm import fingerprints, license_scan, near_dedup
 from kvloom.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("notices")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_license_scan": op9_license_scan}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_license_scan": op9_license_scan,
+}
 ORACLE_SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle()}
