@@ -117,8 +117,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             i = j
 
 
-def words(run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each document's words (runs of ASCII letters, digits and bytes from 128, A-Z folded) and their offsets."""
+def word_spans(run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of ASCII letters, digits and bytes from 128), and each document's first word among them."""
     n = len(run)
     inside = _LETTER[run]
     edge = np.zeros(n + 1, dtype=bool)
@@ -131,11 +131,21 @@ def words(run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if both.any():
         cuts = np.sort(np.concatenate([cuts, np.repeat(np.unique(inner[both]), 2)]))
     start, end = cuts[0::2], cuts[1::2]
-    up, down = powers(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_FOLD[run] * up[:n], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashed, np.searchsorted(start, at, "left")
+    return start, end, np.searchsorted(start, at, "left")
+
+
+def span_hashes(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, A-Z folded."""
+    up, down = powers(len(run))
+    sums = np.zeros(len(run) + 1, dtype=np.uint64)
+    np.cumsum(_FOLD[run] * up[: len(run)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def words(run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each document's words and their offsets."""
+    start, end, first = word_spans(run, at)
+    return span_hashes(run, start, end), first
 
 
 def shingles(run: np.ndarray, at: np.ndarray, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import fingerprints, license_scan, near_dedup
+from kvloom.llm import fingerprints, license_scan, near_dedup, quality, toxicity
 from kvloom.llm.common import table
 
 
@@ -14,6 +14,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), toxicity.THRESHOLD)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), quality.THRESHOLD)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -24,6 +34,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op6_quality": op6_quality,
     "op8_fingerprints": op8_fingerprints,
     "op9_license_scan": op9_license_scan,
 }
