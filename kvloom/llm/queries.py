@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import fingerprints, license_scan, near_dedup, quality, toxicity
+from kvloom.llm import fingerprints, license_scan, mixing, near_dedup, packing, quality, sharding, toxicity
 from kvloom.llm.common import table
 
 
@@ -19,11 +19,23 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), toxicity.THRESHOLD)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), quality.THRESHOLD)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -35,7 +47,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
+    "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
     "op9_license_scan": op9_license_scan,
 }
