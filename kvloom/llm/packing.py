@@ -184,31 +184,23 @@ def improve(packed: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY,
         least = min(bins, key=lambda k: (sum(k), k))
         change(least, -1)
         giver = list(least)
-        undo: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
         under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (-sum(k), k))[-near:]
-        going = True
-        while giver and going:
-            going = False
-            for k in under:
-                if k not in bins:
-                    continue
-                left = capacity - sum(k)
-                out, back = _exchange(giver, k, left)
-                if out:
-                    for x in out:
-                        giver.remove(x)
-                    giver.extend(back)
-                    taken = list(k)
-                    for x in back:
-                        taken.remove(x)
-                    after = tuple(sorted(taken + out, reverse=True))
-                    change(k, -1)
-                    change(after, 1)
-                    undo.append((k, after))
-                    if sum(after) < capacity:
-                        under.append(after)
-                    going = True
-                    break
+        while giver:
+            found = max(((*_exchange(giver, k, capacity - sum(k)), k) for k in under if k in bins), key=lambda x: sum(x[0]) - sum(x[1]), default=([], [], ()))
+            out, back, k = found
+            if not out:
+                break
+            for x in out:
+                giver.remove(x)
+            giver.extend(back)
+            taken = list(k)
+            for x in back:
+                taken.remove(x)
+            after = tuple(sorted(taken + out, reverse=True))
+            change(k, -1)
+            change(after, 1)
+            if sum(after) < capacity:
+                under.append(after)
         if giver:
             change(tuple(sorted(giver, reverse=True)), 1)
             break
@@ -230,7 +222,7 @@ def _exchange(giver: list[int], taker: tuple[int, ...], left: int) -> tuple[list
         k = bisect.bisect_left(theirs, a - left)
         if k < len(theirs) and 0 < a - theirs[k] and a - theirs[k] > best[0]:
             best = (a - theirs[k], [a], [theirs[k]])
-    some = sorted(giver, reverse=True)[:40]
+    some = sorted(giver, reverse=True)[:12]
     for i, a in enumerate(some):
         for b in some[i + 1 :]:
             if a + b <= left and a + b > best[0]:
