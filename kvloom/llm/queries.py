@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import fingerprints, license_scan, mixing, near_dedup, packing, quality, sharding, toxicity
+from kvloom.llm import fingerprints, license_scan, mixing, near_dedup, neighbours, packing, quality, sharding, toxicity
 from kvloom.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("notices")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -53,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
     "op9_license_scan": op9_license_scan,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle()}
