@@ -51,6 +51,15 @@ def release(spark: SparkSession) -> None:
             return
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``cut`` that nothing will read again, and let Spark's cleaner find the shuffle files of finished jobs."""
+    spark = df.sparkSession
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
