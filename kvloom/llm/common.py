@@ -60,6 +60,22 @@ def discard(df: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits of the map of keys in ``told_apart``: a bound of what it broadcasts.
+BITS = 1 << 27
+
+
+def told_apart(df: DataFrame, keys: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that may have one of ``keys``, and rows that have none, so that these need not move to meet them.
+
+    A bitmap of hashed keys, two million words at most, is broadcast; past its capacity it only tells fewer rows apart.
+    """
+    at = f"pmod(xxhash64({', '.join(names)}), {BITS})"
+    bits = keys.select(F.expr(f"{at} div 64").alias("_w"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_set"))
+    told = df.join(F.broadcast(bits), F.expr(f"{at} div 64") == F.col("_w"), "left")
+    hit = F.coalesce(F.expr(f"getbit(_set, cast({at} % 64 as int)) = 1"), F.lit(False))
+    return told.filter(hit).drop("_w", "_set"), told.filter(~hit).drop("_w", "_set")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,9 +6,12 @@ mark within the interval. A document sees the points whose mark lies below its w
 weights; a slot keeps its earliest point, and two slots agree with a probability equal to the weighted Jaccard similarity. Points are made in
 order of time and a process is left as soon as its time passes the latest slot, so a document needs about n + m ln m points, not n times m.
 
-Candidates share a band of slots. Links are verified on the shingle multisets themselves. A bucket, however large, is never expanded into all its
-pairs: its members are compared with a few pivots a round, members already in one class are not compared, and a bucket is over when all its members
-that were no pivot are in one class. Any two members of a bucket are then in one class, or were compared: no link between classes is lost.
+Candidates share a band of slots. Links are verified on the shingle multisets themselves, kept as 32-bit
+hashes. A bucket, however large, is never expanded into all its
+pairs. Each text is first compared with one likely original. In buckets that are then in several classes, texts with so many elements of their own
+that no overlap can reach the threshold are set aside (the prefix filter's argument). The rest are compared with a few pivots a round, never inside
+one class, until all members that were no pivot are in one class. Any two members are then in one class, were compared, or cannot be alike: no link
+between classes is lost. Thirty bands of seven slots find a link at the threshold with a probability of 0.999.
 
 Defined results: a null text is empty; equal texts are one class, also texts without words, which are near nothing else; the class id is the least
 doc_id of the class (null only if all are null); an empty table gives an empty result; only the named id and text columns are read.
@@ -24,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kvloom.llm.common import cut, lists, mix, numbered, shingles, slices
+from kvloom.llm.common import cut, lists, mix, numbered, shingles, slices, told_apart
 
-SLOTS = 125
-BAND_ROWS = 5
+SLOTS = 210
+BAND_ROWS = 7
 THRESHOLD = 0.8
 _U = 2.0**-53
 
@@ -115,8 +118,8 @@ def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = cut(plain.mapInArrow(bands, "doc_id long, _t binary, bands array<long>"), "bands")
     texts = rows.groupBy("_t").agg(F.first("bands").alias("bands")).select("_t", F.explode("bands").alias("bucket"))
-    sizes = texts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("_t").alias("lead")).filter("n > 1")
-    members = cut(texts.join(sizes, "bucket").select("bucket", "_t", "lead"), "members")
+    sizes = texts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut(texts.join(sizes, "bucket"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in slices(batches, "_text"):
@@ -125,13 +128,14 @@ def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
             if not multiset:
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[repeat == 0]
                 values, first = values[repeat == 0], np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(first) - 1))])
-            yield pa.RecordBatch.from_arrays([part.column(0), lists(values.view(np.int64), first)], ["_t", "s"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists((values >> np.uint64(32)).astype(np.uint32).view(np.int32), first)], ["_t", "s"])
 
     wanted = members.select("_t").distinct()
     once = rows.groupBy("_t").agg(F.min("doc_id").alias("d")).join(wanted, "_t", "left_semi")
-    # one row of each wanted text: equal texts have one of equal least ids at least
-    bodies = plain.join(once.select(F.col("_t").alias("_u"), "d"), (F.col("_t") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("_t", "_text")
-    bags = cut(bodies.mapInArrow(sets, "_t binary, s array<long>").dropDuplicates(["_t"]), "bags")
+    # one row of each wanted text. A bitmap, of two million words at most, keeps other texts off the network; past its capacity it only saves less
+    likely, _ = told_apart(plain, wanted, ["_t"])
+    bodies = likely.join(once.select(F.col("_t").alias("_u"), "d"), (F.col("_t") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("_t", "_text")
+    bags = cut(bodies.mapInArrow(sets, "_t binary, s array<int>").dropDuplicates(["_t"]), "bags")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = bags.select(F.col("_t").alias("a"), F.col("s").alias("sa"))
@@ -141,40 +145,68 @@ def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
         both = both.filter(short >= F.lit(threshold) * long).withColumn("o", F.size(F.array_intersect("sa", "sb")))
         return both.filter(F.col("o") >= F.lit(threshold) * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b")
 
-    # first every text with one other only, the least that leads a bucket of its own
-    first = members.groupBy("_t").agg(F.min("lead").alias("b")).select(F.col("_t").alias("a"), "b").filter("a <> b")
+    # first every text with one other only: of the leaders of its buckets the one with the most company, likely what the others were copied from
+    company = members.groupBy("_t").agg(F.sum("n").alias("w"))
+    leads = members.join(company, "_t").groupBy("bucket").agg(F.max(F.struct("w", "_t")).alias("lead"))
+    first = members.join(leads, "bucket").groupBy("_t").agg(F.max(F.when(F.col("lead._t") != F.col("_t"), F.col("lead"))).alias("lead"))
+    first = first.filter("lead is not null").select(F.greatest("_t", "lead._t").alias("a"), F.least("_t", "lead._t").alias("b")).distinct()
     links = cut(verified(first), "links")
     comps = cut(components(links), "comps")
+
+    def placed(table: DataFrame) -> DataFrame:
+        return table.join(comps.withColumnRenamed("node", "_t"), "_t", "left").withColumn("comp", F.coalesce("comp", "_t"))
+
+    def in_open(table: DataFrame) -> DataFrame:
+        """The buckets whose members that were no pivot are in several classes."""
+        several = table.filter(~F.col("tried")).groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+        return table.join(several, "bucket", "left_semi")
+
+    left = cut(in_open(placed(members.select("bucket", "_t", F.lit(False).alias("tried")))).select("bucket", "_t"), "open")
+    others = left.groupBy("_t").agg(F.sort_array(F.collect_list("bucket")).alias("all"))  # as many as there are bands
+    # elements that only one of these texts has can be in no overlap: a text with too many of them has no link left to find
+    some = bags.join(left.select("_t").distinct(), "_t", "left_semi")
+    lone = some.select(F.explode("s").alias("e"), F.xxhash64("_t").alias("owner")).groupBy("e").agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
+    lone = lone.filter("n = 1").groupBy("owner").agg(F.count("*").alias("lone"))
+    facts = some.select("_t", F.size("s").alias("size"), F.xxhash64("_t").alias("owner")).join(lone, "owner", "left").select("_t", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
+    facts = facts.filter(F.col("shared") >= F.lit(threshold) * F.col("size"))
+    left = left.join(facts, "_t")
+    least = left.groupBy("bucket").agg(F.min("size").alias("least"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("size") + F.greatest(F.col("least"), F.lit(threshold) * F.col("size"))) - F.lit(1e-6)
+    left = cut(left.join(least, "bucket").filter(F.col("shared") >= need).select("bucket", "_t", "size", "shared", F.lit(False).alias("tried")), "left")
     pivots = 8
-    tried = None
     while True:
-        placed = members.select("bucket", "_t").join(comps.withColumnRenamed("node", "_t"), "_t", "left").withColumn("comp", F.coalesce("comp", "_t"))
-        if tried is not None:
-            placed = placed.join(tried, ["bucket", "_t"], "left").withColumn("tried", F.col("tried").isNotNull())
-        else:
-            placed = placed.withColumn("tried", F.lit(False))
-        still = placed.filter(~F.col("tried")).groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        still = placed.join(still, "bucket", "left_semi")
-        still = cut(still, "open")
-        if still.isEmpty():
+        left = cut(in_open(placed(left)), "left")
+        if left.isEmpty():
             break
-        # pivots: from the smallest classes of the bucket, and from its largest
-        held = still.groupBy("bucket", "comp").agg(F.count("*").alias("held"))
-        free = still.filter(~F.col("tried")).join(held, ["bucket", "comp"]).select("bucket", "_t", "comp", "held")
-        few = _first(free, pivots - pivots // 4, F.col("held"))
-        big = _first(free, pivots // 4, -F.col("held"))
-        chosen = cut(few.union(big).distinct(), "pivots")
-        pairs = still.select("bucket", F.col("_t").alias("x"), F.col("comp").alias("cx")).join(chosen.select("bucket", F.col("_t").alias("y"), F.col("comp").alias("cy")), "bucket").filter("cx <> cy")
-        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        found = verified(pairs)
-        tried = cut(chosen.select("bucket", "_t", F.lit(1).alias("tried")) if tried is None else tried.union(chosen.select("bucket", "_t", F.lit(1).alias("tried"))), "tried")
-        links = cut(links.union(found).distinct(), "links")
+        # pivots come from the smallest classes of a bucket; a pair that shares several buckets is made in the first
+        held = left.groupBy("bucket", "comp").agg(F.count("*").alias("held"))
+        free = left.filter(~F.col("tried")).join(held, ["bucket", "comp"])
+        chosen = cut(_first(free, pivots, F.col("held")), "pivots")
+        x = left.join(others, "_t").select("bucket", F.col("all").alias("ax"), F.col("_t").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"))
+        y = chosen.join(facts, "_t").join(others, "_t").select("bucket", F.col("all").alias("ay"), F.col("_t").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("shared").alias("sy"))
+        can = (F.least("sx", "sy") >= F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)) & (F.col("cx") != F.col("cy"))
+        can = can & (x["bucket"] == F.array_min(F.array_intersect("ax", "ay")))
+        pairs = x.join(y, (x["bucket"] == y["bucket"]) & can).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        links = cut(links.union(verified(pairs)).distinct(), "links")
         comps = cut(components(links), "comps")
+        done = chosen.select("bucket", "_t", F.lit(True).alias("now"))
+        left = left.join(done, ["bucket", "_t"], "left").select("bucket", "_t", "size", "shared", (F.col("tried") | F.col("now").isNotNull()).alias("tried"))
         pivots *= 4
     counted = links.select(F.col("a").alias("_t")).union(links.select(F.col("b").alias("_t"))).groupBy("_t").agg(F.count("*").alias("n_links"))
-    placed = rows.select("doc_id", "_t").join(comps.withColumnRenamed("node", "_t"), "_t", "left").join(counted, "_t", "left")
-    placed = placed.select("doc_id", F.coalesce("comp", "_t").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return placed.join(placed.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("doc_id", "class_id", "n_links")
+    out = placed(rows.select("doc_id", "_t")).join(counted, "_t", "left").select("doc_id", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.join(out.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one of each class: the least id's stay, of equal rows one. Rows without an id all stay."""
+    classes = near_duplicates(docs, doc_id, text)
+    counted = cut(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("class_id")).alias("goes")).filter("doc_id is not null and (n > 1 or goes)").select(F.col("doc_id").alias(doc_id), "goes"), "losers")
+    some, rest = told_apart(docs.withColumn(doc_id, F.col(doc_id).cast("long")), counted, [doc_id])
+    some = some.join(counted, doc_id, "left").filter(F.col("goes").isNull() | ~F.col("goes"))
+    single = some.filter(F.col("goes").isNull()).drop("goes").select(*docs.columns)
+    twins = some.filter(F.col("goes").isNotNull()).dropDuplicates([doc_id, text]).select(*docs.columns)
+    out = single.union(twins).union(rest.select(*docs.columns))
+    return out.withColumn(doc_id, F.col(doc_id).cast(docs.schema[doc_id].dataType))
 
 
 def _first(free: DataFrame, n: int, key) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import cut, discard, mix, powers, slices
+from kvloom.llm.common import cut, discard, mix, powers, slices, told_apart
 
 WINDOW = 200
 GRAM = 48
@@ -38,7 +38,6 @@ REACH = WINDOW - GRAM + 1
 MOST_ROWS, SHARD_BYTES = 20_000, 8 << 20
 _PLACE = np.uint64((1 << 26) - 1)
 _TABLE = np.random.default_rng(61).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BITS = 1 << 27
 _NO_ID = -(1 << 63)
 
 
@@ -178,7 +177,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     held = cut(held.select("h", "doc", F.expr("place & 65535").cast("int").alias("t"), F.shiftright("place", 32).cast("int").alias("at"), F.expr("place >> 24 & 255").cast("int").alias("far"), F.expr("place >> 16 & 255").cast("int").alias("near"), "nc", "whole", "asks"), "held")
     discard(anchors)
     border = held.filter("asks").groupBy("doc", "t").agg(F.collect_list(F.struct("h", "at", "far", "near", "nc")).alias("asked"))
-    asking, _ = _split(plain, border.select("doc", "t"))
+    asking, _ = told_apart(plain, border, ["doc", "t"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,15 +225,6 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     return plain, cut(spans, "spans")
 
 
-def _split(plain: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that may have one of ``keys``, and rows that have none: by a bitmap of two million words at most, so that others need not move."""
-    at = f"pmod(xxhash64(doc, t), {_BITS})"
-    bits = keys.select(F.expr(f"{at} div 64").alias("_w"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_set"))
-    told = plain.join(F.broadcast(bits), F.expr(f"{at} div 64") == F.col("_w"), "left")
-    hit = F.coalesce(F.expr(f"getbit(_set, cast({at} % 64 as int)) = 1"), F.lit(False))
-    return told.filter(hit).drop("_w", "_set"), told.filter(~hit).drop("_w", "_set")
-
-
 def _removed(size: int, spans: list | None) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes."""
     out: list[list[int]] = []
@@ -269,7 +259,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    some, rest = _split(plain, spans.select("doc", "t"))
+    some, rest = told_apart(plain, spans, ["doc", "t"])
     both = some.join(spans, ["doc", "t"], "left").select("doc", "_text", "spans").union(rest.select("doc", "_text", F.lit(None).cast("array<struct<first:int,last:int>>")))
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -280,7 +270,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     names, kinds = docs.columns, docs.schema
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.crc32(body).bitwiseAND(65535).cast("int").alias("t"))
-    some, rest = _split(keyed, spans.select("doc", "t"))
+    some, rest = told_apart(keyed, spans, ["doc", "t"])
 
     @F.pandas_udf("string")
     def without(body: pd.Series, found: pd.Series) -> pd.Series:
