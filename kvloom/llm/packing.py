@@ -29,7 +29,7 @@ from kvloom.llm.common import cut, ranked, slices
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-_CACHE = 500_000
+_CACHE = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 10]] = True
 _STOP = np.zeros(256, bool)
@@ -49,6 +49,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.path.sep in name else public_tokenizers.path(name))
+        self.mark = "<|endoftext|>"
+        self.end = self.tokenizer.token_to_id(self.mark)
         self.clear()
 
     def clear(self) -> None:
@@ -59,16 +61,27 @@ class Tokens:
         self.used = 0
 
     def _add(self, parts: list[bytes]) -> None:
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)):
-            ids, k = found.ids, len(self.known)
+        """Parts are given to the tokenizer in one string each few thousand, between end marks; a mark parts what stands beside it."""
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            if any(b"<|" in p for p in some):
+                ids = [x for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False) for x in (*e.ids, -1)]
+                ids, end = np.array(ids, np.int64), -1
+            else:
+                ids = np.array(self.tokenizer.encode(self.mark.join([*map(bytes.decode, some), ""]), add_special_tokens=False).ids, np.int64)
+                end = self.end
+            marks = np.flatnonzero(ids == end)
+            length = np.diff(marks, prepend=-1) - 1
+            k, n, ids = len(self.known), len(some), ids[ids != end]
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k == len(self.start):
+            while k + n > len(self.start):
                 self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
             self.ids[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
+            self.length[k : k + n] = length
+            self.start[k : k + n] = self.used + np.cumsum(length) - length
             self.used += len(ids)
-            self.known[part] = k
+            self.known.update(zip(some, range(k, k + n)))
 
     def of(self, run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's ended by the id 0, and the documents' offsets."""
@@ -105,11 +118,21 @@ class Tokens:
         return out, out_at
 
 
+_workers: dict[str, Tokens] = {}
+
+
+def tokens_of(name: str) -> Tokens:
+    """This worker's tokenizer; its cache serves all tasks that the worker runs."""
+    if name not in _workers:
+        _workers[name] = Tokens(name)
+    return _workers[name]
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         for rows, data, at in slices(batches, "_text"):
             ids, first = tokens.of(data, at)
             raw = ids.astype("<u4").tobytes()
@@ -184,7 +207,7 @@ def improve(packed: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY,
         least = min(bins, key=lambda k: (sum(k), k))
         change(least, -1)
         giver = list(least)
-        under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (-sum(k), k))[-near:]
+        under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (sum(k), k))[:near]
         while giver:
             found = max(((*_exchange(giver, k, capacity - sum(k)), k) for k in under if k in bins), key=lambda x: sum(x[0]) - sum(x[1]), default=([], [], ()))
             out, back, k = found
