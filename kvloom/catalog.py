@@ -1,6 +1,899 @@
-"""Every store query over the driver's tables, with its SQL twin."""
+"""Every store query over the driver's tables, with its SQL twin. Names begin with the row of the survey's inventory that they show."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kvloom.functions import clocks, keyfilters, scalars
+from kvloom.model import LENSES, POSTINGS
+from kvloom.operators import crdt, folds, index, reconcile, sync
+from kvloom.operators.index import IndexQuery
+from kvloom.plans import mapreduce
+from kvloom.plans.jobs import Inputs, Job, Phase, parse
+from kvloom.sources import store
+from kvloom.streaming import queues
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; without ``sql`` only its rows are compared."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def objects(spark, sf, name) -> DataFrame:
+    return LENSES[name].objects(LENSES[name].read(spark, sf))
+
+
+def postings(spark, sf, name) -> DataFrame:
+    return LENSES[name].postings(LENSES[name].read(spark, sf))
+
+
+def keystore(spark, sf, name) -> DataFrame:
+    return LENSES[name].keystore(LENSES[name].read(spark, sf))
+
+
+def keys(spark, sf, name) -> DataFrame:
+    return objects(spark, sf, name).select("bucket_type", "bucket", "key")
+
+
+def job_tables(spark, sf, *names) -> mapreduce.Tables:
+    """Objects and postings of several buckets as one store."""
+    rows = [objects(spark, sf, n) for n in names]
+    posts = [postings(spark, sf, n) for n in names if LENSES[n].indexes]
+    every, index_rows = rows[0], posts[0] if posts else spark.createDataFrame([], POSTINGS)
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    for p in posts[1:]:
+        index_rows = index_rows.unionByName(p)
+    return mapreduce.Tables(spark, every, index_rows)
+
+
+# ------------------------------------------------------------------ stores
+
+@query("s7_multi_store", "SELECT 'orders' AS bucket, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part")
+def _(spark, sf):
+    return store.MultiStore({n: _View(objects(spark, sf, n)) for n in ("orders", "customer", "part")}, "part", {}, {"orders": "orders", "customer": "customer"}).objects().groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+class _View:
+    """A read-only store over rows."""
+
+    indexes = True
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def objects(self) -> DataFrame:
+        return self.rows
+
+    def write(self, objects: DataFrame) -> None:
+        raise NotImplementedError
+
+    def drop(self) -> None:
+        raise NotImplementedError
+
+
+@query("s8_prefix_routing", "SELECT CASE WHEN c_mktsegment LIKE 'AUTO%' THEN 'a' WHEN c_mktsegment LIKE 'BUILD%' THEN 'b' WHEN c_mktsegment = 'MACHINERY' THEN 'm' ELSE 'rest' END AS store, count(*) AS n FROM customer GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "customer").groupBy(store.routed(F.col("c_mktsegment"), "rest", {"AUTO": "a", "BUILD": "b"}, {"MACHINERY": "m"}).alias("store")).agg(F.count("*").alias("n"))
+
+
+@query("s3_time_to_live", "SELECT event_id FROM events WHERE epoch(ts)::BIGINT + 86400 * 15 >= (SELECT max(epoch(ts)::BIGINT) FROM events)")
+def _(spark, sf):
+    rows = table(spark, sf, "events")
+    newest = rows.agg(F.max("ts")).first()[0]
+    return store.alive(rows, 86400 * 15, F.lit(newest), "ts").select("event_id")
+
+
+@query("s9_synthetic", "SELECT range::VARCHAR AS key, left(md5(range::VARCHAR), 16) AS value FROM range(1000)")
+def _(spark, sf):
+    return store.synthetic(spark, 1000).select("key", F.col("siblings")[0]["value"].alias("value"))
+
+
+@query("s10_get", "SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status FROM orders WHERE o_orderkey = 77")
+def _(spark, sf):
+    return store.get(objects(spark, sf, "orders"), "orders", "77").select("key", F.get_json_object(F.col("siblings")[0]["value"], "$.o_orderstatus").alias("status"))
+
+
+@query("s11_head", "SELECT o_orderkey::VARCHAR AS key, epoch(o_orderdate)::BIGINT AS modified, o_orderstatus = 'P' AS deleted FROM orders WHERE o_custkey < 20")
+def _(spark, sf):
+    o = store.heads(objects(spark, sf, "orders"))
+    return o.filter(F.element_at(F.col("siblings")[0]["indexes"], "o_custkey_int")[0].cast("bigint") < 20).select("key", F.unix_timestamp(F.col("siblings")[0]["last_mod"]).alias("modified"), F.col("siblings")[0]["deleted"].alias("deleted"))
+
+
+@query("s12_put_batch", "SELECT user_id::VARCHAR AS key, max_by(event_type, (ts, event_type)) AS value FROM events GROUP BY user_id")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.lit("users").alias("bucket"), F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), "ts")
+    half = F.pmod(F.crc32(F.col("key")), F.lit(2)) == 0
+    return queues.newest_wins(e.filter(half), e.filter(~half)).select("key", "value")
+
+
+@query("s13_write_once", "SELECT l_orderkey, l_linenumber, min_by(l_partkey, sha1(l_partkey || '-' || l_suppkey)) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("body", F.concat_ws("-", "l_partkey", "l_suppkey"))
+    return reconcile.write_once(rows, ["l_orderkey", "l_linenumber"], "body").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("s14_s15_delete_and_compact", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderkey % 10 = 3)")
+def _(spark, sf):
+    o = objects(spark, sf, "orders")
+    gone = store.tombstoned(o, o.filter(F.col("key").cast("bigint") % 10 == 3).select("bucket_type", "bucket", "key", "clock"))
+    return store.compacted(gone, "immediate").select("key")
+
+
+@query("s16_list_keys", "SELECT o_orderkey::VARCHAR AS key FROM orders")
+def _(spark, sf):
+    return store.list_keys(objects(spark, sf, "orders"), "orders")
+
+
+@query("s17_list_keys_filtered", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey BETWEEN 100 AND 900 AND ends_with(o_orderkey::VARCHAR, '7')")
+def _(spark, sf):
+    return store.list_keys(objects(spark, sf, "orders"), "orders", [["and", [["string_to_int"], ["between", 100, 900]], [["ends_with", "7"]]]])
+
+
+@query("s18_filter_keys", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE length(o_orderkey::VARCHAR) = 3")
+def _(spark, sf):
+    return store.list_keys(objects(spark, sf, "orders"), "orders").filter(F.length("key") == 3)
+
+
+@query("s19_s20_list_buckets", "SELECT unnest(['orders', 'customer', 'nation']) AS bucket")
+def _(spark, sf):
+    return store.list_buckets(keys(spark, sf, "orders").union(keys(spark, sf, "customer")).union(keys(spark, sf, "nation")))
+
+
+@query("s21_fold_keys", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
+def _(spark, sf):
+    return objects(spark, sf, "customer").groupBy(F.get_json_object(F.col("siblings")[0]["value"], "$.c_nationkey").cast("int").alias("c_nationkey")).agg(F.count("*").alias("n"))
+
+
+@query("s22_fold_heads", "SELECT count(*) AS n, sum(o_custkey % 3 + 1)::BIGINT AS b FROM orders")
+def _(spark, sf):
+    return keystore(spark, sf, "orders").agg(F.count("*").alias("n"), F.sum(F.element_at("clock", "b")).alias("b"))
+
+
+@query("s23_fold_postings", "SELECT 'orders' AS bucket, f AS field, count(*) AS n FROM orders, (SELECT unnest(['o_custkey_int', 'o_orderpriority_bin', 'o_orderstatus_bin']) AS f) GROUP BY f")
+def _(spark, sf):
+    return store.fold_postings(postings(spark, sf, "orders"))
+
+
+@query("s24_bucket_objects", "SELECT p_partkey::VARCHAR AS key, p_brand AS brand FROM part WHERE p_partkey::VARCHAR >= '10' AND p_partkey::VARCHAR < '20'")
+def _(spark, sf):
+    return store.fold_objects(objects(spark, sf, "part"), "part", "10", "20").select("key", F.get_json_object(F.col("siblings")[0]["value"], "$.p_brand").alias("brand"))
+
+
+@query("s26_owner", "SELECT key, (('0x' || left(md5('orders/' || key), 8))::BIGINT % 64)::INT AS owner FROM (SELECT o_orderkey::VARCHAR AS key FROM orders)")
+def _(spark, sf):
+    return keys(spark, sf, "orders").select("key", scalars.segment(F.col("bucket"), F.col("key"), 64, True).alias("owner"))
+
+
+@query("s27_object_json", "SELECT s_suppkey::VARCHAR AS key, s_name AS name, 1 AS n FROM supplier")
+def _(spark, sf):
+    back = store.from_json(store.to_json(objects(spark, sf, "supplier")))
+    return back.select("key", F.get_json_object(F.col("siblings")[0]["value"], "$.s_name").alias("name"), F.size("siblings").alias("n"))
+
+
+@query("s30_link_headers", "SELECT o_orderkey, 'customer' AS bucket, o_custkey::VARCHAR AS key, 'placed by' AS tag FROM orders")
+def _(spark, sf):
+    header = F.concat(F.lit('</buckets/orders>; rel="up", </buckets/customer/keys/'), F.col("o_custkey"), F.lit('>; tag="placed%20by"'))
+    each = table(spark, sf, "orders").select("o_orderkey", F.explode(scalars.link_targets(header)).alias("l")).select("o_orderkey", "l.*")
+    return each.filter("key is not null")
+
+
+@query("s31_choose_sibling", "SELECT l_orderkey || '-' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def _(spark, sf):
+    return store.choose(objects(spark, sf, "lineitem")).filter("value is null").select("key", F.size("vtags").cast("bigint").alias("n"))
+
+
+@query("s33_d19_metrics", "SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS highest FROM events GROUP BY 1")
+def _(spark, sf):
+    return queues.metrics(table(spark, sf, "events"), ["event_type"], "value")
+
+
+# ------------------------------------------------------------------ secondary indexes
+
+@query("k1_key_range", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey::VARCHAR > '100' AND o_orderkey::VARCHAR <= '200'")
+def _(spark, sf):
+    return index.lookup(IndexQuery.between("orders", "$key", "100", "200", start_inclusive=False), None, keys(spark, sf, "orders"))
+
+
+@query("k2_bucket", "SELECT p_partkey::VARCHAR AS key FROM part")
+def _(spark, sf):
+    return index.lookup(IndexQuery("part", "$bucket", end="0"), None, keys(spark, sf, "part").unionByName(keys(spark, sf, "region")))
+
+
+@query("k3_eq_int", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE o_custkey = 42")
+def _(spark, sf):
+    return index.lookup(IndexQuery.eq("orders", "o_custkey_int", 42), postings(spark, sf, "orders"), keys(spark, sf, "orders"))
+
+
+@query("k3_eq_bin", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE o_orderstatus = 'F'")
+def _(spark, sf):
+    return index.lookup(IndexQuery.eq("orders", "o_orderstatus_bin", "F"), postings(spark, sf, "orders"), keys(spark, sf, "orders"))
+
+
+@query("k4_range_exclusive_start", "SELECT o_custkey AS term, o_orderkey::VARCHAR AS key FROM orders WHERE o_custkey BETWEEN 10 AND 60 AND (o_custkey > 10 OR o_orderkey::VARCHAR > '5')")
+def _(spark, sf):
+    return index.lookup(IndexQuery.between("orders", "o_custkey_int", 10, 60, start_inclusive=False, start_key="5", end_inclusive=False), postings(spark, sf, "orders"), keys(spark, sf, "orders"))
+
+
+@query("k5_term_regex", "SELECT o_orderpriority AS term, o_orderkey::VARCHAR AS key FROM orders WHERE regexp_matches(o_orderpriority, '(URG|NOT)')")
+def _(spark, sf):
+    return index.lookup(IndexQuery.between("orders", "o_orderpriority_bin", "0", "~", term_regex="(URG|NOT)"), postings(spark, sf, "orders"), keys(spark, sf, "orders"))
+
+
+@query("k5_key_regex", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE regexp_matches(o_orderkey::VARCHAR, '^[0-9]*77$')")
+def _(spark, sf):
+    return index.lookup(IndexQuery.between("orders", "$key", "0", "~", term_regex="^[0-9]*77$"), None, keys(spark, sf, "orders"))
+
+
+@query("k7_return_body", "SELECT o_orderkey::VARCHAR AS key, o_totalprice::DOUBLE AS price FROM orders WHERE o_orderkey::VARCHAR BETWEEN '10' AND '11'")
+def _(spark, sf):
+    o = index.lookup(IndexQuery.between("orders", "$key", "10", "11", return_body=True), None, objects(spark, sf, "orders"))
+    return o.select("key", F.get_json_object(F.col("siblings")[0]["value"], "$.o_totalprice").cast("double").alias("price"))
+
+
+@query("k8_max_results", "SELECT o_custkey AS term, o_orderkey::VARCHAR AS key FROM orders WHERE o_custkey >= 20 ORDER BY o_custkey, o_orderkey::VARCHAR LIMIT 25")
+def _(spark, sf):
+    return index.lookup(IndexQuery.between("orders", "o_custkey_int", 20, None, max_results=25), postings(spark, sf, "orders"), keys(spark, sf, "orders"))
+
+
+@query("k9_sorted", "SELECT o_custkey AS term, o_orderkey::VARCHAR AS key FROM orders WHERE o_custkey BETWEEN 5 AND 9")
+def _(spark, sf):
+    return index.lookup(IndexQuery.between("orders", "o_custkey_int", 5, 9, pagination_sort=True), postings(spark, sf, "orders"), keys(spark, sf, "orders"))
+
+
+@query("k10_second_page", "SELECT o_custkey AS term, o_orderkey::VARCHAR AS key FROM orders WHERE o_custkey BETWEEN 5 AND 90 ORDER BY o_custkey, o_orderkey::VARCHAR LIMIT 10 OFFSET 10")
+def _(spark, sf):
+    q = IndexQuery.between("orders", "o_custkey_int", 5, 90, max_results=10)
+    p, k = postings(spark, sf, "orders"), keys(spark, sf, "orders")
+    _, more = index.page(q, p, k)
+    return index.lookup(index.resume(q, more), p, k)
+
+
+@query("k14_duplicates_stay", "SELECT l_returnflag AS term, l_orderkey || '-' || l_linenumber AS key FROM lineitem WHERE l_returnflag BETWEEN 'A' AND 'N'")
+def _(spark, sf):
+    return index.lookup(IndexQuery.between("lineitem", "l_returnflag_bin", "A", "N"), postings(spark, sf, "lineitem"), keys(spark, sf, "orders"))
+
+
+@query("k15_merge_sorted", "SELECT s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey FROM customer")
+def _(spark, sf):
+    return index.merge_sorted([table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")), table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))], ["k"])
+
+
+@query("k16_one_replica", "SELECT DISTINCT user_id, min(event_id) OVER (PARTITION BY user_id) AS event_id FROM events")
+def _(spark, sf):
+    return index.one_replica(table(spark, sf, "events"), ["user_id"], "event_id").select("user_id", "event_id")
+
+
+@query("k19_parse_entries", """WITH e AS (SELECT p_partkey AS k, unnest(['p_size_int', 'P_Brand_bin', 'bad']) AS f, unnest([p_size::VARCHAR, p_brand, 'x']) AS v FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'p_size_int', CASE WHEN p_partkey % 3 = 0 THEN p_size || '.5' ELSE p_size::VARCHAR END FROM part WHERE p_partkey % 2 = 1)
+SELECT k, list_aggregate(list_sort(list_distinct(list(err))), 'string_agg', ';') AS errors, count(*) FILTER (err IS NULL)::INT AS sound FROM (SELECT k, CASE WHEN lower(f) LIKE '%\\_int' ESCAPE '\\' AND NOT regexp_matches(v, '^[+-]?[0-9]+$') THEN 'field_parsing_failed:' || lower(f) || ':' || v WHEN f = 'bad' THEN 'unknown_field_type:bad' END AS err FROM e) GROUP BY k""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    even = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.explode(F.expr("array(struct('p_size_int' as field, cast(p_size as string) as value), struct('P_Brand_bin' as field, p_brand as value), struct('bad' as field, 'x' as value))")).alias("e")).select("k", "e.field", "e.value")
+    odd = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("k"), F.lit("p_size_int").alias("field"), F.expr("if(p_partkey % 3 = 0, concat(p_size, '.5'), cast(p_size as string))").alias("value"))
+    every = even.union(odd)
+    sound = every.groupBy("k").agg(F.sum(F.expr("if((lower(field) = 'p_size_int' and value rlike '^[+-]?[0-9]+$') or lower(field) = 'p_brand_bin', 1, 0)")).cast("int").alias("sound"))
+    return index.parsed(every, ["k"]).join(sound, "k").select("k", F.nullif(F.array_join("errors", ";"), F.lit("")).alias("errors"), "sound")
+
+
+@query("k20_index_diff", "SELECT o_orderkey, op, e AS entry FROM (SELECT o_orderkey, 'add' AS op, 'p=' || o_orderpriority AS e FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'remove', 's=' || o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)")
+def _(spark, sf):
+    old = F.expr("array(concat('s=', o_orderstatus), concat('c=', o_custkey))")
+    new = F.expr("if(o_orderkey % 2 = 0, array(concat('p=', o_orderpriority), concat('c=', o_custkey)), array(concat('s=', o_orderstatus), concat('c=', o_custkey)))")
+    return table(spark, sf, "orders").select("o_orderkey", F.inline(index.spec_diff(old, new)))
+
+
+@query("k21_x8_d20_index_repair", "SELECT 'add' AS op, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey % 50 = 1 UNION ALL SELECT 'remove', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 50 = 2")
+def _(spark, sf):
+    p = postings(spark, sf, "orders").filter("field = 'o_custkey_int'")
+    k = F.col("key").cast("bigint") % 50
+    stored = p.filter(k != 1).unionByName(p.filter(k == 2).withColumn("term_int", -F.col("term_int")))
+    return index.index_repairs(stored, p).select("op", "key")
+
+
+# ------------------------------------------------------------------ key filters, each over the keys of a table
+
+def _filter(name: str, source: str, expression: str, chain: list, sql: str) -> None:
+    @query(name, f"SELECT v FROM (SELECT {sql.split('|', 1)[0]} AS v FROM {source}) WHERE {sql.split('|', 1)[1]}")
+    def _(spark, sf, source=source, expression=expression, chain=chain):
+        return keyfilters.keep(table(spark, sf, source).select(F.expr(expression).alias("v")), chain, "v")
+
+
+_filter("f1_int_to_string", "orders", "o_orderkey", [["int_to_string"], ["starts_with", "12"]], "o_orderkey|starts_with(v::VARCHAR, '12')")
+_filter("f2_string_to_int", "orders", "cast(o_orderkey as string)", [["string_to_int"], ["less_than", 50]], "o_orderkey::VARCHAR|v::BIGINT < 50")
+_filter("f4_string_to_float", "orders", "concat(o_custkey, '.5')", [["string_to_float"], ["greater_than", 20.5]], "concat(o_custkey, '.5')|v::DOUBLE > 20.5")
+_filter("f5_to_upper", "nation", "n_name", [["to_upper"], ["matches", "^[A-I]"]], "n_name|regexp_matches(upper(v), '^[A-I]')")
+_filter("f6_to_lower", "part", "p_brand", [["to_lower"], ["eq", "brand#12"]], "p_brand|lower(v) = 'brand#12'")
+_filter("f7_tokenize", "events", "concat('a//', user_id, '-', event_type)", [["tokenize", "/-", 3], ["eq", "click"]], "concat('a//', user_id, '-', event_type)|list_filter(regexp_split_to_array(v, '[/-]'), lambda t: t <> '')[3] = 'click'")
+_filter("f8_urldecode", "nation", "concat('a%20', n_name, '+b')", [["urldecode"], ["matches", "^a [A-M].* b$"]], "concat('a%20', n_name, '+b')|regexp_matches(url_decode(replace(v, '+', ' ')), '^a [A-M].* b$')")
+_filter("f9_greater_than", "orders", "o_custkey", [["greater_than", 50]], "o_custkey|v > 50")
+_filter("f10_less_than", "orders", "o_custkey", [["less_than", 50]], "o_custkey|v < 50")
+_filter("f11_greater_than_eq", "orders", "o_custkey", [["greater_than_eq", 50]], "o_custkey|v >= 50")
+_filter("f12_less_than_eq", "orders", "o_custkey", [["less_than_eq", 50]], "o_custkey|v <= 50")
+_filter("f13_between", "orders", "o_custkey", [["between", 20, 30]], "o_custkey|v BETWEEN 20 AND 30")
+_filter("f13_between_exclusive", "orders", "o_custkey", [["between", 20, 30, False]], "o_custkey|v > 20 AND v < 30")
+_filter("f14_matches", "customer", "c_name", [["matches", "1.*3"]], "c_name|regexp_matches(v, '1.*3')")
+_filter("f15_neq", "orders", "o_orderstatus", [["neq", "F"]], "o_orderstatus|v <> 'F'")
+_filter("f16_eq", "orders", "o_orderstatus", [["eq", "F"]], "o_orderstatus|v = 'F'")
+_filter("f17_set_member", "orders", "o_custkey", [["set_member", "7", 9, "11"]], "o_custkey|v::VARCHAR IN ('7', '9', '11')")
+_filter("f18_similar_to", "nation", "lower(n_name)", [["similar_to", "iran", 2]], "lower(n_name)|levenshtein(v, 'iran') <= 2")
+_filter("f19_starts_with", "customer", "c_mktsegment", [["starts_with", "AU"]], "c_mktsegment|starts_with(v, 'AU')")
+_filter("f20_ends_with", "customer", "c_mktsegment", [["ends_with", "Y"]], "c_mktsegment|ends_with(v, 'Y')")
+_filter("f21_and", "customer", "c_mktsegment", [["and", [["to_lower"], ["starts_with", "m"]], [["ends_with", "Y"]]]], "c_mktsegment|starts_with(lower(v), 'm') AND ends_with(v, 'Y')")
+_filter("f22_or", "customer", "c_mktsegment", [["or", [["starts_with", "A"]], [["ends_with", "G"]]]], "c_mktsegment|starts_with(v, 'A') OR ends_with(v, 'G')")
+_filter("f23_not", "customer", "c_mktsegment", [["not", [["starts_with", "A"]]]], "c_mktsegment|NOT starts_with(v, 'A')")
+
+
+@query("f3_float_to_string")
+def _(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", keyfilters.compiled([["float_to_string"]], F.col("o_totalprice")).alias("v"))
+
+
+@query("f25_text_forms", "SELECT o_orderkey, o_orderkey::VARCHAR AS v FROM orders")
+def _(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", keyfilters.compiled([["int_to_string"]], F.col("o_orderkey")).alias("v"))
+
+
+# ------------------------------------------------------------------ jobs
+
+def _prices(rows: DataFrame, field: str = "$.o_totalprice") -> DataFrame:
+    return rows.select(F.get_json_object("value", field).alias("value"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Total price of one customer group's orders: a filtered bucket, values mapped, a sum reduced."""
+    tables = job_tables(spark, sf, "orders")
+    values = mapreduce.run(tables, Job(Inputs("filtered", "orders", chain=(("string_to_int",), ("between", 1, 5000))), (Phase("map", "map_object_value", "filter_notfound", True),)))
+    return mapreduce.reduce_sum(_prices(values), None)
+
+
+@query("i3_m4_m16_filtered_sum", "SELECT sum(o_totalprice)::DOUBLE AS value FROM orders WHERE o_orderkey BETWEEN 1 AND 5000")
+def _(spark, sf):
+    return flagship(spark, sf)
+
+
+@query("i1_m1_m6_keys", "SELECT CASE WHEN o_orderkey IS NULL THEN 'not_found:' || coalesce(d, '') ELSE o_orderstatus END AS value FROM (VALUES ('1', 'a'), ('2', 'b'), ('1', 'a'), ('nosuch', 'c'), ('none', NULL)) t(k, d) LEFT JOIN orders ON o_orderkey::VARCHAR = k")
+def _(spark, sf):
+    job = parse({"inputs": [["orders", "1", "a"], ["orders", "2", "b"], ["orders", "1", "a"], ["orders", "nosuch", "c"], ["orders", "none"]], "query": [{"map": {"language": "erlang", "module": "any", "function": "map_object_value", "arg": "include_keydata"}}]})
+    got = mapreduce.run(job_tables(spark, sf, "orders"), job)
+    return got.select(F.coalesce(F.get_json_object(F.when(F.col("value").startswith("{"), F.col("value")), "$.o_orderstatus"), "value").alias("value"))
+
+
+@query("i2_m19_count_bucket", "SELECT count(*) AS value FROM customer")
+def _(spark, sf):
+    return mapreduce.run(job_tables(spark, sf, "customer"), Job(Inputs("bucket", "customer"), (Phase("reduce", "reduce_count_inputs", keep=True),)))
+
+
+@query("i4_index_eq", "SELECT c_name AS value FROM customer WHERE c_nationkey = 7")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "customer"), Job(Inputs("index", "customer", field="c_nationkey_int", start=7, end=7), (Phase("map", "map_object_value", keep=True),)))
+    return got.select(F.get_json_object("value", "$.c_name").alias("value"))
+
+
+@query("i5_index_range", "SELECT sum(c_nationkey)::DOUBLE AS value FROM customer WHERE c_nationkey BETWEEN 3 AND 12")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "customer"), Job(Inputs("index", "customer", field="c_nationkey_int", start=3, end=12), (Phase("map", "map_object_value", keep=True),)))
+    return mapreduce.reduce_sum(_prices(got, "$.c_nationkey"), None)
+
+
+@query("i7_generator", "SELECT n_name AS value FROM nation WHERE n_nationkey < 10")
+def _(spark, sf):
+    tables = job_tables(spark, sf, "nation")
+    tables.generators["made:first"] = lambda spark, n: spark.range(n).select(F.lit("nation").alias("bucket"), F.col("id").cast("string").alias("key"))
+    got = mapreduce.run(tables, parse({"inputs": {"module": "made", "function": "first", "arg": 10}, "query": [{"map": {"language": "erlang", "module": "any", "function": "map_object_value"}}]}))
+    return got.select(F.get_json_object("value", "$.n_name").alias("value"))
+
+
+@query("m2_python_map", "SELECT s_suppkey || ':' || (s_nationkey + 1) AS value FROM supplier")
+def _(spark, sf):
+    import json
+
+    def f(r, keydata, arg):
+        return [f"{r['key']}:{json.loads(r['values'][0])['s_nationkey'] + arg}"]
+
+    return mapreduce.run(job_tables(spark, sf, "supplier"), Job(Inputs("bucket", "supplier"), (Phase("map", f, 1, True),)))
+
+
+@query("m7_m8_link", "SELECT DISTINCT c_name AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey BETWEEN 1 AND 300")
+def _(spark, sf):
+    phases = (Phase("link", bucket="customer", tag="placed_by"), Phase("reduce", "reduce_set_union"), Phase("map", "map_object_value", "filter_notfound", True))
+    got = mapreduce.run(job_tables(spark, sf, "orders", "customer"), Job(Inputs("filtered", "orders", chain=(("string_to_int",), ("between", 1, 300))), phases))
+    return got.select(F.get_json_object("value", "$.c_name").alias("value"))
+
+
+@query("m9_x3_walk", "SELECT DISTINCT 'region' AS bucket, n_regionkey::VARCHAR AS key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 100")
+def _(spark, sf):
+    every = objects(spark, sf, "orders").unionByName(objects(spark, sf, "customer")).unionByName(objects(spark, sf, "nation")).unionByName(objects(spark, sf, "region"))
+    start = keys(spark, sf, "orders").filter(F.col("key").cast("bigint") < 100).select("bucket", "key")
+    (last,) = sync.walk(sync.links(every), every, start, [("customer", "_", None), ("_", "lives_in", None), ("region", "_", None)])
+    return last
+
+
+@query("m10_m11_python_reduce", "SELECT sum(n_regionkey)::VARCHAR AS value FROM nation")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "nation"), Job(Inputs("bucket", "nation"), (Phase("map", "map_object_value", keep=True),)))
+    return mapreduce.python_reduce(_prices(got, "$.n_regionkey"), lambda xs, arg: [sum(map(int, xs))], None)
+
+
+@query("m12_empty_sum", "SELECT 0.0::DOUBLE AS value")
+def _(spark, sf):
+    return mapreduce.reduce_sum(_prices(mapreduce.run(job_tables(spark, sf, "nation"), Job(Inputs("bucket", "nosuch"), (Phase("map", "map_object_value", keep=True),)))), None)
+
+
+@query("m14_identity", "SELECT 'nation' AS bucket, n_nationkey::VARCHAR AS key FROM nation")
+def _(spark, sf):
+    return mapreduce.run(job_tables(spark, sf, "nation"), Job(Inputs("bucket", "nation"), (Phase("reduce", "reduce_identity", keep=True),))).select("bucket", "key")
+
+
+@query("m15_set_union", "SELECT DISTINCT o_orderpriority AS value FROM orders")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "orders"), Job(Inputs("bucket", "orders"), (Phase("map", "map_object_value", keep=True),)))
+    return mapreduce.reduce_set_union(_prices(got, "$.o_orderpriority"), None)
+
+
+@query("m17_plist_sum", "SELECT o_orderstatus AS name, sum(o_totalprice)::DOUBLE AS value FROM orders GROUP BY 1")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "orders"), Job(Inputs("bucket", "orders"), (Phase("map", "map_object_value", keep=True),)))
+    return mapreduce.reduce_plist_sum(got.select(F.get_json_object("value", "$.o_orderstatus").alias("name"), F.get_json_object("value", "$.o_totalprice").cast("double").alias("value")), None)
+
+
+@query("m18_sort", "SELECT n_name AS value FROM nation")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "nation"), Job(Inputs("bucket", "nation"), (Phase("map", "map_object_value", keep=True),)))
+    return mapreduce.reduce_sort(_prices(got, "$.n_name"), None)
+
+
+@query("m20_string_to_integer", "SELECT s_nationkey::BIGINT AS value FROM supplier")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "supplier"), Job(Inputs("bucket", "supplier"), (Phase("map", "map_object_value", keep=True),)))
+    return mapreduce.reduce_string_to_integer(_prices(got, "$.s_nationkey"), None)
+
+
+@query("m21_m22_two_kept", "SELECT 'map' AS phase, count(*) AS n FROM nation UNION ALL SELECT 'reduce', 1")
+def _(spark, sf):
+    a, b = mapreduce.run(job_tables(spark, sf, "nation"), Job(Inputs("bucket", "nation"), (Phase("map", "map_object_value", keep=True), Phase("reduce", "reduceLimit", 2, True))))
+    return a.agg(F.count("*").alias("n")).select(F.lit("map").alias("phase"), "n").union(b.agg(F.count("*").alias("n")).select(F.lit("reduce"), "n"))
+
+
+@query("m23_none_kept", "SELECT n_name AS value FROM nation WHERE false")
+def _(spark, sf):
+    return mapreduce.run(job_tables(spark, sf, "nation"), Job(Inputs("bucket", "nation"), (Phase("map", "map_object_value"),)))
+
+
+@query("m24_no_phases", "SELECT 'default' AS bucket_type, 'region' AS bucket, r_regionkey::VARCHAR AS key FROM region")
+def _(spark, sf):
+    return mapreduce.run(job_tables(spark, sf, "region"), Job(Inputs("bucket", "region"))).select("bucket_type", "bucket", "key")
+
+
+@query("j4_map_by_fields", "SELECT c_custkey::VARCHAR AS key FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
+def _(spark, sf):
+    return mapreduce.run(job_tables(spark, sf, "customer"), Job(Inputs("bucket", "customer"), (Phase("map", "mapByFields", {"c_nationkey": 3, "c_mktsegment": "BUILDING"}, True),))).select("key")
+
+
+@query("j2_j3_values", "SELECT r_name AS value FROM region")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "region"), Job(Inputs("bucket", "region"), (Phase("map", "mapValuesJson", keep=True),)))
+    return got.select(F.element_at("value", "r_name").alias("value"))
+
+
+@query("j6_min", "SELECT min(o_totalprice)::DOUBLE AS value FROM orders")
+def _(spark, sf):
+    return mapreduce.reduce_min(table(spark, sf, "orders").select(F.col("o_totalprice").alias("value")), None)
+
+
+@query("j6_max_of_nothing", "SELECT o_totalprice::DOUBLE AS value FROM orders WHERE false")
+def _(spark, sf):
+    return mapreduce.reduce_max(table(spark, sf, "orders").filter("false").select(F.col("o_totalprice").alias("value")), None)
+
+
+@query("j8_numeric_sort_j9_limit", "SELECT o_orderkey::VARCHAR AS value FROM orders ORDER BY o_orderkey LIMIT 9")
+def _(spark, sf):
+    return mapreduce.reduce_limit(mapreduce.reduce_numeric_sort(keys(spark, sf, "orders").select(F.col("key").alias("value")), None), 10)
+
+
+@query("j10_slice", "SELECT n_name AS value FROM nation ORDER BY n_name LIMIT 5 OFFSET 3")
+def _(spark, sf):
+    return mapreduce.reduce_slice(table(spark, sf, "nation").select(F.col("n_name").alias("value")), (3, 8))
+
+
+@query("j10_slice_past_the_end", "SELECT r_name AS value FROM region")
+def _(spark, sf):
+    return mapreduce.reduce_slice(table(spark, sf, "region").select(F.col("r_name").alias("value")), (3, 80))
+
+
+# ------------------------------------------------------------------ folds
+
+_CLOCK = "'a=' || (o_orderkey % 5 + 1) || ',b=' || (o_custkey % 3 + 1)"
+_SCOPE = folds.Scope("orders", ("1", "5"), portable=True, tree_size="xsmall")
+_IN = "o_orderkey::VARCHAR BETWEEN '1' AND '5'"
+_SEGMENT = "(('0x' || left(md5('orders/' || o_orderkey), 8))::BIGINT % 4096)::INT"
+_HASH = f"('0x' || left(md5('orders/' || o_orderkey || '@' || {_CLOCK}), 15))::BIGINT"
+_TREE = f"SELECT {_SEGMENT} // 1024 AS branch, {_SEGMENT} AS segment, bit_xor({_HASH}) AS seg_hash FROM orders WHERE {_IN} GROUP BY 1, 2"
+
+
+@query("a1_root", f"SELECT branch, bit_xor(seg_hash) AS branch_hash FROM ({_TREE}) GROUP BY 1")
+def _(spark, sf):
+    return folds.root(folds.tree(keystore(spark, sf, "orders"), _SCOPE))
+
+
+@query("a2_branches", f"SELECT * FROM ({_TREE}) WHERE branch IN (0, 2)")
+def _(spark, sf):
+    return folds.branches(folds.tree(keystore(spark, sf, "orders"), _SCOPE), [0, 2])
+
+
+@query("a3_clocks_of_segments", f"SELECT 'orders' AS bucket, o_orderkey::VARCHAR AS key, {_CLOCK} AS clock FROM orders WHERE {_SEGMENT} IN (1, 2, 3, 500) AND {_IN}")
+def _(spark, sf):
+    return folds.fetch_clocks(keystore(spark, sf, "orders"), folds.Scope("orders", ("1", "5"), segments=(1, 2, 3, 500), portable=True, tree_size="xsmall"))
+
+
+@query("a4_tree_range", _TREE)
+def _(spark, sf):
+    return folds.tree(keystore(spark, sf, "orders"), _SCOPE)
+
+
+@query("a5_rehash", _TREE.replace("md5('orders/' || o_orderkey || '@'", "md5('100:orders/' || o_orderkey || '@'"))
+def _(spark, sf):
+    return folds.tree(keystore(spark, sf, "orders"), _SCOPE, 100)
+
+
+@query("a6_clocks", f"SELECT 'orders' AS bucket, o_orderkey::VARCHAR AS key, {_CLOCK} AS clock FROM orders WHERE {_IN}")
+def _(spark, sf):
+    return folds.fetch_clocks(keystore(spark, sf, "orders"), _SCOPE)
+
+
+@query("a7_a8_dispatched", f"SELECT count(*) AS n FROM orders WHERE {_IN}")
+def _(spark, sf):
+    return folds.fold("repl_keys_range", keystore(spark, sf, "orders"), _SCOPE)
+
+
+@query("a9_siblings", "SELECT 'lineitem' AS bucket, l_orderkey || '-' || l_linenumber AS key, count(*)::INT AS sib_count FROM lineitem GROUP BY 2 HAVING count(*) > 2")
+def _(spark, sf):
+    return folds.find_keys(keystore(spark, sf, "lineitem"), folds.Scope("lineitem"), sibling_count=2)
+
+
+_SIZE = "(strlen('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') + strlen(n_nationkey::VARCHAR) + 6)::BIGINT"
+
+
+@query("a10_sizes", f"SELECT 'nation' AS bucket, n_nationkey::VARCHAR AS key, {_SIZE} AS size FROM nation WHERE {_SIZE} > 45")
+def _(spark, sf):
+    return folds.find_keys(keystore(spark, sf, "nation"), folds.Scope("nation"), object_size=45)
+
+
+@query("a11_a16_a17_stats", f"""WITH k AS (SELECT {_SIZE} AS size FROM nation) SELECT 'total_count' AS stat, 0 AS id, count(*)::BIGINT AS n FROM k UNION ALL SELECT 'total_size', 0, sum(size)::BIGINT FROM k
+UNION ALL SELECT 'sizes', (length(size::VARCHAR) - 1)::INT, count(*) FROM k GROUP BY 2 UNION ALL SELECT 'siblings', 1, count(*) FROM k""")
+def _(spark, sf):
+    return folds.object_stats(keystore(spark, sf, "nation"), folds.Scope("nation"))
+
+
+@query("a11_sibling_histogram", "SELECT n AS id, count(*)::BIGINT AS n FROM (SELECT count(*)::INT AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY 1")
+def _(spark, sf):
+    return folds.object_stats(keystore(spark, sf, "lineitem"), folds.Scope("lineitem")).filter("stat = 'siblings'").select("id", "n")
+
+
+@query("a12_tombs", f"SELECT 'orders' AS bucket, o_orderkey::VARCHAR AS key, ('0x' || left(md5({_CLOCK}), 15))::BIGINT AS delete_hash FROM orders WHERE o_orderstatus = 'P' AND {_IN}")
+def _(spark, sf):
+    return folds.find_tombs(keystore(spark, sf, "orders"), _SCOPE)
+
+
+@query("a13_count_tombs", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'")
+def _(spark, sf):
+    return folds.reap_tombs(keystore(spark, sf, "orders"), folds.Scope("orders"))
+
+
+@query("a13_reap", f"SELECT o_orderkey::VARCHAR AS key FROM orders WHERE NOT (o_orderstatus = 'P' AND {_IN})")
+def _(spark, sf):
+    k = keystore(spark, sf, "orders")
+    return folds.reaped(k, folds.find_tombs(k, _SCOPE), True).select("key")
+
+
+@query("a14_count_live", "SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'P' AND epoch(o_orderdate) BETWEEN 800000000 AND 850000000")
+def _(spark, sf):
+    return folds.erase_keys(keystore(spark, sf, "orders"), folds.Scope("orders", modified=(800_000_000, 850_000_000)))
+
+
+@query("a14_d21_erase", "SELECT o_orderkey::VARCHAR AS key, o_orderstatus = 'P' OR o_orderkey % 4 = 1 AS is_tombstone FROM orders")
+def _(spark, sf):
+    k = keystore(spark, sf, "orders")
+    at = F.col("key").cast("bigint") % 4
+    wanted = k.filter(at <= 1).select("bucket", "key", F.when(at == 1, clocks.text(F.col("clock"))).otherwise("stale").alias("clock"))
+    return folds.erased(k, wanted).select("key", "is_tombstone")
+
+
+@query("a15_buckets", "SELECT unnest(['orders', 'lineitem']) AS bucket")
+def _(spark, sf):
+    return folds.list_buckets(keystore(spark, sf, "orders").unionByName(keystore(spark, sf, "lineitem")))
+
+
+@query("a18_encoded", "SELECT '{\"bucket\":\"orders\"}' AS json")
+def _(spark, sf):
+    return folds.encoded(folds.list_buckets(keystore(spark, sf, "orders")))
+
+
+# ------------------------------------------------------------------ reconciliation: a user's events as three replicas of one key
+
+_REPLICAS = "SELECT * FROM (SELECT user_id, event_id % 3 AS r, event_type AS actor, count(*) AS n FROM events GROUP BY ALL) WHERE (user_id + length(actor) + r) % 4 <> 0"
+
+
+def replicas(spark, sf) -> DataFrame:
+    """(bucket, key, replica, clock, value, last_mod, deleted): clocks count a replica's events by type, some types unseen."""
+    e = table(spark, sf, "events").withColumn("replica", (F.col("event_id") % 3).cast("int"))
+    n = e.groupBy("user_id", "replica", "event_type").agg(F.count("*").alias("n")).filter((F.col("user_id") + F.length("event_type") + F.col("replica")) % 4 != 0)
+    held = n.groupBy("user_id", "replica").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("clock"))
+    return held.select(F.lit("users").alias("bucket"), F.col("user_id").cast("string").alias("key"), "replica", "clock", F.concat(F.lit("v"), F.col("replica")).alias("value"), F.timestamp_seconds(F.col("replica") * 100).alias("last_mod"), (F.col("replica") == 2).alias("deleted"))
+
+
+_PAIRS = f"""WITH c AS ({_REPLICAS}), k AS (SELECT DISTINCT user_id, r FROM c),
+p AS (SELECT a.user_id, a.r AS x, b.r AS y FROM k a JOIN k b ON a.user_id = b.user_id AND a.r <> b.r),
+d AS (SELECT p.user_id, x, y, NOT EXISTS (SELECT 1 FROM c bx LEFT JOIN c ay ON ay.user_id = bx.user_id AND ay.actor = bx.actor AND ay.r = p.y WHERE bx.user_id = p.user_id AND bx.r = p.x AND coalesce(ay.n, 0) < bx.n) AS y_over_x FROM p),
+dom AS (SELECT a.user_id, a.x FROM d a JOIN d b ON a.user_id = b.user_id AND a.x = b.y AND a.y = b.x WHERE a.y_over_x AND NOT b.y_over_x)"""
+
+
+@query("r1_x6_undominated", f"{_PAIRS} SELECT user_id::VARCHAR AS key, r::INT AS replica FROM k WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.user_id = k.user_id AND dom.x = k.r)")
+def _(spark, sf):
+    return reconcile.remove_dominated(replicas(spark, sf)).select("key", "replica")
+
+
+@query("r2_r4_siblings", f"{_PAIRS} SELECT user_id::VARCHAR AS key, string_agg('v' || r, ',' ORDER BY r) AS vals FROM k WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.user_id = k.user_id AND dom.x = k.r) GROUP BY user_id")
+def _(spark, sf):
+    return reconcile.reconcile(replicas(spark, sf)).select("key", F.array_join(F.transform("siblings", lambda s: s["value"]), ",").alias("vals"))
+
+
+@query("r2_merged_clock", f"WITH c AS ({_REPLICAS}) SELECT user_id::VARCHAR AS key, string_agg(actor || '=' || n, ',' ORDER BY actor) AS clock FROM (SELECT user_id, actor, max(n) AS n FROM c GROUP BY ALL) GROUP BY user_id")
+def _(spark, sf):
+    return reconcile.reconcile(replicas(spark, sf)).select("key", clocks.text(F.col("clock")).alias("clock"))
+
+
+@query("r3_r9_most_recent", f"{_PAIRS} SELECT user_id::VARCHAR AS key, 'v' || max(r) AS value FROM k WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.user_id = k.user_id AND dom.x = k.r) GROUP BY user_id")
+def _(spark, sf):
+    return reconcile.reconcile(replicas(spark, sf), allow_mult=False).select("key", "value")
+
+
+@query("r3_newest_row", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_returnflag = 'R', l_partkey) AS n FROM lineitem) WHERE n = 1")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", (F.col("l_returnflag") == "R").alias("gone"))
+    return reconcile.newest(rows, ["l_orderkey", "l_linenumber"], "l_shipdate", "gone", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("r5_r6_puts_in_order")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.lit("users").alias("bucket"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("actor"), F.create_map(F.lit("view"), F.col("event_id") % 5).alias("context"), F.col("event_id").cast("string").alias("value"))
+    return reconcile.apply_puts(e)
+
+
+@query("r6_last_write_wins", "SELECT user_id::VARCHAR AS key, max(event_id)::VARCHAR AS vals FROM events GROUP BY user_id")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.lit("users").alias("bucket"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("actor"), F.create_map(F.lit("view"), F.lit(0).cast("bigint")).alias("context"), F.col("event_id").cast("string").alias("value"))
+    return reconcile.apply_puts(e, last_write_wins=True).select("key", "vals")
+
+
+_REPLY = "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'notfound' WHEN 'purchase' THEN 'tombstone' ELSE 'ok' END"
+
+
+@query("r12_get_decision", f"""SELECT request, CASE WHEN oks >= 2 AND poks >= 1 THEN CASE WHEN vals > 0 THEN 'ok' ELSE 'notfound' END WHEN absent > 0 AND vals = 0 AND failed = 0 THEN 'notfound' WHEN poks < 1 AND oks >= 2 THEN 'pr_unsatisfied' ELSE 'r_unsatisfied' END AS outcome
+FROM (SELECT event_id // 3 AS request, count(*) FILTER (s <> 'error') AS oks, count(*) FILTER (s <> 'error' AND event_id % 3 = 0) AS poks, count(*) FILTER (s = 'ok') AS vals, count(*) FILTER (s IN ('notfound', 'tombstone')) AS absent, count(*) FILTER (s = 'error') AS failed FROM (SELECT event_id, {_REPLY} AS s FROM events) GROUP BY 1)""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 3).alias("request"), F.expr(_REPLY).alias("status"), (F.col("event_id") % 3 == 0).alias("primary"))
+    return reconcile.get_decision(e, pr=1)
+
+
+@query("r13_x9_read_repair", f"{_PAIRS}, m AS (SELECT user_id, actor, max(n) AS n FROM c GROUP BY ALL) SELECT user_id::VARCHAR AS key, r::INT AS replica, CASE WHEN k2 IS NULL THEN 'notfound' ELSE 'outofdate' END AS action FROM (SELECT u.user_id, u.r, k.r AS k2, EXISTS (SELECT 1 FROM m LEFT JOIN c ON c.user_id = m.user_id AND c.actor = m.actor AND c.r = u.r WHERE m.user_id = u.user_id AND coalesce(c.n, 0) < m.n) AS behind FROM (SELECT DISTINCT k.user_id, t.r FROM k, (VALUES (0), (1), (2)) t(r)) u LEFT JOIN k ON k.user_id = u.user_id AND k.r = u.r) WHERE k2 IS NULL OR behind")
+def _(spark, sf):
+    rows = replicas(spark, sf)
+    expected = rows.select("bucket", "key").distinct().select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("replica"))
+    return reconcile.read_repair(rows, expected).select("key", "replica", "action")
+
+
+@query("r14_r15_put_decision", """SELECT request, CASE WHEN ws >= 2 AND dws >= 1 AND pws >= 1 AND nodes >= 1 THEN 'ok' WHEN ws >= 2 AND dws >= 1 AND pws < 1 THEN 'pw_unsatisfied' WHEN fails > 2 THEN 'pw_unsatisfied' ELSE 'w_unsatisfied' END AS outcome
+FROM (SELECT event_id // 3 AS request, count(*) FILTER (k IN ('w', 'dw')) AS ws, count(*) FILTER (k = 'dw') AS dws, count(*) FILTER (k = 'dw' AND event_id % 3 = 0) AS pws, count(*) FILTER (k = 'fail') AS fails, count(DISTINCT CASE WHEN k = 'dw' THEN user_id % 4 END) AS nodes FROM (SELECT *, CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'w' ELSE 'dw' END AS k FROM events) GROUP BY 1)""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 3).alias("request"), F.expr("case event_type when 'error' then 'fail' when 'view' then 'w' else 'dw' end").alias("kind"), (F.col("event_id") % 3 == 0).alias("primary"), (F.col("user_id") % 4).alias("node"))
+    return reconcile.put_decision(e, pw=1, node_confirms=1)
+
+
+@query("r15_node_diversity", "SELECT event_id // 3 AS request, count(DISTINCT CASE WHEN event_type <> 'error' THEN user_id % 4 END) AS nodes FROM events GROUP BY 1")
+def _(spark, sf):
+    return reconcile.node_diversity(table(spark, sf, "events").select(F.floor(F.col("event_id") / 3).alias("request"), F.expr("if(event_type = 'error', 'fail', 'dw')").alias("kind"), (F.col("user_id") % 4).alias("node")))
+
+
+@query("r16_clock_hash", f"SELECT o_orderkey::VARCHAR AS key, ('0x' || left(md5({_CLOCK}), 15))::BIGINT AS h FROM orders")
+def _(spark, sf):
+    return keystore(spark, sf, "orders").select("key", clocks.hashed(F.col("clock"), portable=True).alias("h"))
+
+
+@query("r17_final_delete", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE NOT (o_orderkey % 6 = 1)")
+def _(spark, sf):
+    k = keystore(spark, sf, "orders").withColumn("delete_hash", clocks.hashed(F.col("clock")))
+    at = F.col("key").cast("bigint") % 6
+    return reconcile.final_delete(k, k.filter(at <= 1).withColumn("delete_hash", F.when(at == 1, F.col("delete_hash")).otherwise(0))).select("key")
+
+
+@query("r18_approximate_size", "SELECT r_regionkey::VARCHAR AS key, (6 + strlen(r_regionkey::VARCHAR) + 8 + strlen('{\"r_name\":\"' || r_name || '\"}'))::BIGINT AS approx_size FROM region")
+def _(spark, sf):
+    return reconcile.approximate_size(objects(spark, sf, "region")).select("key", "approx_size")
+
+
+@query("r20_conditional_put", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey % 2 = 0")
+def _(spark, sf):
+    k = keystore(spark, sf, "orders").select("bucket", "key", "clock")
+    stale = F.when(F.col("key").cast("bigint") % 2 == 0, F.col("clock")).otherwise(clocks.increment(F.col("clock"), F.lit("z")))
+    return reconcile.conditional(k, k.withColumn("clock", stale), if_not_modified=True).select("key")
+
+
+# ------------------------------------------------------------------ convergent data types
+
+@query("c1_c2_gcounter", "SELECT user_id, sum(n)::BIGINT AS value FROM (SELECT user_id, event_type, max(n) AS n FROM (SELECT user_id, event_id % 3 AS r, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL) GROUP BY user_id")
+def _(spark, sf):
+    states = table(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 3).alias("r"), F.col("event_type").alias("actor")).agg(F.count("*").alias("cnt"))
+    return crdt.gcounter_value(states, ["user_id"])
+
+
+@query("c3_pncounter", "SELECT user_id, (sum(p) - sum(n))::BIGINT AS value FROM (SELECT user_id, event_type, max(p) AS p, max(n) AS n FROM (SELECT user_id, event_id % 2 AS r, event_type, count(*) FILTER (value >= 50) AS p, count(*) FILTER (value < 50) AS n FROM events GROUP BY ALL) GROUP BY ALL) GROUP BY user_id")
+def _(spark, sf):
+    states = table(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 2).alias("r"), F.col("event_type").alias("actor")).agg(F.count_if(F.col("value") >= 50).alias("p"), F.count_if(F.col("value") < 50).alias("n"))
+    return crdt.pncounter_value(states, ["user_id"])
+
+
+@query("c3_c14_counter_operations", "SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'error' THEN -1 ELSE 0 END)::BIGINT AS value FROM events GROUP BY 1")
+def _(spark, sf):
+    amount = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "error", -1).otherwise(0)
+    return crdt.counter_ops(table(spark, sf, "events").select("user_id", amount.alias("amount")), ["user_id"])
+
+
+@query("c5_c7_hll")
+def _(spark, sf):
+    s = crdt.hll_sketch(table(spark, sf, "events"), ["event_type"], "user_id")
+    return s.select("event_type", crdt.hll_value(F.col("sketch")).alias("value"))
+
+
+@query("c6_hll_merge_of_few", "SELECT c_mktsegment, count(DISTINCT c_nationkey) AS value FROM customer GROUP BY 1")
+def _(spark, sf):
+    s = crdt.hll_sketch(table(spark, sf, "customer").withColumn("r", F.col("c_custkey") % 3), ["c_mktsegment", "r"], "c_nationkey")
+    return crdt.hll_merge(s, ["c_mktsegment"]).select("c_mktsegment", crdt.hll_value(F.col("sketch")).alias("value"))
+
+
+@query("c8_c9_hll_reduce")
+def _(spark, sf):
+    s = crdt.hll_reduce(spark, crdt.hll_sketch(table(spark, sf, "events"), ["event_type"], "user_id"), 8, 14)
+    return s.select("event_type", crdt.hll_bytes(F.col("sketch")).alias("bytes"))
+
+
+@query("c10_orset", """WITH a AS (SELECT DISTINCT user_id, event_type AS element, 'n' || event_id % 3 AS actor, event_id AS cnt FROM events WHERE value >= 30), r AS (SELECT user_id, event_type AS element, 'n' || event_id % 3 AS actor, max(event_id) AS seen FROM events WHERE value < 30 GROUP BY ALL)
+SELECT DISTINCT a.user_id, a.element FROM a LEFT JOIN r USING (user_id, element, actor) WHERE coalesce(seen, 0) < cnt""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.col("event_type").alias("element"), F.concat(F.lit("n"), F.col("event_id") % 3).alias("actor"), F.col("event_id").alias("cnt"), F.when(F.col("value") >= 30, "add").otherwise("remove").alias("op"))
+    return crdt.orset_fold(e.withColumn("context", F.create_map("actor", "cnt")), ["user_id"])
+
+
+@query("c11_gset", "SELECT DISTINCT user_id, event_type AS element FROM events")
+def _(spark, sf):
+    return crdt.gset_merge(table(spark, sf, "events").select("user_id", F.col("event_type").alias("element")), ["user_id"])
+
+
+@query("c12_map", """SELECT user_id, 'visits' AS field, 'counter' AS kind, count(*)::VARCHAR AS value FROM events WHERE event_type = 'view' GROUP BY user_id
+UNION ALL SELECT user_id, 'last', 'register', max_by(event_id, (epoch_us(ts), event_id::VARCHAR))::VARCHAR FROM events WHERE event_type = 'click' GROUP BY user_id
+UNION ALL SELECT user_id, 'kinds', 'gset', string_agg(DISTINCT (event_id % 4)::VARCHAR, ',' ORDER BY (event_id % 4)::VARCHAR) FROM events WHERE event_type = 'purchase' GROUP BY user_id""")
+def _(spark, sf):
+    e = table(spark, sf, "events").filter("event_type in ('view', 'click', 'purchase')")
+    kind = F.expr("case event_type when 'view' then 'counter' when 'click' then 'register' else 'gset' end")
+    ops = e.select("user_id", F.expr("case event_type when 'view' then 'visits' when 'click' then 'last' else 'kinds' end").alias("field"), kind.alias("kind"), F.lit("update").alias("op"), F.lit(1).cast("bigint").alias("amount"), (F.col("event_id") % 4).cast("string").alias("element"), F.col("event_id").cast("string").alias("value"), "ts")
+    return crdt.map_fold(ops, ["user_id"])
+
+
+@query("c13_register", "SELECT user_id, max_by(event_type, (epoch_us(ts), event_type)) AS value FROM events GROUP BY user_id")
+def _(spark, sf):
+    return crdt.register_fold(table(spark, sf, "events").select("user_id", F.col("event_type").alias("value"), "ts"), ["user_id"])
+
+
+@query("c13_flag", "SELECT user_id, max_by(value >= 50, (epoch_us(ts), value >= 50)) AS value FROM events GROUP BY user_id")
+def _(spark, sf):
+    return crdt.flag_fold(table(spark, sf, "events").select("user_id", F.when(F.col("value") >= 50, "enable").otherwise("disable").alias("op"), "ts"), ["user_id"])
+
+
+@query("c17_empty_defaults", "SELECT n_nationkey, coalesce(n, 0) AS value FROM nation LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1) ON k = n_nationkey")
+def _(spark, sf):
+    poor = table(spark, sf, "customer").filter("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    both = table(spark, sf, "nation").join(poor, F.col("k") == F.col("n_nationkey"), "left")
+    return both.select("n_nationkey", crdt.value_or_empty(F.col("n"), "counter").alias("value"))
+
+
+@query("c19_fetch_json", "SELECT user_id, '{\"type\":\"counter\",\"value\":' || count(*) || '}' AS json FROM events GROUP BY 1")
+def _(spark, sf):
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("value")).withColumn("context", F.lit(""))
+    return crdt.fetch_response(rows, "counter", context="context").select("user_id", "json")
+
+
+# ------------------------------------------------------------------ comparing stores, queues
+
+@query("x1_left_fetch", "SELECT k AS key, o_orderkey IS NOT NULL AS found FROM (SELECT unnest(['1', '1', '2', 'zz']) AS k) LEFT JOIN orders ON o_orderkey::VARCHAR = k")
+def _(spark, sf):
+    few = spark.createDataFrame([("orders", k) for k in ("1", "1", "2", "zz")], "bucket string, key string")
+    return sync.fetch(few, objects(spark, sf, "orders")).select("key", F.col("siblings").isNotNull().alias("found"))
+
+
+@query("x2_links", "SELECT l_orderkey || '-' || l_linenumber AS key, tag, to_key FROM (SELECT DISTINCT l_orderkey, l_linenumber, unnest(['order', 'part', 'supplier']) AS tag, unnest([l_orderkey, l_partkey, l_suppkey])::VARCHAR AS to_key FROM lineitem)")
+def _(spark, sf):
+    return sync.links(objects(spark, sf, "lineitem")).select("key", "tag", "to_key")
+
+
+_DIFF = "SELECT o_orderkey AS k, o_orderkey % 5 + 1 AS a, o_custkey % 3 + 1 AS b FROM orders"
+
+
+def _two_stores(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A store and a copy in which some keys are ahead, some behind, some concurrent and some missing."""
+    k = keystore(spark, sf, "orders").withColumn("at", F.col("key").cast("bigint") % 20)
+    more = clocks.increment(F.col("clock"), F.lit("b"))
+    a = k.filter("at <> 4").withColumn("clock", F.when(F.col("at").isin(1, 2), clocks.increment(F.col("clock"), F.lit("a"))).otherwise(F.col("clock")))
+    b = k.filter("at <> 5").withColumn("clock", F.when(F.col("at").isin(2, 3), more).otherwise(F.col("clock")))
+    return a, b
+
+
+@query("x4_compare", "SELECT o_orderkey::VARCHAR AS key, CASE o_orderkey % 20 WHEN 1 THEN 'source_repair' WHEN 2 THEN 'source_repair' WHEN 3 THEN 'sink_repair' WHEN 4 THEN 'sink_repair' WHEN 5 THEN 'source_repair' END AS action FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
+def _(spark, sf):
+    return sync.compare(*_two_stores(spark, sf)).select("key", "action")
+
+
+@query("x5_d9_tree_diff", "SELECT DISTINCT (('0x' || left(md5('orders/' || o_orderkey), 8))::BIGINT % 1048576)::INT AS segment FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
+def _(spark, sf):
+    a, b = _two_stores(spark, sf)
+    s = folds.Scope("orders", portable=True)
+    return folds.tree_diff(folds.tree(a, s), folds.tree(b, s))
+
+
+@query("d11_repair_summary", "SELECT 'orders' AS bucket, count(*) AS repairs, min(o_orderdate) AS low, max(o_orderdate) AS high FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
+def _(spark, sf):
+    a, b = _two_stores(spark, sf)
+    times = keystore(spark, sf, "orders").select("bucket", "key", "last_mod")
+    return sync.repair_summary(sync.compare(a, b).join(times, ["bucket", "key"]))
+
+
+_RULES = "hot:any|purchases:bucketname.purchase|c:bucketprefix.c|quiet:block_rtq|bad:bucketname,wrong"
+_PRIORITY = "CASE WHEN user_id % 3 = 0 THEN 3 WHEN user_id % 3 = 1 THEN 2 ELSE 1 END"
+_ROUTED = f"SELECT event_id AS seq, {_PRIORITY} AS priority, unnest(list_filter(['hot', CASE WHEN event_type = 'purchase' THEN 'purchases' END, CASE WHEN event_type LIKE 'c%' THEN 'c' END, CASE WHEN user_id % 3 <> 0 THEN 'quiet' END], lambda x: x IS NOT NULL)) AS queue FROM events"
+
+
+def _entries(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.col("event_type").alias("bucket"), F.lit("default").alias("bucket_type"), F.col("event_id").alias("seq"), F.expr(_PRIORITY).alias("priority"), F.col("props").alias("value"))
+
+
+@query("d1_d2_d3_routed", f"SELECT queue, priority, count(*) AS length FROM ({_ROUTED}) GROUP BY ALL")
+def _(spark, sf):
+    return queues.lengths(queues.routed(_entries(spark, sf), queues.parse_definitions(_RULES)))
+
+
+@query("d1_d6_drained", f"SELECT queue, seq, n::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY priority DESC, seq) AS n FROM ({_ROUTED})) WHERE n <= 50")
+def _(spark, sf):
+    return queues.drained(queues.routed(_entries(spark, sf), queues.parse_definitions(_RULES)), 50).select("queue", "seq", "position")
+
+
+@query("d4_d22_limits", f"SELECT queue, priority, count(*) AS n, count(*) FILTER (p <= 20) AS held FROM (SELECT *, row_number() OVER (PARTITION BY queue, priority ORDER BY seq) AS p FROM ({_ROUTED})) WHERE p <= 60 OR priority <> 3 GROUP BY ALL")
+def _(spark, sf):
+    kept = queues.limited(queues.routed(_entries(spark, sf), queues.parse_definitions(_RULES)), 20, 60)
+    return kept.groupBy("queue", "priority").agg(F.count("*").alias("n"), F.count("value").alias("held"))
+
+
+@query("d15_redo", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey % 3 <> 0")
+def _(spark, sf):
+    k = keys(spark, sf, "orders").select("bucket", "key")
+    return queues.redo(k, k.filter(F.col("key").cast("bigint") % 3 == 0)).select("key")
+
+
+@query("d18_change_feed", "SELECT o_orderkey::VARCHAR AS key, CASE o_orderkey % 20 WHEN 4 THEN 'put' WHEN 5 THEN 'delete' ELSE 'update' END AS change FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
+def _(spark, sf):
+    return queues.change_feed(*_two_stores(spark, sf)).select("key", "change")
