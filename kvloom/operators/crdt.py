@@ -205,6 +205,21 @@ def hll_bytes(sketch: Column) -> Column:
 
 # ------------------------------------------------------------------ values
 
+def merge_siblings(siblings: DataFrame, key: list[str]) -> DataFrame:
+    """Siblings (kind, state, value) of each key: set states merge to one row a kind, counters to their merged value, and what is of no known type stays.
+
+    Counter states are JSON ``{actor: [p, n]}``; states that do not parse stay as they are, with ``error`` set.
+    """
+    parsed = F.from_json("state", "map<string,array<bigint>>")
+    counters = siblings.filter("kind = 'counter'")
+    good = counters.filter(parsed.isNotNull()).select(*key, F.explode(parsed).alias("actor", "pn")).select(*key, "actor", F.col("pn")[0].alias("p"), F.col("pn")[1].alias("n"))
+    merged = pncounter_value(good, key).select(*key, F.lit("counter").alias("kind"), F.col("value").cast("string").alias("value"), F.lit(False).alias("error"))
+    sets = orset_states(siblings.filter("kind = 'set'").select(*key, "state"), key).select(*key, F.lit("set").alias("kind"), F.col("elements").alias("value"), F.lit(False).alias("error"))
+    opaque = siblings.filter("kind is null or kind not in ('counter', 'set')").select(*key, "kind", "value", F.lit(False).alias("error"))
+    broken = counters.filter(parsed.isNull()).select(*key, "kind", F.col("state").alias("value"), F.lit(True).alias("error"))
+    return merged.unionByName(sets).unionByName(opaque).unionByName(broken)
+
+
 def metadata_merge(rows: DataFrame, key: list[str]) -> DataFrame:
     """Metadata of merged siblings: the later modified; of equal times the first by content."""
     first = F.min(F.struct((-F.coalesce(F.unix_micros("last_mod"), F.lit(-(1 << 62)))).alias("t"), F.col("meta").alias("meta"), F.col("last_mod").alias("last_mod"))).alias("m")

@@ -7,6 +7,8 @@ Columns and aggregates; Python functions run in ``mapInPandas``. A job is a plan
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -227,7 +229,7 @@ def reduce_slice(rows: DataFrame, arg: tuple[int, int]) -> DataFrame:
     """Results from start to before end, by value; all if there are fewer than end."""
     start, end = arg
     v = _values(rows)
-    held = v.select("value", F.row_number().over(W.orderBy("value")).alias("_n")).filter(F.col("_n") <= end)  # the limit is pushed below the sort
+    held = v.select("value").orderBy("value").limit(end).select("value", F.row_number().over(W.orderBy("value")).alias("_n"))  # partitions send ``end`` rows each
     total = v.limit(end).agg(F.count("*").alias("_total"))
     short = F.col("_total") < end
     return held.join(F.broadcast(total)).filter(short | ((F.col("_n") > start) & (F.col("_n") <= end))).select("value")
@@ -311,6 +313,25 @@ def run(tables: Tables, job: Job, batch: int = BATCH) -> DataFrame | list[DataFr
     return out[0] if len(out) == 1 else out
 
 
+def collected(df: DataFrame, timeout_ms: int | None = None) -> list:
+    """A result's rows; its Spark jobs are cancelled past the timeout (none or 0: no limit)."""
+    if not timeout_ms:
+        return df.collect()
+    context, group = df.sparkSession.sparkContext, uuid.uuid4().hex
+    timer = threading.Timer(timeout_ms / 1000, lambda: context.cancelJobGroup(group))
+    context.setJobGroup(group, "job with a timeout", interruptOnCancel=True)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as failed:
+        if not timer.is_alive():
+            raise TimeoutError(f"over {timeout_ms} ms") from failed
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def explain(tables: Tables, job: Job) -> str:
     """The physical plan of a job's results."""
     got = run(tables, job)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -158,8 +158,9 @@ def synthetic(spark: SparkSession, n: int, bucket: str = "synthetic", size: int
 class Client:
     """Reads and writes of a store. Reads are plans; writes replace the store's version."""
 
-    def __init__(self, store: Backend) -> None:
-        self.store = store
+    def __init__(self, store: Backend, precommit: Sequence[Callable[[DataFrame], DataFrame]] = (), postcommit: Sequence[Callable[[DataFrame], None]] = ()) -> None:
+        """Hooks: those before a write see its rows and give what is written, or raise; those after see what was written."""
+        self.store, self.precommit, self.postcommit = store, tuple(precommit), tuple(postcommit)
 
     def get(self, bucket: str, key: str, bucket_type: str = DEFAULT_TYPE) -> Row | None:
         """The object, or None where it is missing or a tombstone."""
@@ -172,7 +173,11 @@ class Client:
 
     def put(self, rows: DataFrame, allow_mult: bool = True, last_write_wins: bool = False) -> None:
         """``rows`` (bucket_type, bucket, key, clock, siblings) over what is stored."""
+        for hook in self.precommit:
+            rows = hook(rows)
         self.store.write(merge_objects(self.store.objects(), rows, allow_mult, last_write_wins))
+        for hook in self.postcommit:
+            hook(rows)
 
     def delete(self, keys: DataFrame) -> None:
         """Tombstones for (bucket_type, bucket, key) with the clock that was read."""
