@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -419,9 +420,11 @@ def _(spark, sf):
 
 @query("m9_x3_walk", "SELECT DISTINCT 'region' AS bucket, n_regionkey::VARCHAR AS key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 100")
 def _(spark, sf):
-    every = objects(spark, sf, "orders").unionByName(objects(spark, sf, "customer")).unionByName(objects(spark, sf, "nation")).unionByName(objects(spark, sf, "region"))
+    names = ("orders", "customer", "nation", "region")
+    every = reduce(DataFrame.unionByName, [keys(spark, sf, n) for n in names])
+    edges = reduce(DataFrame.unionByName, [LENSES[n].edges(LENSES[n].read(spark, sf)) for n in names[:3]])
     start = keys(spark, sf, "orders").filter(F.col("key").cast("bigint") < 100).select("bucket", "key")
-    (last,) = sync.walk(sync.links(every), every, start, [("customer", "_", None), ("_", "lives_in", None), ("region", "_", None)])
+    (last,) = sync.walk(edges, every, start, [("customer", "_", None), ("_", "lives_in", None), ("region", "_", None)])
     return last
 
 

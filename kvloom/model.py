@@ -97,6 +97,12 @@ class Lens:
         each = rows.select(*self._named(), F.explode(F.array(*parts)).alias("p"))
         return each.select("bucket_type", "bucket", "p.field", "p.term_bin", "p.term_int", "key")
 
+    def edges(self, rows: DataFrame) -> DataFrame:
+        """Links (bucket, key, to_bucket, to_key, tag) straight from the columns, without building objects."""
+        targets = F.array(*[F.struct(F.lit(b).alias("to_bucket"), F.expr(k).cast("string").alias("to_key"), F.lit(t).alias("tag")) for b, k, t in self.links])
+        each = rows.select(F.lit(self.bucket).alias("bucket"), self._key().alias("key"), F.inline(targets))
+        return each if self.unique else each.distinct()
+
     def keystore(self, rows: DataFrame) -> DataFrame:
         """Size, sibling count, newest modification and tombstone flag of each key, without collecting values."""
         size = (F.octet_length(self._value()) + F.octet_length(self._key()) + F.octet_length(F.lit(self.bucket))).cast("bigint")

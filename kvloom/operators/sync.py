@@ -23,23 +23,22 @@ def links(objects: DataFrame) -> DataFrame:
 
 
 def follow(edges: DataFrame, at: DataFrame, bucket: str = "_", tag: str = "_") -> DataFrame:
-    """One step from (bucket, key) along links of a bucket and tag, ``_`` for any: distinct (bucket, key, tag)."""
+    """One step from (bucket, key) along links of a bucket and tag, ``_`` for any: (bucket, key, tag)."""
     step = edges
     if bucket != "_":
         step = step.filter(F.col("to_bucket") == bucket)
     if tag != "_":
         step = step.filter(F.col("tag") == tag)
-    return step.join(at.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi").select(F.col("to_bucket").alias("bucket"), F.col("to_key").alias("key"), "tag")
+    return step.join(at.select("bucket", "key"), ["bucket", "key"], "left_semi").select(F.col("to_bucket").alias("bucket"), F.col("to_key").alias("key"), "tag")
 
 
 def walk(edges: DataFrame, objects: DataFrame, start: DataFrame, steps: Sequence[tuple[str, str, bool | None]]) -> list[DataFrame]:
     """Results of the kept steps (bucket, tag, keep), each the distinct objects reached that exist; the last is kept unless told otherwise."""
     out, at = [], start
     for i, (bucket, tag, keep) in enumerate(steps):
-        reached = follow(edges, at, bucket, tag).select("bucket", "key").distinct()
-        at = objects.select("bucket", "key").join(reached, ["bucket", "key"], "left_semi")
+        at = follow(edges, at, bucket, tag).select("bucket", "key")  # what does not exist has no links to follow
         if keep or (keep is None and i == len(steps) - 1):
-            out.append(at)
+            out.append(objects.select("bucket", "key").join(at, ["bucket", "key"], "left_semi"))
     return out
 
 
