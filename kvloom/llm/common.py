@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 SHINGLE_WORDS = 5
 #: Bytes of text that a Python worker holds in numpy arrays at a time, besides one whole document.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _scratch: dict[str, list[str]] = {}
 
@@ -51,13 +51,23 @@ def release(spark: SparkSession) -> None:
             return
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``cut`` that nothing will read again, and let Spark's cleaner find the shuffle files of finished jobs."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    spark.sparkContext._jvm.System.gc()
+def texts_of(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``docs.select(columns)``, read by Python in batches of 1000 rows at most, for texts can be long."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return docs.select(*columns)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing will read again, and let Spark's cleaner find the shuffle files of finished jobs."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 #: Bits of the map of keys in ``told_apart``: a bound of what it broadcasts.
@@ -208,7 +218,7 @@ def lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
 
 # ------------------------------------------------------------------ ranks without one large task
 
-def ranked(df: DataFrame, group: list[str], spread: Column, order: list[Column], size: str | None = None, rows_each: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], spread: Column, order: list[Column], size: str | None = None, rows_each: int = 5_000) -> DataFrame:
     """Add ``rank`` (and ``before``: the sum of ``size`` ahead of a row), both from 0, within ``group`` in the order of (spread, *order).
 
     ``spread`` is a 64-bit hash of what orders the rows. Its top bits split every group, so no group, however large, meets in one task:

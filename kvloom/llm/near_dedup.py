@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kvloom.llm.common import cut, lists, mix, numbered, shingles, slices, told_apart
+from kvloom.llm.common import cut, discard, lists, mix, numbered, shingles, slices, texts_of, told_apart
 
 SLOTS = 210
 BAND_ROWS = 7
@@ -98,24 +98,24 @@ def _bag_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes of ``edges`` (a, b); comp is the least node connected. Stars are contracted until nothing moves."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small, "edges")
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
+        last, now = now, cut(small, "edges")
+        discard(last)
+        # over when every node hangs on one other, and none hangs on what hangs itself
+        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        before = sign
     return now.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
 
 
 def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold: float, multiset: bool = True) -> DataFrame:
     """(doc_id, class_id, n_links) of every row. n_links counts the verified links of a row's text to other texts, as far as classes needed them."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = cut(plain.mapInArrow(bands, "doc_id long, _t binary, bands array<long>"), "bands")
     texts = rows.groupBy("_t").agg(F.first("bands").alias("bands")).select("_t", F.explode("bands").alias("bucket"))
     sizes = texts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -137,20 +137,25 @@ def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     bodies = likely.join(once.select(F.col("_t").alias("_u"), "d"), (F.col("_t") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("_t", "_text")
     bags = cut(bodies.mapInArrow(sets, "_t binary, s array<int>").dropDuplicates(["_t"]), "bags")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = bags.select(F.col("_t").alias("a"), F.col("s").alias("sa"))
-        right = bags.select(F.col("_t").alias("b"), F.col("s").alias("sb"))
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sizes allow a link, with the size ``o`` of their overlap and whether it makes one."""
+        ids = pairs.select(F.col("a").alias("_t")).union(pairs.select(F.col("b").alias("_t")))
+        asked, _ = told_apart(bags, ids, ["_t"])
+        left = asked.select(F.col("_t").alias("a"), F.col("s").alias("sa"))
+        right = asked.select(F.col("_t").alias("b"), F.col("s").alias("sb"))
         both = pairs.join(left, "a").join(right, "b")
         short, long = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
         both = both.filter(short >= F.lit(threshold) * long).withColumn("o", F.size(F.array_intersect("sa", "sb")))
-        return both.filter(F.col("o") >= F.lit(threshold) * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b")
+        return both.select("a", "b", "o", (F.col("o") >= F.lit(threshold) * (F.size("sa") + F.size("sb") - F.col("o"))).alias("link"))
 
     # first every text with one other only: of the leaders of its buckets the one with the most company, likely what the others were copied from
     company = members.groupBy("_t").agg(F.sum("n").alias("w"))
     leads = members.join(company, "_t").groupBy("bucket").agg(F.max(F.struct("w", "_t")).alias("lead"))
     first = members.join(leads, "bucket").groupBy("_t").agg(F.max(F.when(F.col("lead._t") != F.col("_t"), F.col("lead"))).alias("lead"))
-    first = first.filter("lead is not null").select(F.greatest("_t", "lead._t").alias("a"), F.least("_t", "lead._t").alias("b")).distinct()
-    links = cut(verified(first), "links")
+    first = first.filter("lead is not null").select("_t", F.col("lead._t").alias("lead"))
+    first = cut(first.select("_t", "lead", F.greatest("_t", "lead").alias("a"), F.least("_t", "lead").alias("b")), "first")
+    met = cut(overlaps(first.select("a", "b").distinct()), "met")
+    links = cut(met.filter("link").select("a", "b"), "links")
     comps = cut(components(links), "comps")
 
     def placed(table: DataFrame) -> DataFrame:
@@ -164,16 +169,21 @@ def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     left = cut(in_open(placed(members.select("bucket", "_t", F.lit(False).alias("tried")))).select("bucket", "_t"), "open")
     others = left.groupBy("_t").agg(F.sort_array(F.collect_list("bucket")).alias("all"))  # as many as there are bands
     # elements that only one of these texts has can be in no overlap: a text with too many of them has no link left to find
-    some = bags.join(left.select("_t").distinct(), "_t", "left_semi")
+    wanted = left.select("_t").distinct()
+    some = told_apart(bags, wanted, ["_t"])[0].join(wanted, "_t", "left_semi")
     lone = some.select(F.explode("s").alias("e"), F.xxhash64("_t").alias("owner")).groupBy("e").agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
     lone = lone.filter("n = 1").groupBy("owner").agg(F.count("*").alias("lone"))
     facts = some.select("_t", F.size("s").alias("size"), F.xxhash64("_t").alias("owner")).join(lone, "owner", "left").select("_t", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
     facts = facts.filter(F.col("shared") >= F.lit(threshold) * F.col("size"))
+    # what a text has in common with the likely original it was compared with, where that is among these texts
+    known = first.join(met, ["a", "b"]).join(wanted.withColumnRenamed("_t", "lead"), "lead", "left_semi").select("_t", "lead", "o")
+    facts = cut(facts.join(known, "_t", "left"), "facts")
     left = left.join(facts, "_t")
+    discard(first, met)
     least = left.groupBy("bucket").agg(F.min("size").alias("least"))
     need = F.lit(threshold / (1 + threshold)) * (F.col("size") + F.greatest(F.col("least"), F.lit(threshold) * F.col("size"))) - F.lit(1e-6)
-    left = cut(left.join(least, "bucket").filter(F.col("shared") >= need).select("bucket", "_t", "size", "shared", F.lit(False).alias("tried")), "left")
-    pivots = 8
+    left = cut(left.join(least, "bucket").filter(F.col("shared") >= need).select("bucket", "_t", "size", "shared", "lead", "o", F.lit(False).alias("tried")), "left")
+    pivots = 64
     while True:
         left = cut(in_open(placed(left)), "left")
         if left.isEmpty():
@@ -181,17 +191,21 @@ def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
         # pivots come from the smallest classes of a bucket; a pair that shares several buckets is made in the first
         held = left.groupBy("bucket", "comp").agg(F.count("*").alias("held"))
         free = left.filter(~F.col("tried")).join(held, ["bucket", "comp"])
-        chosen = cut(_first(free, pivots, F.col("held")), "pivots")
-        x = left.join(others, "_t").select("bucket", F.col("all").alias("ax"), F.col("_t").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"))
-        y = chosen.join(facts, "_t").join(others, "_t").select("bucket", F.col("all").alias("ay"), F.col("_t").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("shared").alias("sy"))
-        can = (F.least("sx", "sy") >= F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)) & (F.col("cx") != F.col("cy"))
-        can = can & (x["bucket"] == F.array_min(F.array_intersect("ax", "ay")))
-        pairs = x.join(y, (x["bucket"] == y["bucket"]) & can).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        links = cut(links.union(verified(pairs)).distinct(), "links")
+        chosen = _first(free, pivots, F.col("held")).select("bucket", "_t", F.lit(True).alias("pivot"))
+        marked = cut(left.join(chosen, ["bucket", "_t"], "left").join(others, "_t").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "pivots")
+        x = marked.select("bucket", F.col("all").alias("ax"), F.col("_t").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("lead").alias("lx"), F.col("o").alias("ox"), F.col("pivot").alias("px"))
+        y = marked.filter("pivot").select(F.col("bucket").alias("by"), F.col("all").alias("ay"), F.col("_t").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("shared").alias("sy"), F.col("lead").alias("ly"), F.col("o").alias("oy"))
+        # common elements are shared ones; with one original they are in what both have of it, or in what both share besides
+        most = F.when(F.col("lx") == F.col("ly"), F.least("ox", "oy") + F.least(F.col("sx") - F.col("ox"), F.col("sy") - F.col("oy")))
+        most = F.least(F.col("sx"), F.col("sy"), most)
+        can = (most >= F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)) & (F.col("cx") != F.col("cy"))
+        can = can & (F.col("bucket") == F.array_min(F.array_intersect("ax", "ay"))) & ~(F.col("px") & (F.col("x") > F.col("y")))
+        pairs = cut(x.join(y, (F.col("bucket") == F.col("by")) & can).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
+        links, old, dropped = cut(links.union(overlaps(pairs).filter("link").select("a", "b")).distinct(), "links"), links, comps
         comps = cut(components(links), "comps")
-        done = chosen.select("bucket", "_t", F.lit(True).alias("now"))
-        left = left.join(done, ["bucket", "_t"], "left").select("bucket", "_t", "size", "shared", (F.col("tried") | F.col("now").isNotNull()).alias("tried"))
-        pivots *= 4
+        discard(pairs, old, dropped)
+        left = marked.select("bucket", "_t", "size", "shared", "lead", "o", (F.col("tried") | F.col("pivot")).alias("tried"))
+        pivots *= 8
     counted = links.select(F.col("a").alias("_t")).union(links.select(F.col("b").alias("_t"))).groupBy("_t").agg(F.count("*").alias("n_links"))
     out = placed(rows.select("doc_id", "_t")).join(counted, "_t", "left").select("doc_id", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.join(out.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("doc_id", "class_id", "n_links")
@@ -200,13 +214,13 @@ def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` less all but one of each class: the least id's stay, of equal rows one. Rows without an id all stay."""
     classes = near_duplicates(docs, doc_id, text)
-    counted = cut(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("class_id")).alias("goes")).filter("doc_id is not null and (n > 1 or goes)").select(F.col("doc_id").alias(doc_id), "goes"), "losers")
-    some, rest = told_apart(docs.withColumn(doc_id, F.col(doc_id).cast("long")), counted, [doc_id])
-    some = some.join(counted, doc_id, "left").filter(F.col("goes").isNull() | ~F.col("goes"))
-    single = some.filter(F.col("goes").isNull()).drop("goes").select(*docs.columns)
-    twins = some.filter(F.col("goes").isNotNull()).dropDuplicates([doc_id, text]).select(*docs.columns)
-    out = single.union(twins).union(rest.select(*docs.columns))
-    return out.withColumn(doc_id, F.col(doc_id).cast(docs.schema[doc_id].dataType))
+    counted = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("class_id")).alias("goes"))
+    counted = cut(counted.filter("doc_id is not null and (n > 1 or goes)").select(F.col("doc_id").alias("id"), "goes"), "losers")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].cast("long").alias("id"))
+    some, rest = told_apart(keyed, counted, ["id"])
+    some = some.join(counted, "id", "left").filter("goes is null or not goes")
+    twins = some.filter("goes is not null").withColumn("body", F.col("row")[text]).dropDuplicates(["id", "body"])
+    return some.filter("goes is null").select("row").union(twins.select("row")).union(rest.select("row")).select("row.*")
 
 
 def _first(free: DataFrame, n: int, key) -> DataFrame:
