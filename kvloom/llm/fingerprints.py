@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.llm import near_dedup
-from kvloom.llm.common import shingles, slices, text_bytes
+from kvloom.llm.common import shingles, slices, text_bytes, texts_of
 
 SLOTS = 128
 BAND_ROWS = 5
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sl
             hashed, first = shingles(data, at)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_written(signatures(hashed, first, slots), np.diff(first) > 0))], ["doc_id", "fingerprint"])
 
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return plain.mapInArrow(run, "doc_id long, fingerprint string")
 
 
@@ -96,7 +96,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     least = -(1 << 63)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     keyed = plain.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(least)))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("_key"))

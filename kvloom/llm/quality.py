@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import learns, numbered, shingles, slices, span_hashes, word_spans
+from kvloom.llm.common import learns, numbered, shingles, slices, span_hashes, texts_of, word_spans
 from kvloom.llm.training import labelled
 
 #: Labelled rows that a model is fitted on, about.
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str = "te
         for rows, data, at in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.scores(statistics(data, at)))], ["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, "doc_id long, score double")
+    return texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, "doc_id long, score double")
 
 
 def judged(scores: DataFrame, threshold: float) -> DataFrame:

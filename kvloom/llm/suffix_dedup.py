@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import cut, discard, mix, powers, slices, told_apart
+from kvloom.llm.common import cut, discard, mix, powers, slices, texts_of, told_apart
 
 WINDOW = 200
 GRAM = 48
@@ -167,7 +167,7 @@ def _spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents as (doc, t, doc_id, _text), and the spans to remove as (doc, t, spans)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.crc32(body).bitwiseAND(65535).cast("int").alias("t"), body.alias("_text"))
+    plain = texts_of(docs, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.crc32(body).bitwiseAND(65535).cast("int").alias("t"), body.alias("_text"))
     anchors = cut(plain.filter(F.octet_length("_text") >= WINDOW).mapInArrow(_anchors, "h long, doc long, place long, c long"), "anchors")
     contexts = anchors.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one"))
     grams = contexts.groupBy("h").agg(F.count("*").alias("nc"), F.sum("n").alias("m")).filter("m > 1").select("h", "nc")
@@ -269,7 +269,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     _, spans = repeats(docs, doc_id, text)
     names, kinds = docs.columns, docs.schema
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.crc32(body).bitwiseAND(65535).cast("int").alias("t"))
+    keyed = texts_of(docs, F.struct(*[docs[c] for c in names]).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.crc32(body).bitwiseAND(65535).cast("int").alias("t"))
     some, rest = told_apart(keyed, spans, ["doc", "t"])
 
     @F.pandas_udf("string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import cut, learns
+from kvloom.llm.common import cut, learns, texts_of
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -17,5 +17,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     n = known.count()
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    plain = texts_of(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return cut(plain.join(F.broadcast(known), "doc_id").select("text", F.col("label").cast("int").alias("label")), "labelled")
