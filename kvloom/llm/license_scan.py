@@ -77,7 +77,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     fresh = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices"}
     kept = [c for c in docs.columns if c != text and c not in fresh]
     held = docs.select(
-        *kept, F.regexp_count(body, F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), phrase_places(body, phrases).alias("_places"), F.filter(blocks, lambda b: F.size(b["tokens"]) >= min(needs)).alias("_blocks"),
+        F.struct(*[docs[c] for c in kept] or [F.lit(0).alias("none")]).alias("row"), F.regexp_count(body, F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), phrase_places(body, phrases).alias("_places"), F.filter(blocks, lambda b: F.size(b["tokens"]) >= min(needs)).alias("_blocks"),
         F.sha2(F.col(text), 256).alias("_text"),
     )
     held = cut(held, "license")
@@ -101,7 +101,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     base = F.array_distinct(F.flatten(F.array(*[F.when(F.size(F.coalesce(F.get("_places", F.lit(k)), F.array().cast("array<int>"))) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for k, label in enumerate(phrases.values())])))
     out = out.withColumn("_starts", starts).withColumn("_base", base).withColumn("notices", F.coalesce("notices", F.array().cast("array<struct<line:int,template:int,label:string,containment:double>>")))
     return out.select(
-        *kept, "n_words", F.size("_starts").cast("long").alias("n_base"), F.array_min("_starts").cast("long").alias("first_word"), F.array_max("_starts").cast("long").alias("last_word"),
+        *[F.col("row")[c].alias(c) for c in kept], "n_words", F.size("_starts").cast("long").alias("n_base"), F.array_min("_starts").cast("long").alias("first_word"), F.array_max("_starts").cast("long").alias("last_word"),
         F.array_join(F.array_sort("_base"), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("_base", F.col("notices.label"))), ",").alias("labels"),
         F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("notices.containment")), F.lit(0.0))).alias("score"), "notices",
     )

@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source: str
 
 def ordered(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs``, sorted into the order of the mix; rows equal in id, source and text stand side by side."""
-    slots = mixed(docs, weights).groupBy("doc_id", "source").agg(F.min("slot").alias("_slot"), F.min("rank").alias("_rank"))
-    slots = slots.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_slot", "_rank")
-    out = docs.join(slots, docs["doc_id"].cast("long").eqNullSafe(slots["_d"]) & docs["source"].cast("string").eqNullSafe(slots["_s"]))
-    return out.orderBy("_slot", F.col("_s").asc_nulls_last(), "_rank").select(*[docs[c] for c in docs.columns])
+    slots = mixed(docs, weights).groupBy("doc_id", "source").agg(F.min("slot").alias("slot"), F.min("rank").alias("rank"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("name"))
+    out = keyed.join(slots, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("name").eqNullSafe(F.col("source")))
+    return out.orderBy("slot", F.col("name").asc_nulls_last(), "rank").select("row.*")
