@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import cut, ranked, slices
+from kvloom.llm.common import cut, ranked, slices, texts_of
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-_CACHE = 1_000_000
+_CACHE = 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 10]] = True
 _STOP = np.zeros(256, bool)
@@ -51,14 +51,20 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(name if os.path.sep in name else public_tokenizers.path(name))
         self.mark = "<|endoftext|>"
         self.end = self.tokenizer.token_to_id(self.mark)
+        self.latest: list[bytes] = []
         self.clear()
 
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+    def clear(self, keep: list[bytes] = ()) -> None:
+        """Forget all parts but ``keep``."""
+        old = np.array([self.known[p] for p in keep], np.int64)
+        start, length, ids = (self.start[old], self.length[old], self.ids) if len(old) else (old, old, np.zeros(0, np.uint32))
+        self.known: dict[bytes, int] = dict(zip(keep, range(len(keep))))
+        self.start, self.length = np.zeros(max(1 << 16, len(old)), np.int64), np.zeros(max(1 << 16, len(old)), np.int64)
+        self.used = int(length.sum())
+        self.ids = np.zeros(max(1 << 18, self.used), np.uint32)
+        at = np.cumsum(length) - length
+        self.start[: len(old)], self.length[: len(old)] = at, length
+        self.ids[: self.used] = ids[np.repeat(start - at, length) + np.arange(self.used)]
 
     def _add(self, parts: list[bytes]) -> None:
         """Parts are given to the tokenizer in one string each few thousand, between end marks; a mark parts what stands beside it."""
@@ -86,7 +92,7 @@ class Tokens:
     def of(self, run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's ended by the id 0, and the documents' offsets."""
         if len(self.known) > _CACHE:
-            self.clear()
+            self.clear(self.latest)  # what the last slice held is likely to come again
         docs = len(at) - 1
         if b"<|" not in run.tobytes():  # special tokens are told by case
             run = _LOWER[run]
@@ -106,6 +112,7 @@ class Tokens:
         if new:
             self._add(new)
             number = [self.known[p] for p in unique]
+        self.latest = unique
         which = np.array(number, np.int64)[coded.indices.to_numpy()]
         size = self.length[which]
         doc = np.searchsorted(at, bounds[solid], "right") - 1
@@ -133,7 +140,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(tokenizer)
-        for rows, data, at in slices(batches, "_text"):
+        for rows, data, at in slices(batches, "_text", 2 << 20):
             ids, first = tokens.of(data, at)
             raw = ids.astype("<u4").tobytes()
             n = np.diff(first)
@@ -146,7 +153,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
             crc = [zlib.crc32(raw[4 * b : 4 * (b + k)]) for b, k in zip(begin.tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -20,11 +20,13 @@ def whole(texts):
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def test_ids_are_those_of_whole_texts():
+@pytest.mark.parametrize("cache", [500_000, 50])
+def test_ids_are_those_of_whole_texts(monkeypatch, cache):
+    monkeypatch.setattr(packing, "_CACHE", cache)
     r = random.Random(5)
     texts = ODD + ["".join(r.choice("abÉé ,.'sS\n!?12<|>ḱ́") for _ in range(r.randint(0, 40))) for _ in range(2000)]
     tokens = packing.Tokens("word_bpe_49k.json")
-    for part in (texts, texts[:3], [""], ["", ""]):
+    for part in (texts, texts[:3], [""], ["", ""], texts[40:90], texts[5:500], texts[3:9], texts[300:420]):
         ids, at = tokens.of(*text_bytes(pa.array(part)))
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [x + [0] for x in whole(part)]
 
