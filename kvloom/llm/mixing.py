@@ -114,9 +114,14 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source: str
     return narrow.mapInArrow(run, "doc_id long, source string, size long, block long, slot long, rank long")
 
 
+def positions(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, source, slot, rank): a row for each id and source; documents stand in the order of (slot, source, rank)."""
+    return mixed(docs, weights, block_bytes=block_bytes).groupBy("doc_id", "source").agg(F.min("slot").alias("slot"), F.min("rank").alias("rank"))
+
+
 def ordered(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs``, sorted into the order of the mix; rows equal in id, source and text stand side by side."""
-    slots = mixed(docs, weights).groupBy("doc_id", "source").agg(F.min("slot").alias("slot"), F.min("rank").alias("rank"))
+    slots = positions(docs, weights)
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("name"))
     out = keyed.join(slots, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("name").eqNullSafe(F.col("source")))
     return out.orderBy("slot", F.col("name").asc_nulls_last(), "rank").select("row.*")

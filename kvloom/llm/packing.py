@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from kvloom.llm.common import cut, ranked, slices, texts_of
 
 CAPACITY = 2048
+#: Stretches of the order that bins are dealt over at most, and rows of the table of places that they may make; what a sequence's number is does not depend on them.
+STRETCHES, MOST_PLACES = 64, 500_000
 TOKENIZER = "word_bpe_49k.json"
 _CACHE = 500_000
 _SPACE = np.zeros(256, bool)
@@ -135,8 +137,8 @@ def tokens_of(name: str) -> Tokens:
     return _workers[name]
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, source: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document's pieces, and its source if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(tokenizer)
@@ -151,10 +153,11 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
             length = np.minimum(n[doc] - start, capacity)
             begin = first[doc] + start
             crc = [zlib.crc32(raw[4 * b : 4 * (b + k)]) for b, k in zip(begin.tolist(), length.tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            more = [rows.column(2).take(pa.array(doc))] if source else []
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), *more], ["doc_id", "piece", "start", "length", "ids_crc32", *["source"] * len(more)])
 
-    plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *([F.col(source).cast("string").alias("source")] if source else []))
+    return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", source string" if source else ""))
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -280,19 +283,64 @@ def places(packed: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(names, np.array(rows, np.int64).reshape(-1, 5).T))
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    held = cut(pieces(docs, doc_id, text, capacity, tokenizer), "pieces")
-    counts = {r["length"]: r["count"] for r in held.groupBy("length").count().collect()}  # a row a length
-    table = places(improve(best_fit(counts, capacity), capacity))
+def dealt(packed: list[tuple[tuple[int, ...], int]], found: dict[int, np.ndarray]) -> list[tuple[tuple[int, ...], int]]:
+    """The same bins, stretch by stretch of the order: those of a content as the pieces of its greatest length are (``found``: pieces a stretch)."""
+    n = len(next(iter(found.values()), ()))
+    by: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(n)]
+    share = {length: np.cumsum(x) / x.sum() for length, x in found.items()}
+    for k, (contents, bins) in enumerate(packed):
+        # bin j of these stands at (j + u) / bins; u differs, so that single bins do not all stand in the middle
+        upto = np.ceil(bins * share[contents[0]] - (k * 0.6180339887498949) % 1).astype(np.int64).clip(0, bins)
+        upto[-1] = bins
+        each = np.diff(upto, prepend=0)
+        for b in np.flatnonzero(each).tolist():
+            by[b].append((contents, int(each[b])))
+    return [x for xs in by for x in xs]
+
+
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, source: str = "source", order: DataFrame | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
+
+    ``order``: (doc_id, source, slot, rank), a row for each id and source; sequences then follow (slot, source, rank).
+    """
+    held = pieces(docs, doc_id, text, capacity, tokenizer, source if order is not None else None)
+    if order is not None:
+        order = cut(order.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("slot").alias("_slot"), F.col("rank").alias("_nth")), "order")
+        slots = (order.agg(F.max("_slot")).first()[0] or 0) + 1
+        held = held.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_id", "_source")
+    held = cut(held, "pieces")
+    if order is None:
+        counts = {r["length"]: r["count"] for r in held.groupBy("length").count().collect()}  # a row a length
+        packed = improve(best_fit(counts, capacity), capacity)
+    else:
+        found: dict[int, np.ndarray] = {}
+        stretch = F.floor(F.col("_slot") * STRETCHES / slots).cast("int")
+        for r in held.groupBy("length", stretch.alias("s")).count().collect():  # STRETCHES rows a length at most
+            found.setdefault(r["length"], np.zeros(STRETCHES, np.int64))[r["s"]] = r["count"]
+        packed = improve(best_fit({length: int(x.sum()) for length, x in found.items()}, capacity), capacity)
+        n = STRETCHES
+        while n > 1 and sum(min(bins, n) * len(set(contents)) for contents, bins in packed) > MOST_PLACES:
+            n //= 2
+        packed = dealt(packed, {length: x.reshape(n, -1).sum(axis=1) for length, x in found.items()})
+    table = places(packed)
     key = table["length"] << np.int64(44) | table["rank"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            length, rank = batch.column(3).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
             k = np.searchsorted(key, length << np.int64(44) | rank, "right") - 1
             turn, nth = np.divmod(rank - table["rank"][k], table["each"][k])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(table["sequence"][k] + turn), pa.array(table["offset"][k] + nth * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
-
-    numbered = ranked(held, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
-    return numbered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(table["sequence"][k] + turn), pa.array(table["offset"][k] + nth * length)], [*batch.schema.names[:-1], "sequence_id", "offset"])
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    if order is None:
+        numbered = ranked(held, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
+        return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    wide = (1 << 62) // slots
+    follow = [F.col("source").asc_nulls_last(), F.col("_nth"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
+    numbered = ranked(held, ["length"], F.col("_slot") * F.lit(wide), follow).select(*columns, "_slot", "rank")
+    placed = cut(numbered.mapInArrow(run, f"{schema}, _slot long, sequence_id long, offset long"), "placed")
+    sequences = cut(placed.groupBy("sequence_id").agg((F.sum(F.col("_slot") * F.col("length")) / F.sum("length")).alias("_mean")), "sequences")
+    sequences = ranked(sequences, [], (F.col("_mean") * F.lit(float(wide))).cast("long"), [F.col("sequence_id")])
+    return placed.join(sequences, "sequence_id").select(*columns, F.col("rank").alias("sequence_id"), "offset")

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -5,7 +6,7 @@ from tests.llm.corpora import frame, odd_rows
 from tests.llm.test_near import brute_classes
 from tests.llm.test_suffix import brute
 
-from kvloom.llm import near_dedup
+from kvloom.llm import near_dedup, packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +60,27 @@ def test_equal_rows_keep_one(spark):
     got = near_dedup.one_of_each(frame(spark, rows)).collect()
     want = {c for i, c in brute_classes(rows) if i != "None"}
     assert Counter(str(r.doc_id) for r in got if r.doc_id is not None) == Counter(want)
+
+
+def test_sequences_follow_the_mix(spark):
+    r = random.Random(7)
+    texts = {"a": 1800, "b": 450}  # bytes 4 to 1, so weights 2 to 1 until b is used up
+    rows = [(i, " ".join(r.choices(["sun", "moon", "rain", "tree", "house"], k=r.choice([20, 90, 200]))), "en", s, 0, 0, "", "") for i, s in enumerate(s for s, n in texts.items() for _ in range(n))]
+    sources = {x[0]: x[3] for x in rows}
+    docs = frame(spark, rows)
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    got = corpus_pipeline.pack(spark, mixed, SF).collect()
+    bins = {}
+    for g in got:
+        bins.setdefault(g.sequence_id, Counter())[sources[g.doc_id]] += g.length
+    assert sorted(bins) == list(range(len(bins)))
+    half, last = Counter(), Counter()
+    for k, n in bins.items():
+        if k < len(bins) // 2:
+            half += n
+        if k >= len(bins) * 4 // 5:
+            last += n
+    assert abs(half["b"] / half.total() - 1 / 3) < 0.06
+    assert last["b"] / last.total() < 0.04
+    plain = packing.pack(docs).collect()
+    assert len({g.sequence_id for g in plain}) == len(bins)  # the mix costs no sequence
