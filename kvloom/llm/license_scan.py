@@ -1,10 +1,13 @@
 """License scans: phrases by their word positions, notices by an exact set-similarity join. SQL functions only.
 
-A text block is a line. A notice (template) is found in a block when at least ``threshold`` of its distinct words are in the block.
+A text block is a line, or a run of words across line breaks, as many as the template's words divided by ``threshold``, so that wrapped and commented
+notices are held. A notice (template) is found in a block when at least ``threshold`` of its distinct words are in the block.
 The join is exact: the words of all templates are ordered by how many blocks hold them, rarest first; a block is paired with a template only
 where a word of the block's prefix meets one of the template's prefix (prefix filter), the block has enough of the templates' words (length
 filter), and enough of both remain after that word (positional filter). The pairs left are verified by counting common words.
 Only words that some template has can add to an overlap, so blocks are reduced to those before anything else.
+A run of words can only have what its text has, so the join takes all words of a text of several lines as a block more, and runs are looked at in the
+texts and for the templates that it pairs.
 
 Defined results: null and empty texts have no words, no labels and score 0; repeated rows get equal results; other columns pass through
 untouched unless they bear an output's name, in which case the output replaces them.
@@ -17,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import cut
+from kvloom.llm.common import cut, told_apart
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -66,6 +69,20 @@ def phrase_places(text: Column, phrases: dict[str, str]) -> Column:
     return F.when(text.rlike(f"(?i){maybe}"), found)
 
 
+def _in_runs(words: Column, template: Column, width: Column) -> Column:
+    """The most distinct words of ``template`` that a run of ``width`` of ``words`` (line, w) has, and the line where it begins, as (common, -line)."""
+    placed = F.filter(F.transform(words, lambda x, pos: F.struct(pos.alias("pos"), x["line"].alias("line"), x["w"].alias("w"))), lambda x: F.array_contains(template, x["w"]))
+
+    def common(hits: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            run = F.filter(F.slice(hits, i + 1, width), lambda y: y["pos"] < x["pos"] + width)
+            return F.struct(F.size(F.array_distinct(F.transform(run, lambda y: y["w"]))).alias("common"), (-x["line"]).alias("before"))
+
+        return F.array_max(F.transform(hits, one))
+
+    return F.transform(F.array(placed), common)[0]
+
+
 def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score, and ``notices``: structs (line, template, label, containment)."""
     sets = [sorted(set(t.split())) for _, t in templates]
@@ -76,8 +93,14 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     blocks = F.transform(F.split(_lowered(body), "\n"), lambda line, i: F.struct(i.alias("line"), F.array_intersect(known, F.split(line, BREAK)).alias("tokens")))
     fresh = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices"}
     kept = [c for c in docs.columns if c != text and c not in fresh]
+
+    def joined(lines: Column) -> Column:
+        whole = F.struct(F.lit(-1).alias("line"), F.array_distinct(F.flatten(lines["tokens"])).alias("tokens"))
+        return F.filter(F.when(F.size(lines) > 1, F.concat(lines, F.array(whole))).otherwise(lines), lambda b: F.size(b["tokens"]) >= min(needs))
+
+    blocks = F.transform(F.array(blocks), joined)[0]
     held = docs.select(
-        F.struct(*[docs[c] for c in kept] or [F.lit(0).alias("none")]).alias("row"), F.regexp_count(body, F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), phrase_places(body, phrases).alias("_places"), F.filter(blocks, lambda b: F.size(b["tokens"]) >= min(needs)).alias("_blocks"),
+        F.struct(*[docs[c] for c in kept] or [F.lit(0).alias("none")]).alias("row"), F.regexp_count(body, F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), phrase_places(body, phrases).alias("_places"), blocks.alias("_blocks"),
         F.sha2(F.col(text), 256).alias("_text"),
     )
     held = cut(held, "license")
@@ -95,6 +118,17 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     pairs = probes.join(F.broadcast(index), "w").filter((F.size("tokens") >= F.col("need")) & (left >= F.col("need")))
     common = F.size(F.array_intersect("tokens_t", "tokens"))
     found = pairs.withColumn("_c", common).filter(F.col("_c") >= F.col("need"))
+    found = found.select("_text", "line", "template", "label", "_c", "n", "need", "tokens_t")
+    found = cut(found, "notices")
+    # texts are read again only where all their words together would do
+    maybe = found.filter("line < 0").drop("line", "_c")
+    texts, _ = told_apart(docs.select(F.sha2(F.col(text), 256).alias("_text"), F.col(text).alias("_body")), maybe.select("_text"), ["_text"])
+    texts = texts.join(maybe.select("_text").distinct(), "_text", "left_semi").groupBy("_text").agg(F.first("_body").alias("_body"))
+    by_line = F.transform(F.split(_lowered(F.col("_body")), "\n"), lambda line, i: F.transform(F.filter(F.split(line, BREAK), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("w"))))
+    widths = F.array(*[F.lit(math.ceil(round(len(t.split()) / threshold, 9))) for _, t in templates])
+    runs = texts.select("_text", F.flatten(by_line).alias("_words")).join(maybe, "_text").withColumn("_best", _in_runs(F.col("_words"), F.col("tokens_t"), F.get(widths, F.col("template"))))
+    runs = runs.filter(F.col("_best.common") >= F.col("need")).select("_text", (-F.col("_best.before")).alias("line"), "template", "label", F.col("_best.common").alias("_c"), "n")
+    found = found.filter("line >= 0").select("_text", "line", "template", "label", "_c", "n").unionByName(runs)
     found = found.groupBy("_text").agg(F.array_sort(F.collect_set(F.struct("line", "template", "label", (F.col("_c").cast("double") / F.col("n")).alias("containment")))).alias("notices"))
     out = held.drop("_blocks").join(found, "_text", "left")
     starts = F.coalesce(F.flatten("_places"), F.array().cast("array<int>"))

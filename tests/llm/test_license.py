@@ -1,4 +1,6 @@
+import random
 import re
+import textwrap
 
 import duckdb
 from tests.llm.corpora import frame, odd_rows
@@ -60,3 +62,43 @@ def test_query_equals_its_sql(spark):
     got = QUERIES["op9_license_scan"](spark, SF)
     want = c.sql(ORACLE_SQL["op9_license_scan"]).select(*got.columns).fetchall()
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def brute_runs(text):
+    """Labels and the best containment of runs of words across line breaks."""
+    ws, labels, best = words(text), set(), 0.0
+    for label, t in license_scan.TEMPLATES:
+        width = -(-len(t.split()) * 5 // 4)
+        c = max((len(set(t.split()) & set(ws[i : i + width])) / len(set(t.split())) for i in range(len(ws))), default=0)
+        if c >= license_scan.THRESHOLD - 1e-12:
+            labels.add(label)
+            best = max(best, c)
+    return labels, best
+
+
+def test_wrapped_notices_are_found(spark):
+    r = random.Random(3)
+    other = lambda: " ".join(r.choices("some other words stand here in the file and of no license".split(), k=30))
+    texts, want = [], []
+    for label, notice in license_scan.TEMPLATES:
+        for width in (20, 34, 70):
+            for mark in ("", "# ", " * ", "// ", "dnl "):
+                if width == 20 and mark == "dnl ":
+                    continue
+                lines = textwrap.wrap(f"{notice.capitalize()}.", width)
+                texts.append(r.choice(["\n", "\r\n"]).join([other(), *[mark + x for x in lines], other()]))
+                want.append(label)
+    texts.append("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software")
+    texts.append("/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n */")
+    want += ["mit", "bsd"]
+    # far apart, the words are no notice
+    texts.append("\n".join(f"{w} {other()}" for w in license_scan.TEMPLATES[2][1].split()))
+    want.append(None)
+    got = {g.doc_id: g for g in license_scan.scan(frame(spark, [(i, t, "en", "s", 0, 0, "", "") for i, t in enumerate(texts)])).collect()}
+    for i, (t, label) in enumerate(zip(texts, want)):
+        one = brute(t)
+        labels, best = brute_runs(t)
+        assert label is None or label in labels
+        assert label is not None or "bsd" not in labels
+        assert got[i].labels == ",".join(sorted({x for x in one[5].split(",") if x} | labels)), t
+        assert got[i].score == max(one[6], best)
