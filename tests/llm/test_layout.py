@@ -143,3 +143,46 @@ def test_mix(spark):
     assert mixing.mixed(frame(spark, [])).collect() == []
     held = mixing.ordered(frame(spark, rows))
     assert held.columns == frame(spark, rows).columns and held.count() == len(rows)
+
+
+def test_deviation_from_real_weights_is_below_one_block_over_many_periods():
+    weights = {"a": 2**0.5, "b": 3**0.5, "c": 0.0003, "d": 0.1234567, None: 1.0}
+    blocks = {"a": 60_000, "b": 30_000, "c": 9, "d": 4_000, None: 2}
+    phases = mixing.plan(blocks, weights)
+    total = sum(blocks.values())
+    seen = np.full(total, -1)
+    sent = {}
+    for k, (s, n) in enumerate(blocks.items()):
+        slots = []
+        for j in range(n):
+            first, _, share, start, length, table = [p for p in phases[s] if p[0] <= j][-1]
+            slots.append(start + (j - first) // share * length + table[(j - first) % share])
+        assert slots == sorted(slots)
+        seen[slots] = k
+        sent[s] = np.concatenate([[0], np.cumsum(np.isin(np.arange(total), slots))])
+    assert (seen >= 0).all()
+    # the ideal mix, flowing from one source's end to the next
+    ideal, at, t = {s: [(0.0, 0.0)] for s in blocks}, dict.fromkeys(blocks, 0.0), 0.0
+    left = set(blocks)
+    while left:
+        scale = sum(weights[s] for s in left)
+        step = min((blocks[s] - at[s]) * scale / weights[s] for s in left)
+        t += step
+        for s in left:
+            at[s] += step * weights[s] / scale
+        for s in blocks:
+            ideal[s].append((t, at[s]))
+        left = {s for s in left if blocks[s] - at[s] > 1e-6}
+    for s in blocks:
+        x, y = zip(*ideal[s])
+        assert np.abs(sent[s] - np.interp(np.arange(total + 1), x, y)).max() < 1 + 1e-5
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(i, "some text " * (1 + i % 7), "en", f"host{i % 1500}", 0, 0, "", "") for i in range(3000)]
+    got = mixing.mixed(frame(spark, rows), block_bytes=50).collect()
+    assert sorted(g.doc_id for g in got) == list(range(3000)) and len({g.source for g in got}) == 1500
+    by = defaultdict(set)
+    for g in got:
+        by[g.slot].add((g.source, g.block))
+    assert all(len(x) == 1 for x in by.values())
