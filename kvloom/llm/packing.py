@@ -2,8 +2,8 @@
 
 Piece lengths are whole numbers up to the capacity, so all that a packing depends on is how many pieces there are of each length: a table of at most
 2048 rows, whatever the corpus. On it the driver packs best-fit decreasing, bins with equal contents as one entry with a count, and then improves:
-the emptiest bin gives documents to fuller underfull ones by moves, one-for-one and two-for-one exchanges that raise the sum of squared fills, until it
-is empty or nothing helps, or the number of bins has reached its lower bound. Pieces are ranked within their length without one large task, and a
+the emptiest bins give documents to fuller underfull ones by moves, one-for-one and two-for-one exchanges that raise the sum of squared fills, all bins
+of equal contents at once, until no exchange of any bin helps or the number of bins has reached its lower bound. Pieces are ranked within their length without one large task, and a
 piece's rank tells its sequence and offset.
 
 Tokenising: a token never crosses white space or the end of an ASCII word before a stop mark, so documents are cut there, and each distinct part is
@@ -16,6 +16,7 @@ the named id and text columns are read.
 from __future__ import annotations
 
 import bisect
+import heapq
 import os
 import zlib
 from collections.abc import Iterator
@@ -197,73 +198,93 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     return [x for xs in room.values() for x in xs]
 
 
-def improve(packed: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY, turns: int = 2000, near: int = 400) -> list[tuple[tuple[int, ...], int]]:
-    """Empty bins by moves and exchanges between underfull ones."""
+def improve(packed: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Empty bins by moves and exchanges between underfull ones, until nothing helps or no fewer bins can hold the pieces."""
     bins: dict[tuple[int, ...], int] = {}
-    for contents, n in packed:
-        key = tuple(sorted(contents, reverse=True))
-        bins[key] = bins.get(key, 0) + n
-    total = sum(sum(k) * n for k, n in bins.items())
-    number = sum(bins.values())
+    rooms: dict[int, dict[int, dict[tuple[int, ...], None]]] = {}  # by room left and a length that may come back (0: none), the contents that have both
+    todo: list[tuple[int, tuple[int, ...]]] = []
 
     def change(contents: tuple[int, ...], by: int) -> None:
-        bins[contents] = bins.get(contents, 0) + by
-        if not bins[contents]:
+        was = bins.get(contents, 0)
+        bins[contents] = was + by
+        if not was + by:
             del bins[contents]
+        left = capacity - sum(contents)
+        if left and not was:
+            room = rooms.setdefault(left, {})
+            for b in {0, *contents}:
+                room.setdefault(b, {})[contents] = None
+            heapq.heappush(todo, (-left, contents))
+        elif left and contents not in bins:
+            room = rooms[left]
+            for b in {0, *contents}:
+                del room[b][contents]
+                if not room[b]:
+                    del room[b]
+            if not room:
+                del rooms[left]
 
-    for _ in range(turns):
-        if number <= -(-total // capacity):
-            break
-        least = min(bins, key=lambda k: (sum(k), k))
-        change(least, -1)
-        giver = list(least)
-        under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (sum(k), k))[:near]
-        while giver:
-            found = max(((*_exchange(giver, k, capacity - sum(k)), k) for k in under if k in bins), key=lambda x: sum(x[0]) - sum(x[1]), default=([], [], ()))
-            out, back, k = found
-            if not out:
+    for contents, n in packed:
+        change(tuple(sorted(contents, reverse=True)), n)
+    least = -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
+    number = sum(bins.values())
+    helped = False
+    while number > least:
+        if not todo:
+            if not helped:
                 break
-            for x in out:
-                giver.remove(x)
-            giver.extend(back)
-            taken = list(k)
-            for x in back:
-                taken.remove(x)
-            after = tuple(sorted(taken + out, reverse=True))
-            change(k, -1)
-            change(after, 1)
-            if sum(after) < capacity:
-                under.append(after)
-        if giver:
-            change(tuple(sorted(giver, reverse=True)), 1)
-            break
-        number -= 1
+            helped = False  # what helped no bin before may do so now
+            todo = sorted((sum(k) - capacity, k) for k in bins if sum(k) < capacity)
+            continue
+        _, giver = heapq.heappop(todo)
+        if giver not in bins:
+            continue
+        out, back, taker = _exchange(giver, bins[giver], rooms, capacity)
+        if not out:
+            continue
+        n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+        change(giver, -n)
+        change(taker, -n)
+        change(_swapped(taker, back, out), n)
+        rest = _swapped(giver, out, back)
+        if rest:
+            change(rest, n)
+        else:
+            number -= n
+        if giver in bins:
+            heapq.heappush(todo, (sum(giver) - capacity, giver))
+        helped = True
     return sorted(bins.items())
 
 
-def _exchange(giver: list[int], taker: tuple[int, ...], left: int) -> tuple[list[int], list[int]]:
-    """What goes over and what comes back so that the taker, the fuller bin, gains most: its square grows by more than the giver's shrinks."""
-    if left <= 0 or sum(giver) > sum(taker):
-        return [], []
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    mine = sorted(set(giver), reverse=True)
-    for a in mine:
-        if a <= left and a > best[0]:
-            best = (a, [a], [])
-    theirs = sorted(set(taker))
-    for a in mine:
-        k = bisect.bisect_left(theirs, a - left)
-        if k < len(theirs) and 0 < a - theirs[k] and a - theirs[k] > best[0]:
-            best = (a - theirs[k], [a], [theirs[k]])
-    some = sorted(giver, reverse=True)[:12]
-    for i, a in enumerate(some):
-        for b in some[i + 1 :]:
-            if a + b <= left and a + b > best[0]:
-                best = (a + b, [a, b], [])
-            k = bisect.bisect_left(theirs, a + b - left)
-            if k < len(theirs) and a + b - theirs[k] > best[0]:
-                best = (a + b - theirs[k], [a, b], [theirs[k]])
-    return best[1], best[2]
+def _swapped(contents: tuple[int, ...], out: list[int], back: list[int]) -> tuple[int, ...]:
+    kept = list(contents)
+    for x in out:
+        kept.remove(x)
+    return tuple(sorted([*kept, *back], reverse=True))
+
+
+def _exchange(giver: tuple[int, ...], copies: int, rooms: dict[int, dict[int, dict[tuple[int, ...], None]]], capacity: int) -> tuple[list[int], list[int], tuple[int, ...]]:
+    """What goes over, what comes back and the taker, a bin at least as full, so that the sum of squared fills grows most."""
+    mine = sorted(set(giver))
+    ways = {a: [a] for a in mine}
+    for i, a in enumerate(mine):
+        for b in mine[i:]:
+            if b > a or giver.count(a) > 1:
+                ways.setdefault(a + b, [a, b])
+    sums = sorted(ways)
+    most, found = 0, ([], [], ())
+    space = capacity - sum(giver)
+    for left in sorted((x for x in rooms if x <= space), reverse=True):
+        if left * space <= most:  # no taker gains more than its room
+            break
+        for b, takers in rooms[left].items():
+            s = sums[k - 1] if (k := bisect.bisect_right(sums, left + b)) else 0
+            if s > b and (grows := (s - b) * (space - left + s - b)) > most:
+                taker = next((t for t in takers if t != giver or copies > 1), None)
+                if taker is not None:
+                    most, found = grows, (ways[s], [b] if b else [], taker)
+    return found
 
 
 def places(packed: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

@@ -186,3 +186,21 @@ def test_mix_of_many_sources(spark):
     for g in got:
         by[g.slot].add((g.source, g.block))
     assert all(len(x) == 1 for x in by.values())
+
+
+def test_local_search_is_whole_on_many_copies():
+    n = 5000
+    packed = [((5, 4), n), ((7,), n), ((3, 1), n)]
+    better = packing.improve(packed, 10)
+    assert sum(n for _, n in better) == 2 * n
+    items = Counter()
+    for contents, k in better:
+        for x in contents:
+            items[x] += k
+    assert items == {5: n, 4: n, 7: n, 3: n, 1: n}
+
+
+def test_local_search_goes_on_past_a_bin_that_stays():
+    # the emptiest bin, a lone 60, finds no place; the three 24 do
+    packed = [((60,), 1), ((24, 24, 24), 1), ((76,), 3)]
+    assert sum(n for _, n in packing.improve(packed, 100)) == 4
