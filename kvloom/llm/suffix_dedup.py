@@ -12,9 +12,11 @@ over since the last run of the same byte. Streaming the columns gives for every
 ends there, its matching statistic; 200 or more marks a window. Contexts of anchors too common for one task are not lined up but compared window by
 window through 128-bit hashes, which gives the same answer.
 
-Defined results: a null text is empty; texts below 200 bytes lose nothing; rows of equal text lose everything from 200 bytes on; a null id is an id of
-its own; rows of equal id and different texts are told apart by 16 bits of a checksum; an empty table gives an empty result; other columns pass through
-``deduplicated`` and are not read elsewhere.
+Rows are numbered as they are first read, and the numbers stand for them until spans go back to the documents by id and a 128-bit digest of the text.
+
+Defined results: a null text is empty; texts below 200 bytes lose nothing; rows of equal text lose everything from 200 bytes on; rows without an id, or
+of equal id and different texts, are judged each by its own text; an empty table gives an empty result; other columns pass through ``deduplicated`` and
+are not read elsewhere.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.llm.common import cut, discard, mix, powers, slices, texts_of, told_apart
@@ -38,7 +41,8 @@ REACH = WINDOW - GRAM + 1
 MOST_ROWS, SHARD_BYTES = 20_000, 8 << 20
 _PLACE = np.uint64((1 << 26) - 1)
 _TABLE = np.random.default_rng(61).integers(1, 1 << 63, 256, dtype=np.uint64)
-_NO_ID = -(1 << 63)
+#: Contexts that are cut out of texts at once.
+_CUT_OUT = 20_000
 
 
 def _grams(run: np.ndarray) -> np.ndarray:
@@ -88,7 +92,11 @@ def owners(run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc, place, c): place packs the anchor's position, how far its first and last window start before it, and the text's checksum."""
+    """(h, r, place, c, doc, digest): place packs the anchor's position and how far its first and last window start before it.
+
+    r numbers the rows: the partition, then the row in it. A row's first anchor bears its id and digest.
+    """
+    done = TaskContext.get().partitionId() << 40
     for rows, run, at in slices(batches, "_text"):
         h, doc, owner, first, last = owners(run, at)
         up, down = powers(len(run))
@@ -96,13 +104,20 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.cumsum(_TABLE[run] * up[: len(run)], out=sums[1:])
         far, near = (owner - first).astype(np.uint64), (owner - last).astype(np.uint64)
         c = mix((sums[last + WINDOW] - sums[first]) * down[first] + (far * np.uint64(256) + near) * np.uint64(0xD6E8FEB86659FD93))
-        t = rows.column(1).to_numpy()[doc].astype(np.uint64)
-        place = (owner - at[doc]).astype(np.uint64) << np.uint64(32) | far << np.uint64(24) | near << np.uint64(16) | t
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), rows.column(0).take(pa.array(doc)), pa.array(place.view(np.int64)), pa.array(c.view(np.int64))], ["h", "doc", "place", "c"])
+        place = (owner - at[doc]).astype(np.uint64) << np.uint64(16) | far << np.uint64(8) | near
+        lead = np.ones(len(doc), bool)
+        lead[1:] = doc[1:] != doc[:-1]
+        named = pa.array(doc, mask=~lead)
+        columns = [pa.array(h.view(np.int64)), pa.array(doc + done), pa.array(place.view(np.int64)), pa.array(c.view(np.int64)), rows.column(0).take(named), rows.column(1).take(named)]
+        yield pa.RecordBatch.from_arrays(columns, ["h", "r", "place", "c", "doc", "digest"])
+        done += rows.num_rows
+
 
+def matched(group: np.ndarray, far: np.ndarray, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, and the first and last start of each run of windows in them that another context of their group holds too.
 
-def matched(group: np.ndarray, far: np.ndarray, rows: list[bytes]) -> list[np.ndarray]:
-    """For each context, the starts of its windows that another context of its group holds too. ``group`` is sorted; ``far``: bytes before the anchor."""
+    ``group`` is sorted; ``far``: bytes before the anchor.
+    """
     n = len(rows)
     size = np.array([len(r) for r in rows])
     width = REACH - 1 + WINDOW
@@ -153,76 +168,93 @@ def matched(group: np.ndarray, far: np.ndarray, rows: list[bytes]) -> list[np.nd
             long[:-1] |= long[1:] & ~top[1:]
             if long.any():
                 found[order[long], j + 1 - WINDOW] = True
-    return [np.flatnonzero(found[i]) - begin[i] for i in range(n)]
+    edge = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
+    which, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1] - 1
+    return which, first - begin[which], last - begin[which]
 
 
-def _spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans that windows from ``starts``, sorted, cover."""
-    if not len(starts):
-        return starts, starts
-    gap = np.flatnonzero(np.diff(starts) > 1)
-    return starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [len(starts) - 1]])] + WINDOW
+def _plain(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
+    """(doc, digest, _text) of every row."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return texts_of(docs, F.col(doc_id).cast("long").alias("doc"), F.unhex(F.md5(body)).alias("digest"), body.alias("_text"), *more)
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents as (doc, t, doc_id, _text), and the spans to remove as (doc, t, spans)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    plain = texts_of(docs, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.crc32(body).bitwiseAND(65535).cast("int").alias("t"), body.alias("_text"))
-    anchors = cut(plain.filter(F.octet_length("_text") >= WINDOW).mapInArrow(_anchors, "h long, doc long, place long, c long"), "anchors")
-    contexts = anchors.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one"))
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts that rows (r, _text, asked) ask for."""
+    for rows, run, at in slices(batches, "_text"):
+        asked = rows.column(2)
+        flat = asked.flatten()
+        doc = np.repeat(np.arange(rows.num_rows), np.diff(asked.offsets.to_numpy()))
+        r = rows.column(0).to_numpy()
+        h, place, far, near, nc = (flat.field(x).to_numpy() for x in ("h", "at", "far", "near", "nc"))
+        start, size = place - far, far - near + WINDOW
+        for i in range(0, len(doc), _CUT_OUT):
+            k = np.s_[i : i + _CUT_OUT]
+            ends = np.cumsum(size[k])
+            step = np.arange(ends[-1]) - np.repeat(ends - size[k], size[k])
+            data = run[np.repeat(at[doc[k]] + start[k], size[k]) + step]
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            context = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(r[doc[k]]), pa.array(start[k]), pa.array(far[k]), pa.array(nc[k]), context], ["h", "r", "start", "far", "nc", "context"])
+
+
+def _line_up(part: pd.DataFrame) -> pd.DataFrame:
+    """(r, first, last) of the matches among a shard's contexts."""
+    part = part.drop_duplicates(["h", "r", "start"]).sort_values(["h", "r", "start"]).reset_index(drop=True)  # a row that the table repeats reads its contexts again
+    group = (part["h"] != part["h"].shift()).cumsum().to_numpy(np.int64)
+    bounds = np.flatnonzero(np.diff(group, prepend=-1))
+    out = []
+    i = 0
+    while i < len(part):  # whole groups, about a few thousand rows at a time
+        k = np.searchsorted(bounds, i + 8192, "right")
+        j = len(part) if k >= len(bounds) else int(bounds[k])
+        rows = part.iloc[i:j]
+        which, first, last = matched(group[i:j], rows["far"].to_numpy(np.int64), rows["context"].tolist())
+        start = rows["start"].to_numpy(np.int64)[which]
+        out.append(pd.DataFrame({"r": rows["r"].to_numpy(np.int64)[which], "first": start + first, "last": start + last + WINDOW}))
+        i = j
+    return pd.concat(out).astype({"r": "int64", "first": "int32", "last": "int32"})
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans to remove as (doc, digest, spans), a row an id and text that lose something."""
+    plain = _plain(docs, doc_id, text)
+    anchors = cut(plain.filter(F.octet_length("_text") >= WINDOW).mapInArrow(_anchors, "h long, r long, place long, c long, doc long, digest binary"), "anchors")
+    numbers = cut(anchors.filter("digest is not null").groupBy("doc", "digest").agg(F.min("r").alias("r")), "numbers")
+    contexts = anchors.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "place")).alias("one"))
     grams = contexts.groupBy("h").agg(F.count("*").alias("nc"), F.sum("n").alias("m")).filter("m > 1").select("h", "nc")
     known = contexts.join(grams, "h")
-    mine = (F.col("one.doc") == F.col("doc")) & (F.col("one.place") == F.col("place"))
-    held = anchors.join(known, ["h", "c"]).select("h", "doc", "place", "nc", (F.col("n") > 1).alias("whole"), ((F.col("nc") > 1) & mine).alias("asks")).filter("whole or asks")
-    held = cut(held.select("h", "doc", F.expr("place & 65535").cast("int").alias("t"), F.shiftright("place", 32).cast("int").alias("at"), F.expr("place >> 24 & 255").cast("int").alias("far"), F.expr("place >> 16 & 255").cast("int").alias("near"), "nc", "whole", "asks"), "held")
+    mine = (F.col("one.r") == F.col("r")) & (F.col("one.place") == F.col("place"))
+    held = anchors.join(known, ["h", "c"]).select("h", "r", "place", "nc", (F.col("n") > 1).alias("whole"), ((F.col("nc") > 1) & mine).alias("asks")).filter("whole or asks")
+    held = cut(held.select("h", "r", F.expr("cast(place >> 16 as int)").alias("at"), F.expr("cast(place >> 8 & 255 as int)").alias("far"), F.expr("cast(place & 255 as int)").alias("near"), "nc", "whole", "asks"), "held")
     discard(anchors)
-    border = held.filter("asks").groupBy("doc", "t").agg(F.collect_list(F.struct("h", "at", "far", "near", "nc")).alias("asked"))
-    asking, _ = told_apart(plain, border, ["doc", "t"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"h": [], "doc": [], "t": [], "start": [], "far": [], "nc": [], "context": []}
-            for doc, t, body, asked in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = body.encode()
-                for x in asked:
-                    first, last = x["at"] - x["far"], x["at"] - x["near"]
-                    for name, value in (("h", x["h"]), ("doc", doc), ("t", t), ("start", first), ("far", x["far"]), ("nc", x["nc"]), ("context", raw[first : last + WINDOW])):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["t"], pa.int32()), pa.array(out["start"], pa.int32()), pa.array(out["far"], pa.int32()), pa.array(out["nc"], pa.int64()), pa.array(out["context"], pa.binary())], list(out))
-
-    asked = asking.join(border, ["doc", "t"]).select("doc", "t", "_text", "asked").mapInArrow(read, "h long, doc long, t int, start int, far int, nc long, context binary")
-    asked = cut(asked, "contexts")
+    border = held.filter("asks").groupBy("r").agg(F.collect_list(F.struct("h", "at", "far", "near", "nc")).alias("asked"))
+    border = cut(border.join(numbers, "r").select("r", F.col("doc").alias("_doc"), F.col("digest").alias("_digest"), "asked"), "border")
+    asking, _ = told_apart(plain, border.select(F.col("_doc").alias("doc"), F.col("_digest").alias("digest")), ["doc", "digest"])
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))
+    asked = cut(asking.join(border, same).select("r", "_text", "asked").mapInArrow(_read, "h long, r long, start int, far int, nc long, context binary"), "contexts")
     total = asked.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
-
-    def line_up(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["h", "doc", "t", "start"]).reset_index(drop=True)
-        group = (part["h"] != part["h"].shift()).cumsum().to_numpy(np.int64)
-        bounds = np.flatnonzero(np.diff(group, prepend=-1))
-        out = {"doc": [], "t": [], "first": [], "last": []}
-        i = 0
-        while i < len(part):  # whole groups, about a few thousand rows at a time
-            k = np.searchsorted(bounds, i + 8192, "right")
-            j = len(part) if k >= len(bounds) else int(bounds[k])
-            rows = part.iloc[i:j]
-            for (doc, t, start), starts in zip(zip(rows["doc"], rows["t"], rows["start"]), matched(group[i:j], rows["far"].to_numpy(np.int64), rows["context"].tolist())):
-                for a, b in zip(*_spans(starts)):
-                    for name, value in (("doc", doc), ("t", t), ("first", start + a), ("last", start + b)):
-                        out[name].append(value)
-            i = j
-        return pd.DataFrame(out).astype({"doc": "int64", "t": "int32", "first": "int32", "last": "int32"})
-
     few = asked.filter(F.col("nc") <= MOST_ROWS).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    lined = few.select("shard", "h", "doc", "t", "start", "far", "context").groupBy("shard").applyInPandas(line_up, "doc long, t int, first int, last int")
+    lined = few.select("shard", "h", "r", "start", "far", "context").groupBy("shard").applyInPandas(_line_up, "r long, first int, last int")
     # too common for one task: a row a window, counted by two hashes of its bytes and the anchor
-    windows = asked.filter(F.col("nc") > MOST_ROWS).select("h", "doc", "t", "start", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - WINDOW)).alias("i"))
+    windows = asked.filter(F.col("nc") > MOST_ROWS).select("h", "r", "start", "context").distinct()
+    windows = windows.select("h", "r", "start", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - WINDOW)).alias("i"))
     piece = F.expr(f"substring(context, i + 1, {WINDOW})")
-    windows = windows.select("doc", "t", (F.col("start") + F.col("i")).cast("int").alias("first"), F.xxhash64("h", piece).alias("k1"), F.xxhash64(piece, F.lit(1)).alias("k2"))
+    windows = windows.select("r", (F.col("start") + F.col("i")).cast("int").alias("first"), F.xxhash64("h", piece).alias("k1"), F.xxhash64(piece, F.lit(1)).alias("k2"))
     twice = windows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
-    common = windows.join(twice, ["k1", "k2"]).select("doc", "t", "first", (F.col("first") + WINDOW).cast("int").alias("last"))
-    whole = held.filter("whole").select("doc", "t", (F.col("at") - F.col("far")).cast("int").alias("first"), (F.col("at") - F.col("near") + WINDOW).cast("int").alias("last"))
-    spans = whole.union(lined).union(common).groupBy("doc", "t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return plain, cut(spans, "spans")
+    common = windows.join(twice, ["k1", "k2"]).select("r", "first", (F.col("first") + WINDOW).cast("int").alias("last"))
+    whole = held.filter("whole").select("r", (F.col("at") - F.col("far")).cast("int").alias("first"), (F.col("at") - F.col("near") + WINDOW).cast("int").alias("last"))
+    spans = whole.union(lined).union(common).groupBy("r").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return cut(spans.join(numbers, "r").select("doc", "digest", "spans"), "spans")
+
+
+def _with_spans(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may lose something, with their ``spans`` (null: none), and rows that lose nothing."""
+    some, rest = told_apart(rows, spans, ["doc", "digest"])
+    found = spans.select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest"), "spans")
+    return some.join(found, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left").drop("_doc", "_digest"), rest
 
 
 def _removed(size: int, spans: list | None) -> list[tuple[int, int]]:
@@ -246,7 +278,7 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    plain, spans = repeats(docs, doc_id, text)
+    spans = repeats(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in slices(batches, "_text"):
@@ -255,22 +287,20 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             for i, (doc, found) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2).to_pylist())):
                 body = raw[at[i] : at[i + 1]]
                 runs = _removed(len(body), found)
-                out.append((None if doc == _NO_ID else doc, len(body), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(body, runs)).hexdigest()))
+                out.append((doc, len(body), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(body, runs)).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    some, rest = told_apart(plain, spans, ["doc", "t"])
-    both = some.join(spans, ["doc", "t"], "left").select("doc", "_text", "spans").union(rest.select("doc", "_text", F.lit(None).cast("array<struct<first:int,last:int>>")))
+    some, rest = _with_spans(_plain(docs, doc_id, text), spans)
+    both = some.select("doc", "_text", "spans").union(rest.select("doc", "_text", F.lit(None).cast("array<struct<first:int,last:int>>")))
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` with repeated passages cut out of their texts, at whole characters: one that keeps a byte stays; n_chars follows."""
-    _, spans = repeats(docs, doc_id, text)
+    spans = repeats(docs, doc_id, text)
     names, kinds = docs.columns, docs.schema
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = texts_of(docs, F.struct(*[docs[c] for c in names]).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.crc32(body).bitwiseAND(65535).cast("int").alias("t"))
-    some, rest = told_apart(keyed, spans, ["doc", "t"])
+    some, rest = _with_spans(_plain(docs, doc_id, text, F.struct(*[docs[c] for c in names]).alias("_row")).drop("_text"), spans)
 
     @F.pandas_udf("string")
     def without(body: pd.Series, found: pd.Series) -> pd.Series:
@@ -290,7 +320,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
             out.append(_kept(raw, runs).decode())
         return pd.Series(out, dtype=object)
 
-    changed = some.join(spans, ["doc", "t"], "left").withColumn("_new", without(F.col(f"_row.{text}"), "spans"))
+    changed = some.withColumn("_new", without(F.col(f"_row.{text}"), "spans"))
     fields = {c: F.col(f"_row.{c}") for c in names}
     new = fields | {text: F.col("_new")} | ({n_chars: F.when(F.col(f"_row.{n_chars}").isNotNull(), F.length("_new")).cast(kinds[n_chars].dataType)} if n_chars in names else {})
     return changed.select(*[new[c].alias(c) for c in names]).union(rest.select(*[fields[c].alias(c) for c in names]))

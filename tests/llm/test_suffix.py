@@ -6,6 +6,7 @@ import pytest
 from tests.llm.corpora import frame, odd_rows
 
 from kvloom.llm import suffix_dedup
+from kvloom.llm.common import SLICE_BYTES
 
 
 def brute(rows):
@@ -78,3 +79,20 @@ def test_texts_are_cut_at_whole_characters(spark):
     assert by[1000].text == by[0].text and (by[0].text == "" or len(by[0].text) < 200)
     assert by[7000].text.endswith("a") and by[7000].n_chars == len(by[7000].text) < 121
     assert by[3000].text is None
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    passage = "".join(random.Random(5).choices("abcdefgh", k=260))
+    rows = [(5, "start " + passage + " end", "en", "s", 0, 0, "", "")]
+    for k, who in enumerate([None] * 400 + [7] * 400):
+        body = "".join(random.Random(100 + k).choices("ijklmnop", k=300))
+        rows.append((who, body[:150] + passage + body[150:] if k % 100 == 3 else body, "en", "s", 0, 0, "", ""))
+    rows += [rows[9], (None, None, "en", "s", 0, 0, "", "")]
+    same(spark, rows)
+
+
+def test_texts_longer_than_a_slice(spark):
+    r = random.Random(9)
+    long = "".join(r.choices("abcdefghijklmnop ", k=SLICE_BYTES + 5000))
+    rows = [(1, long, "en", "s", 0, 0, "", ""), (2, "x" + long[1_000_000:1_000_700] + "y", "en", "s", 0, 0, "", ""), (3, long[:199], "en", "s", 0, 0, "", ""), (4, long[-400:], "en", "s", 0, 0, "", "")]
+    same(spark, rows)
