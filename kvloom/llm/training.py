@@ -16,6 +16,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     known = labels.filter(learns() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     n = known.count()
     if n > most:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+        known = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < F.lit((most << 63) // n))
     plain = texts_of(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return cut(plain.join(F.broadcast(known), "doc_id").select("text", F.col("label").cast("int").alias("label")), "labelled")
