@@ -21,9 +21,11 @@ _scratch: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; one of our own only where none is set and there is no cluster, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _scratch.setdefault("own", [f"file://{tempfile.mkdtemp(prefix='kvloom-')}"])[0]
     return found.rstrip("/")
 
@@ -86,6 +88,21 @@ def told_apart(df: DataFrame, keys: DataFrame, names: list[str]) -> tuple[DataFr
     return told.filter(hit).drop("_w", "_set"), told.filter(~hit).drop("_w", "_set")
 
 
+#: Share of all rows from which on a key's rows stay where they are in ``with_facts``, so at most as many keys as its inverse are broadcast.
+HEAVY = 1e-4
+
+
+def with_facts(df: DataFrame, facts: DataFrame, key: str, rows: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` left-joined with ``facts``, a row a ``key`` that tells how many ``rows`` have it: rows of heavy keys, and all others.
+
+    Heavy keys, 10,000 at most, are broadcast, so no task gathers the rows of one of them; both parts together are the join.
+    """
+    heavy = facts.filter(F.col(rows) > max(1000.0, HEAVY * total))
+    held = df.join(F.broadcast(heavy), key, "left")
+    apart = F.col(rows).isNotNull()
+    return held.filter(apart), held.filter(~apart).select(*df.columns).join(facts.filter(F.col(rows) <= max(1000.0, HEAVY * total)), key, "left")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

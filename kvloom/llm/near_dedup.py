@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kvloom.llm.common import cut, discard, lists, mix, numbered, shingles, slices, texts_of, told_apart
+from kvloom.llm.common import cut, discard, lists, mix, numbered, shingles, slices, texts_of, told_apart, with_facts
 
 SLOTS = 210
 BAND_ROWS = 7
@@ -113,8 +113,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
 
 
-def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold: float, multiset: bool = True) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row. n_links counts the verified links of a row's text to other texts, as far as classes needed them."""
+def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold: float, multiset: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows as (doc_id, _t), and (_t, class_id, n_links, copies, kept_t, kept_id) of every distinct text.
+
+    A class keeps the text of its least id (ids before none, then the least text). n_links counts verified links to other texts, as far as classes needed them.
+    """
     plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = cut(plain.mapInArrow(bands, "doc_id long, _t binary, bands array<long>"), "bands")
     texts = rows.groupBy("_t").agg(F.first("bands").alias("bands")).select("_t", F.explode("bands").alias("bucket"))
@@ -207,20 +210,39 @@ def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
         left = marked.select("bucket", "_t", "size", "shared", "lead", "o", (F.col("tried") | F.col("pivot")).alias("tried"))
         pivots *= 8
     counted = links.select(F.col("a").alias("_t")).union(links.select(F.col("b").alias("_t"))).groupBy("_t").agg(F.count("*").alias("n_links"))
-    out = placed(rows.select("doc_id", "_t")).join(counted, "_t", "left").select("doc_id", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.join(out.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("doc_id", "class_id", "n_links")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of each class: the least id's stay, of equal rows one. Rows without an id all stay."""
-    classes = near_duplicates(docs, doc_id, text)
-    counted = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("class_id")).alias("goes"))
-    counted = cut(counted.filter("doc_id is not null and (n > 1 or goes)").select(F.col("doc_id").alias("id"), "goes"), "losers")
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].cast("long").alias("id"))
-    some, rest = told_apart(keyed, counted, ["id"])
-    some = some.join(counted, "id", "left").filter("goes is null or not goes")
-    twins = some.filter("goes is not null").withColumn("body", F.col("row")[text]).dropDuplicates(["id", "body"])
-    return some.filter("goes is null").select("row").union(twins.select("row")).union(rest.select("row")).select("row.*")
+    # facts of a text meet its class first, a row a text; all its copies then meet one row
+    of_text = placed(rows.groupBy("_t").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))).join(counted, "_t", "left")
+    of_text = of_text.select("_t", "comp", "least", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "_t")
+    of_class = of_text.groupBy("comp").agg(F.min("least").alias("class_id"), F.min(order).alias("keeps"))
+    return rows.select("doc_id", "_t"), of_text.join(of_class, "comp").select("_t", "class_id", "n_links", "copies", F.col("keeps._t").alias("kept_t"), F.col("keeps.least").alias("kept_id"))
+
+
+def linked(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold: float, multiset: bool = True) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row. n_links counts the verified links of a row's text to other texts, as far as classes needed them."""
+    rows, texts = grouped(docs, bands, doc_id, text, threshold, multiset)
+    # a text that nothing else is like or equal to is its own class, whatever its id
+    several = cut(texts.filter((F.col("copies") > 1) | (F.col("kept_t") != F.col("_t")) | (F.col("n_links") > 0)).select("_t", "copies", "class_id", "n_links"), "several")
+    some, rest = told_apart(rows, several, ["_t"])
+    lone = F.col("n_links").isNull()
+    columns = ["doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
+    out = rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    for part in with_facts(some, several, "_t", "copies", rows.count()):
+        out = out.union(part.select(*columns))
+    return out
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` less all but one of each class: a row of the least id (ids before none, then the least text)."""
+    rows, texts = grouped(docs, _bag_bands, doc_id, text, threshold)
+    several = cut(texts.filter((F.col("copies") > 1) | (F.col("kept_t") != F.col("_t"))).select("_t", "copies", "kept_t", "kept_id"), "several")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].cast("long").alias("id"), F.unhex(F.md5(F.coalesce(docs[text], F.lit("")))).alias("_t"))
+    some, out = told_apart(keyed, several, ["_t"])
+    out = out.select("row")
+    for part in with_facts(some, several, "_t", "copies", rows.count()):
+        twins = part.filter((F.col("kept_t") == F.col("_t")) & F.col("id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["_t"])
+        out = out.union(part.filter("kept_t is null").select("row")).union(twins.select("row"))
+    return out.select("row.*")
 
 
 def _first(free: DataFrame, n: int, key) -> DataFrame:

@@ -58,8 +58,8 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
 def test_equal_rows_keep_one(spark):
     rows = odd_rows()
     got = near_dedup.one_of_each(frame(spark, rows)).collect()
-    want = {c for i, c in brute_classes(rows) if i != "None"}
-    assert Counter(str(r.doc_id) for r in got if r.doc_id is not None) == Counter(want)
+    want = {c for _, c in brute_classes(rows)}
+    assert Counter(str(r.doc_id) for r in got) == Counter(want)
 
 
 def test_sequences_follow_the_mix(spark):
@@ -84,3 +84,13 @@ def test_sequences_follow_the_mix(spark):
     assert last["b"] / last.total() < 0.04
     plain = packing.pack(docs).collect()
     assert len({g.sequence_id for g in plain}) == len(bins)  # the mix costs no sequence
+
+
+def test_classes_go_by_text_and_not_by_id(spark):
+    r = random.Random(3)
+    prose = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(80))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, c + " more"), (None, d), (None, d + " more"), (None, d), (None, None), (None, "")]
+    got = near_dedup.one_of_each(frame(spark, [(i, t, "en", "s", 0, 0, "", "") for i, t in rows])).collect()
+    kept = Counter((x.doc_id, (x.text or "")[:200]) for x in got)
+    assert kept == Counter([(1, a[:200]), (2, b[:200]), (3, c[:200]), (None, d[:200]), (None, "")])
