@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,7 @@ from kvloom.operators import crdt, folds, index, reconcile, sync
 from kvloom.operators.index import IndexQuery
 from kvloom.plans import mapreduce
 from kvloom.plans.jobs import Inputs, Job, Phase, parse
-from kvloom.sources import store
+from kvloom.sources import props, store
 from kvloom.streaming import queues
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,13 +110,14 @@ def _(spark, sf):
 
 @query("s10_get", "SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status FROM orders WHERE o_orderkey = 77")
 def _(spark, sf):
-    return store.get(objects(spark, sf, "orders"), "orders", "77").select("key", F.get_json_object(F.col("siblings")[0]["value"], "$.o_orderstatus").alias("status"))
+    lens = LENSES["orders"]
+    return store.get(lens.objects(lens.narrowed(lens.read(spark, sf), "77")), "orders", "77").select("key", F.get_json_object(F.col("siblings")[0]["value"], "$.o_orderstatus").alias("status"))
 
 
-@query("s11_head", "SELECT o_orderkey::VARCHAR AS key, epoch(o_orderdate)::BIGINT AS modified, o_orderstatus = 'P' AS deleted FROM orders WHERE o_custkey < 20")
+@query("s11_head", "SELECT o_orderkey::VARCHAR AS key, epoch(o_orderdate)::BIGINT AS modified, o_orderstatus = 'P' AS deleted FROM orders")
 def _(spark, sf):
     o = store.heads(objects(spark, sf, "orders"))
-    return o.filter(F.element_at(F.col("siblings")[0]["indexes"], "o_custkey_int")[0].cast("bigint") < 20).select("key", F.unix_timestamp(F.col("siblings")[0]["last_mod"]).alias("modified"), F.col("siblings")[0]["deleted"].alias("deleted"))
+    return o.select("key", F.unix_timestamp(F.col("siblings")[0]["last_mod"]).alias("modified"), F.col("siblings")[0]["deleted"].alias("deleted"))
 
 
 @query("s12_put_batch", "SELECT user_id::VARCHAR AS key, max_by(event_type, (ts, event_type)) AS value FROM events GROUP BY user_id")
@@ -170,7 +172,7 @@ def _(spark, sf):
 
 @query("s23_fold_postings", "SELECT 'orders' AS bucket, f AS field, count(*) AS n FROM orders, (SELECT unnest(['o_custkey_int', 'o_orderpriority_bin', 'o_orderstatus_bin']) AS f) GROUP BY f")
 def _(spark, sf):
-    return store.fold_postings(postings(spark, sf, "orders"))
+    return store.fold_postings(LENSES["orders"].all_postings(LENSES["orders"].read(spark, sf)))
 
 
 @query("s24_bucket_objects", "SELECT p_partkey::VARCHAR AS key, p_brand AS brand FROM part WHERE p_partkey::VARCHAR >= '10' AND p_partkey::VARCHAR < '20'")
@@ -341,14 +343,16 @@ _filter("f22_or", "customer", "c_mktsegment", [["or", [["starts_with", "A"]], [[
 _filter("f23_not", "customer", "c_mktsegment", [["not", [["starts_with", "A"]]]], "c_mktsegment|NOT starts_with(v, 'A')")
 
 
-@query("f3_float_to_string")
+@query("f3_float_to_string", "SELECT o_orderkey, printf('%.20e', o_totalprice) AS v FROM orders")
 def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", keyfilters.compiled([["float_to_string"]], F.col("o_totalprice")).alias("v"))
 
 
-@query("f25_text_forms", "SELECT o_orderkey, o_orderkey::VARCHAR AS v FROM orders")
+@query("f25_text_forms", "SELECT o_orderkey, starts_with(o_custkey::VARCHAR, '2') AS whole, starts_with(printf('%.20e', o_totalprice), '2.0') AS pointed, printf('%.20e', o_custkey + 0.5) IN ('2.05000000000000000000e+01', '7') AS member FROM orders")
 def _(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", keyfilters.compiled([["int_to_string"]], F.col("o_orderkey")).alias("v"))
+    of = lambda chain, c, floats=False: keyfilters.compiled(chain, F.col(c) if isinstance(c, str) else c, floats)
+    parsed = of([["string_to_float"], ["set_member", 20.5, 7]], F.concat(F.col("o_custkey"), F.lit(".5")))
+    return table(spark, sf, "orders").select("o_orderkey", of([["starts_with", "2"]], "o_custkey").alias("whole"), of([["starts_with", "2.0"]], "o_totalprice", True).alias("pointed"), parsed.alias("member"))
 
 
 # ------------------------------------------------------------------ jobs
@@ -360,11 +364,11 @@ def _prices(rows: DataFrame, field: str = "$.o_totalprice") -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Total price of one customer group's orders: a filtered bucket, values mapped, a sum reduced."""
     tables = job_tables(spark, sf, "orders")
-    values = mapreduce.run(tables, Job(Inputs("filtered", "orders", chain=(("string_to_int",), ("between", 1, 5000))), (Phase("map", "map_object_value", "filter_notfound", True),)))
+    values = mapreduce.run(tables, Job(Inputs("filtered", "orders", chain=(("string_to_int",), ("greater_than", 0))), (Phase("map", "map_object_value", "filter_notfound", True),)))
     return mapreduce.reduce_sum(_prices(values), None)
 
 
-@query("i3_m4_m16_filtered_sum", "SELECT sum(o_totalprice)::DOUBLE AS value FROM orders WHERE o_orderkey BETWEEN 1 AND 5000")
+@query("i3_m4_m16_filtered_sum", "SELECT sum(o_totalprice)::DOUBLE AS value FROM orders WHERE o_orderkey > 0")
 def _(spark, sf):
     return flagship(spark, sf)
 
@@ -411,19 +415,19 @@ def _(spark, sf):
     return mapreduce.run(job_tables(spark, sf, "supplier"), Job(Inputs("bucket", "supplier"), (Phase("map", f, 1, True),)))
 
 
-@query("m7_m8_link", "SELECT DISTINCT c_name AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey BETWEEN 1 AND 300")
+@query("m7_m8_link", "SELECT DISTINCT c_name AS value FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(spark, sf):
     phases = (Phase("link", bucket="customer", tag="placed_by"), Phase("reduce", "reduce_set_union"), Phase("map", "map_object_value", "filter_notfound", True))
-    got = mapreduce.run(job_tables(spark, sf, "orders", "customer"), Job(Inputs("filtered", "orders", chain=(("string_to_int",), ("between", 1, 300))), phases))
+    got = mapreduce.run(job_tables(spark, sf, "orders", "customer"), Job(Inputs("bucket", "orders"), phases))
     return got.select(F.get_json_object("value", "$.c_name").alias("value"))
 
 
-@query("m9_x3_walk", "SELECT DISTINCT 'region' AS bucket, n_regionkey::VARCHAR AS key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 100")
+@query("m9_x3_walk", "SELECT DISTINCT 'region' AS bucket, n_regionkey::VARCHAR AS key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def _(spark, sf):
     names = ("orders", "customer", "nation", "region")
     every = reduce(DataFrame.unionByName, [keys(spark, sf, n) for n in names])
     edges = reduce(DataFrame.unionByName, [LENSES[n].edges(LENSES[n].read(spark, sf)) for n in names[:3]])
-    start = keys(spark, sf, "orders").filter(F.col("key").cast("bigint") < 100).select("bucket", "key")
+    start = keys(spark, sf, "orders").select("bucket", "key")
     (last,) = sync.walk(edges, every, start, [("customer", "_", None), ("_", "lives_in", None), ("region", "_", None)])
     return last
 
@@ -523,8 +527,8 @@ def _(spark, sf):
 # ------------------------------------------------------------------ folds
 
 _CLOCK = "'a=' || (o_orderkey % 5 + 1) || ',b=' || (o_custkey % 3 + 1)"
-_SCOPE = folds.Scope("orders", ("1", "5"), portable=True, tree_size="xsmall")
-_IN = "o_orderkey::VARCHAR BETWEEN '1' AND '5'"
+_SCOPE = folds.Scope("orders", ("0", ":"), portable=True, tree_size="xsmall")
+_IN = "o_orderkey::VARCHAR BETWEEN '0' AND ':'"
 _SEGMENT = "(('0x' || left(md5('orders/' || o_orderkey), 8))::BIGINT % 4096)::INT"
 _HASH = f"('0x' || left(md5('orders/' || o_orderkey || '@' || {_CLOCK}), 15))::BIGINT"
 _TREE = f"SELECT {_SEGMENT} // 1024 AS branch, {_SEGMENT} AS segment, bit_xor({_HASH}) AS seg_hash FROM orders WHERE {_IN} GROUP BY 1, 2"
@@ -542,7 +546,7 @@ def _(spark, sf):
 
 @query("a3_clocks_of_segments", f"SELECT 'orders' AS bucket, o_orderkey::VARCHAR AS key, {_CLOCK} AS clock FROM orders WHERE {_SEGMENT} IN (1, 2, 3, 500) AND {_IN}")
 def _(spark, sf):
-    return folds.fetch_clocks(keystore(spark, sf, "orders"), folds.Scope("orders", ("1", "5"), segments=(1, 2, 3, 500), portable=True, tree_size="xsmall"))
+    return folds.fetch_clocks(keystore(spark, sf, "orders"), folds.Scope("orders", ("0", ":"), segments=(1, 2, 3, 500), portable=True, tree_size="xsmall"))
 
 
 @query("a4_tree_range", _TREE)
@@ -560,11 +564,21 @@ def _(spark, sf):
     return folds.fetch_clocks(keystore(spark, sf, "orders"), _SCOPE)
 
 
-@query("a7_a8_dispatched", f"SELECT count(*) AS n FROM orders WHERE {_IN}")
+@query("a7_repl_keys", f"SELECT count(*) AS n FROM orders WHERE {_IN}")
 def _(spark, sf):
     return folds.fold("repl_keys_range", keystore(spark, sf, "orders"), _SCOPE)
 
 
+@query("a8_repair_keys", f"SELECT 'orders' AS bucket, o_orderkey::VARCHAR AS key FROM orders WHERE {_IN}")
+def _(spark, sf):
+    return folds.repair_keys(keystore(spark, sf, "orders"), _SCOPE)
+
+
+@query("a8_dispatched", f"SELECT count(*) AS n FROM orders WHERE {_IN}")
+def _(spark, sf):
+    return folds.fold("repair_keys_range", keystore(spark, sf, "orders"), _SCOPE)
+
+
 @query("a9_siblings", "SELECT 'lineitem' AS bucket, l_orderkey || '-' || l_linenumber AS key, count(*)::INT AS sib_count FROM lineitem GROUP BY 2 HAVING count(*) > 2")
 def _(spark, sf):
     return folds.find_keys(keystore(spark, sf, "lineitem"), folds.Scope("lineitem"), sibling_count=2)
@@ -679,20 +693,39 @@ def _(spark, sf):
     return reconcile.apply_puts(e)
 
 
-@query("r6_last_write_wins", "SELECT user_id::VARCHAR AS key, max(event_id)::VARCHAR AS vals FROM events GROUP BY user_id")
+@query("r6_last_write_wins", """SELECT user_id::VARCHAR AS key, event_id::VARCHAR AS vals, CASE event_type WHEN 'view' THEN 'view=' || (event_id % 5 + 1) ELSE event_type || '=1,view=' || (event_id % 5) END AS clock
+FROM (SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id)""")
 def _(spark, sf):
-    e = table(spark, sf, "events").select(F.lit("users").alias("bucket"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("actor"), F.create_map(F.lit("view"), F.lit(0).cast("bigint")).alias("context"), F.col("event_id").cast("string").alias("value"))
-    return reconcile.apply_puts(e, last_write_wins=True).select("key", "vals")
+    e = table(spark, sf, "events").select(F.lit("users").alias("bucket"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("actor"), F.create_map(F.lit("view"), F.col("event_id") % 5).alias("context"), F.col("event_id").cast("string").alias("value"))
+    return reconcile.apply_puts(e, last_write_wins=True).select("key", "vals", "clock")
 
 
 _REPLY = "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'notfound' WHEN 'purchase' THEN 'tombstone' ELSE 'ok' END"
 
 
-@query("r12_get_decision", f"""SELECT request, CASE WHEN oks >= 2 AND poks >= 1 THEN CASE WHEN vals > 0 THEN 'ok' ELSE 'notfound' END WHEN absent > 0 AND vals = 0 AND failed = 0 THEN 'notfound' WHEN poks < 1 AND oks >= 2 THEN 'pr_unsatisfied' ELSE 'r_unsatisfied' END AS outcome
-FROM (SELECT event_id // 3 AS request, count(*) FILTER (s <> 'error') AS oks, count(*) FILTER (s <> 'error' AND event_id % 3 = 0) AS poks, count(*) FILTER (s = 'ok') AS vals, count(*) FILTER (s IN ('notfound', 'tombstone')) AS absent, count(*) FILTER (s = 'error') AS failed FROM (SELECT event_id, {_REPLY} AS s FROM events) GROUP BY 1)""")
+def _get_sql(clocked: bool, notfound_ok: bool, nodes: int) -> str:
+    """All replies in: objects are merged by a clock of one actor before the outcome is told."""
+    counts = "s <> 'error'" if notfound_ok else "s IN ('ok', 'tombstone')"
+    live = "s = 'ok'" + (" AND c = top" if clocked else "")
+    few = f"WHEN nodes < {nodes} THEN 'insufficient_nodes' " if nodes else ""
+    return f"""SELECT request, CASE {few}WHEN oks >= 2 AND poks >= 1 THEN CASE WHEN live > 0 THEN 'ok' WHEN objects > 0 THEN 'deleted' ELSE 'notfound' END WHEN {"0" if notfound_ok else "missing"} + dead > 0 AND oks = dead AND failed = 0 THEN 'notfound' WHEN poks < 1 AND oks >= 2 THEN 'pr_unsatisfied' ELSE 'r_unsatisfied' END AS outcome
+FROM (SELECT request, count(*) FILTER ({counts}) AS oks, count(*) FILTER ({counts} AND first) AS poks, count(*) FILTER ({live}) AS live, count(*) FILTER (s IN ('ok', 'tombstone')) AS objects, count(*) FILTER (s = 'tombstone') AS dead, count(*) FILTER (s = 'notfound') AS missing, count(*) FILTER (s = 'error') AS failed, count(DISTINCT CASE WHEN {counts} THEN node END) AS nodes
+FROM (SELECT *, max(CASE WHEN s IN ('ok', 'tombstone') THEN c END) OVER (PARTITION BY request) AS top FROM (SELECT event_id // 3 AS request, event_id % 3 = 0 AS first, user_id % 4 AS c, user_id % 3 AS node, {_REPLY} AS s FROM events)) GROUP BY 1)"""
+
+
+def _replies(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.floor(F.col("event_id") / 3).alias("request"), F.expr(_REPLY).alias("status"), (F.col("event_id") % 3 == 0).alias("primary"), (F.col("user_id") % 3).alias("node"), F.create_map(F.lit("a"), F.col("user_id") % 4).alias("clock"))
+
+
+@query("r12_get_decision", _get_sql(True, True, 2))
 def _(spark, sf):
-    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 3).alias("request"), F.expr(_REPLY).alias("status"), (F.col("event_id") % 3 == 0).alias("primary"))
-    return reconcile.get_decision(e, pr=1)
+    return reconcile.get_decision(_replies(spark, sf), pr=1, node_confirms=2, deleted_clock=True)
+
+
+@query("r12_get_decision_strict", _get_sql(False, False, 0))
+def _(spark, sf):
+    return reconcile.get_decision(_replies(spark, sf).drop("clock"), pr=1, notfound_ok=False, deleted_clock=True)
 
 
 @query("r13_x9_read_repair", f"{_PAIRS}, m AS (SELECT user_id, actor, max(n) AS n FROM c GROUP BY ALL) SELECT user_id::VARCHAR AS key, r::INT AS replica, CASE WHEN k2 IS NULL THEN 'notfound' ELSE 'outofdate' END AS action FROM (SELECT u.user_id, u.r, k.r AS k2, EXISTS (SELECT 1 FROM m LEFT JOIN c ON c.user_id = m.user_id AND c.actor = m.actor AND c.r = u.r WHERE m.user_id = u.user_id AND coalesce(c.n, 0) < m.n) AS behind FROM (SELECT DISTINCT k.user_id, t.r FROM k, (VALUES (0), (1), (2)) t(r)) u LEFT JOIN k ON k.user_id = u.user_id AND k.r = u.r) WHERE k2 IS NULL OR behind")
@@ -900,3 +933,450 @@ def _(spark, sf):
 @query("d18_change_feed", "SELECT o_orderkey::VARCHAR AS key, CASE o_orderkey % 20 WHEN 4 THEN 'put' WHEN 5 THEN 'delete' ELSE 'update' END AS change FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
 def _(spark, sf):
     return queues.change_feed(*_two_stores(spark, sf)).select("key", "change")
+
+
+# ------------------------------------------------------------------ stores that are written and read again
+
+def _stored(spark, sf, name: str, indexes: bool = True) -> store.Client:
+    """A parquet store, in the scratch folder, that holds a table's objects."""
+    client = store.Client(store.ParquetStore(spark, store.scratch(spark, f"store-{name}"), indexes))
+    client.store.write(objects(spark, sf, name))
+    return client
+
+
+def _failing(spark, error: type[Exception], run: Callable[[], object], shown: Callable[[Exception], str] = str) -> DataFrame:
+    """One row that tells how ``run`` fails."""
+    try:
+        run()
+    except error as e:
+        return spark.createDataFrame([(type(e).__name__, shown(e))], "error string, message string")
+    return spark.createDataFrame([], "error string, message string")
+
+
+@query("s1_contract", "SELECT 'put' AS step, n_nationkey::VARCHAR AS key FROM nation UNION ALL SELECT 'deleted', n_nationkey::VARCHAR FROM nation UNION ALL SELECT 'compacted', n_nationkey::VARCHAR FROM nation WHERE n_regionkey <> 1")
+def _(spark, sf):
+    client, out = _stored(spark, sf, "nation"), []
+    out.append(client.keys("nation").select(F.lit("put").alias("step"), "key"))
+    at = F.get_json_object(F.col("siblings")[0]["value"], "$.n_regionkey") == "1"
+    client.delete(client.store.objects().filter(at).select("bucket_type", "bucket", "key", "clock"))
+    out.append(client.keys("nation").select(F.lit("deleted").alias("step"), "key"))
+    client.compact("immediate")
+    out.append(client.keys("nation").select(F.lit("compacted").alias("step"), "key"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("s2_memory_store", "SELECT s_suppkey::VARCHAR AS key, s_name AS name FROM supplier")
+def _(spark, sf):
+    held = store.MemoryStore(spark)
+    held.write(objects(spark, sf, "supplier"))
+    return held.objects().select("key", F.get_json_object(F.col("siblings")[0]["value"], "$.s_name").alias("name"))
+
+
+@query("s4_heads_of_a_stored_bucket", "SELECT c_custkey::VARCHAR AS key, strlen('{\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\"}')::INT AS size FROM customer")
+def _(spark, sf):
+    return store.heads(_stored(spark, sf, "customer").store.objects()).select("key", F.col("siblings")[0]["size"].alias("size"))
+
+
+@query("s5_ordered_key_range", "SELECT p_partkey::VARCHAR AS key FROM part WHERE p_partkey::VARCHAR >= '15' AND p_partkey::VARCHAR < '2'")
+def _(spark, sf):
+    return store.fold_objects(_stored(spark, sf, "part").store.objects(), "part", "15", "2").select("key")
+
+
+@query("s5_stored_index", "SELECT p_size::BIGINT AS term, p_partkey::VARCHAR AS key FROM part WHERE p_size BETWEEN 10 AND 12")
+def _(spark, sf):
+    client = _stored(spark, sf, "part")
+    return index.lookup(IndexQuery.between("part", "p_size_int", 10, 12), client.postings(), client.store.objects())
+
+
+@query("s6_k17_no_indexes", "SELECT 'IndexesNotSupported' AS error, 'ParquetStore' AS message")
+def _(spark, sf):
+    return _failing(spark, index.IndexesNotSupported, lambda: _stored(spark, sf, "region", False).postings())
+
+
+@query("s25_backup", "SELECT 'copied' AS what, c_custkey::VARCHAR AS key FROM customer UNION ALL SELECT 'ValueError', 'bad_request'")
+def _(spark, sf):
+    client, to = _stored(spark, sf, "customer"), store.scratch(spark, "backup")
+    client.store.backup(to)
+    inside = _failing(spark, ValueError, lambda: client.store.backup(f"{client.store.path}/inside"), lambda e: str(e).partition(":")[0])
+    return spark.read.parquet(to).select(F.lit("copied").alias("what"), "key").union(inside)
+
+
+@query("s32_properties", """SELECT * FROM (VALUES ('default', 'n_val', '3'), ('default', 'allow_mult', 'False'), ('type', 'n_val', '5'), ('type', 'allow_mult', 'False'), ('bucket', 'n_val', '5'), ('bucket', 'allow_mult', 'True'), ('reset', 'n_val', '5'), ('reset', 'allow_mult', 'False'),
+('refused', 'n_val', 'n_val: not a positive integer'), ('refused', 'datatype', 'datatype: not one of counter, set, gset, map, hll')) t(step, name, value)""")
+def _(spark, sf):
+    c, rows = props.Catalog(), []
+    shown = lambda step, p: rows.extend((step, name, str(p[name])) for name in ("n_val", "allow_mult"))
+    shown("default", c.get("b"))
+    shown("type", c.set_type("t", {"n_val": 5}))
+    shown("bucket", c.set("b", {"allow_mult": "true"}, "t"))
+    shown("reset", c.reset("b", "t"))
+    for name, value in (("n_val", 0), ("datatype", "tree")):
+        try:
+            c.set("b", {name: value}, "t")
+        except ValueError as e:
+            rows.append(("refused", name, str(e)))
+    return spark.createDataFrame(rows, "step string, name string, value string")
+
+
+# ------------------------------------------------------------------ pages and errors of index queries
+
+@query("k6_return_terms", "SELECT c_nationkey::BIGINT AS term, c_custkey::VARCHAR AS key FROM customer WHERE c_nationkey BETWEEN 4 AND 6 UNION ALL SELECT NULL, c_custkey::VARCHAR FROM customer WHERE c_nationkey = 5 UNION ALL SELECT NULL, c_custkey::VARCHAR FROM customer WHERE c_nationkey BETWEEN 4 AND 6")
+def _(spark, sf):
+    p, k = postings(spark, sf, "customer"), keys(spark, sf, "customer")
+    none = F.lit(None).cast("bigint").alias("term")
+    of = lambda q: index.lookup(q, p, k)
+    ranged = of(IndexQuery.between("customer", "c_nationkey_int", 4, 6))
+    bare = of(IndexQuery.eq("customer", "c_nationkey_int", 5)).unionByName(of(IndexQuery.between("customer", "c_nationkey_int", 4, 6, return_terms=False)))
+    return ranged.unionByName(bare.select(none, "key"))
+
+
+@query("k11_continuations", "SELECT n::BIGINT AS max_results, least(n, 5)::BIGINT AS found, n <= 5 AS goes_on FROM (VALUES (2), (5), (6), (100)) t(n)")
+def _(spark, sf):
+    p, k = postings(spark, sf, "region"), keys(spark, sf, "region")
+    rows = []
+    for n in (2, 5, 6, 100):
+        found, more = index.page(IndexQuery.between("region", "r_name_bin", "", "~", max_results=n), p, k)
+        rows.append((n, len(found), more is not None))
+    return spark.createDataFrame(rows, "max_results long, found long, goes_on boolean")
+
+
+@query("k12_bad_continuation", "SELECT 'ValueError' AS error, 'invalid continuation' AS message")
+def _(spark, sf):
+    return _failing(spark, ValueError, lambda: index.resume(IndexQuery.eq("orders", "o_custkey_int", 1), "no such place"))
+
+
+@query("k13_streamed", "SELECT n_regionkey::BIGINT AS term, n_nationkey::VARCHAR AS key FROM nation WHERE n_regionkey BETWEEN 1 AND 3")
+def _(spark, sf):
+    rows = index.streamed(IndexQuery.between("nation", "n_regionkey_int", 1, 3), postings(spark, sf, "nation"), keys(spark, sf, "nation"))
+    return spark.createDataFrame(((r["term"], r["key"]) for r in rows), "term long, key string")
+
+
+@query("k18_within_its_time", "SELECT n_nationkey::VARCHAR AS key FROM nation WHERE n_regionkey = 2")
+def _(spark, sf):
+    found = index.lookup(IndexQuery.eq("nation", "n_regionkey_int", 2), postings(spark, sf, "nation"), keys(spark, sf, "nation"))
+    return spark.createDataFrame(mapreduce.collected(found, 600_000), "key string")
+
+
+@query("f24_sounds_like", "SELECT 'NotImplementedError' AS error, 'sounds_like has a name but no meaning' AS message")
+def _(spark, sf):
+    return _failing(spark, NotImplementedError, lambda: keyfilters.compiled([["sounds_like", "x"]], F.lit("x")))
+
+
+# ------------------------------------------------------------------ jobs: forms, errors, the rest of the built-ins
+
+_FORMS = (
+    '{"module": "m", "function": "f", "arg": 1, "bucket": "b", "index": "x_int", "key": 3}', '{"bucket": "b", "index": "x_int", "key": 3, "key_filters": [["eq", "x"]]}', '{"bucket": ["t", "b"], "index": "x_bin", "start": "a", "end": "c"}',
+    '{"bucket": "b", "key_filters": [["eq", "x"]]}', '"b"', '["t", "b"]', '[["b", "k"], ["b", "k", "data"]]',
+)
+
+
+@query("i8_i10_job_forms", """SELECT * FROM (VALUES (0, 'generator', 'default', NULL, 60000), (1, 'index', 'default', 'b', 7), (2, 'index', 't', 'b', 60000), (3, 'filtered', 'default', 'b', 7), (4, 'bucket', 'default', 'b', 60000), (5, 'bucket', 't', 'b', 7), (6, 'keys', 'default', NULL, 60000)) t(n, kind, bucket_type, bucket, timeout)""")
+def _(spark, sf):
+    rows = []
+    for n, form in enumerate(_FORMS):
+        job = parse(f'{{"inputs": {form}, "query": [{{"reduce": {{"language": "javascript", "name": "Any.reduceSum"}}}}], "timeout": {7 if n % 2 else 0}}}')
+        rows.append((n, job.inputs.kind, job.inputs.bucket_type, job.inputs.bucket, job.timeout))
+    return spark.createDataFrame(rows, "n int, kind string, bucket_type string, bucket string, timeout int")
+
+
+@query("i6_search_is_not_enabled", "SELECT 'BadJob' AS error, 'search is not enabled' AS message")
+def _(spark, sf):
+    return _failing(spark, ValueError, lambda: parse({"inputs": {"bucket": "orders", "query": "status:F"}, "query": []}))
+
+
+@query("i9_job_as_terms", "SELECT c_mktsegment AS value FROM customer WHERE c_nationkey = 4")
+def _(spark, sf):
+    job = Job(Inputs("index", "customer", field="c_nationkey_int", start=4, end=4), (Phase("map", "map_object_value", keep=True),), timeout=1000)
+    return _prices(mapreduce.run(job_tables(spark, sf, "customer"), job), "$.c_mktsegment")
+
+
+@query("m3_identity", "SELECT p_partkey::VARCHAR AS key, true AS found FROM part")
+def _(spark, sf):
+    got = mapreduce.run(job_tables(spark, sf, "part"), Job(Inputs("bucket", "part"), (Phase("map", "map_identity", keep=True),)))
+    return got.select("key", F.col("siblings").isNotNull().alias("found"))
+
+
+def _listed(spark, sf) -> mapreduce.Tables:
+    """Customers as objects whose values are JSON lists."""
+    o = objects(spark, sf, "customer")
+    at = lambda name: F.get_json_object(F.col("siblings")[0]["value"], f"$.{name}")
+    return mapreduce.Tables(spark, o.withColumn("siblings", F.transform("siblings", lambda s: s.withField("value", F.to_json(F.array(at("c_name"), at("c_mktsegment")))))))
+
+
+@query("m5_list_values", "SELECT c_name AS value FROM customer UNION ALL SELECT c_mktsegment FROM customer")
+def _(spark, sf):
+    return mapreduce.run(_listed(spark, sf), Job(Inputs("bucket", "customer"), (Phase("map", "map_object_value_list", keep=True),)))
+
+
+@query("m13_reduced_in_parts", "SELECT sum(c_nationkey)::VARCHAR AS value FROM customer")
+def _(spark, sf):
+    def nation(r, keydata, arg):
+        import json
+
+        return [json.loads(r["values"][0])["c_nationkey"]]
+
+    phases = (Phase("map", nation, {"do_prereduce": True}), Phase("reduce", lambda xs, arg: [sum(map(int, xs))], keep=True))
+    return mapreduce.run(job_tables(spark, sf, "customer"), Job(Inputs("bucket", "customer"), phases))
+
+
+@query("m25_explain", "SELECT true AS reads, true AS counts")
+def _(spark, sf):
+    plan = mapreduce.explain(job_tables(spark, sf, "nation"), Job(Inputs("bucket", "nation"), (Phase("reduce", "reduce_count_inputs", keep=True),)))
+    return spark.createDataFrame([("Scan parquet" in plan, "HashAggregate" in plan)], "reads boolean, counts boolean")
+
+
+@query("m26_errors", "SELECT * FROM (VALUES ('BadJob', 'missing_field: query'), ('BadJob', 'phase 1: no reduce function nosuch'), ('BadFilter', 'bad_filter: nosuch')) t(error, message)")
+def _(spark, sf):
+    t = job_tables(spark, sf, "nation")
+    run = lambda inputs, *phases: mapreduce.run(t, Job(inputs, phases))
+    wrong = [
+        lambda: parse({"inputs": "nation"}), lambda: run(Inputs("bucket", "nation"), Phase("map", "map_identity"), Phase("reduce", "nosuch")), lambda: run(Inputs("filtered", "nation", chain=(("nosuch",),))),
+    ]
+    return reduce(DataFrame.unionByName, [_failing(spark, ValueError, w) for w in wrong])
+
+
+@query("j1_filter_not_found", "SELECT k AS key FROM (SELECT unnest(['1', '3', 'nosuch', '3', '-1']) AS k) JOIN nation ON n_nationkey::VARCHAR = k")
+def _(spark, sf):
+    named = tuple(("default", "nation", k, None) for k in ("1", "3", "nosuch", "3", "-1"))
+    return mapreduce.run(job_tables(spark, sf, "nation"), Job(Inputs("keys", keys=named), (Phase("map", "filterNotFound", keep=True),))).select("key")
+
+
+@query("j5_sum", "SELECT sum(v)::DOUBLE AS value FROM (SELECT o_totalprice AS v FROM orders)")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_totalprice").cast("string").alias("value"))
+    return mapreduce.REDUCES["reduceSum"](rows.union(spark.createDataFrame([("not_found",)], "value string")), None)
+
+
+@query("j7_sorted_first", "SELECT p_name AS value FROM part ORDER BY p_name LIMIT 20")
+def _(spark, sf):
+    return mapreduce.REDUCES["reduceSort"](table(spark, sf, "part").select(F.col("p_name").alias("value")), None).limit(20)
+
+
+@query("x7_bodies_of_an_index_range", "SELECT o_orderkey::VARCHAR AS key, o_totalprice::DOUBLE AS price FROM orders WHERE o_custkey BETWEEN 30 AND 35")
+def _(spark, sf):
+    found = index.lookup(IndexQuery.between("orders", "o_custkey_int", 30, 35, return_terms=False), postings(spark, sf, "orders"), keys(spark, sf, "orders"))
+    got = sync.fetch(found.select(F.lit("orders").alias("bucket"), "key"), objects(spark, sf, "orders"))
+    return got.select("key", F.get_json_object(F.col("siblings")[0]["value"], "$.o_totalprice").cast("double").alias("price"))
+
+
+# ------------------------------------------------------------------ merges of siblings with events, writes, clocks
+
+#: Three replicas of each user: a replica sees two thirds of the events, holds a part of what it saw, and knows each type's latest.
+_SEEN = "SELECT user_id, r, event_type AS actor, event_id AS n, (event_id * 7 + r * 3) % 5 < 3 AS holds FROM events, (VALUES (0), (1), (2)) t(r) WHERE event_id % 3 <> r"
+_EVENTS_C = f"SELECT user_id, r, actor, max(n) AS n FROM ({_SEEN}) GROUP BY ALL"
+
+
+def _event_replicas(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events").select("user_id", F.col("event_type").alias("actor"), F.col("event_id").alias("n"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("replica")).filter("n % 3 <> replica")
+    latest = e.groupBy("user_id", "replica", "actor").agg(F.max("n").alias("n")).groupBy("user_id", "replica").agg(F.map_from_entries(F.collect_list(F.struct("actor", "n"))).alias("clock"))
+    held = e.filter("(n * 7 + replica * 3) % 5 < 3").groupBy("user_id", "replica").agg(F.collect_list(F.struct(F.concat(F.lit("v"), "n").alias("value"), "actor", F.col("n").alias("counter"))).alias("siblings"))
+    both = latest.join(held, ["user_id", "replica"], "left")
+    return both.select(F.lit("users").alias("bucket"), F.col("user_id").cast("string").alias("key"), "replica", "clock", F.coalesce("siblings", F.expr("cast(array() as array<struct<value:string,actor:string,counter:bigint>>)")).alias("siblings"))
+
+
+def _kept_sql(rows: str, c: str) -> str:
+    return f"""SELECT u.user_id::VARCHAR AS key, 'v' || d.n AS value FROM (SELECT DISTINCT user_id, actor, n FROM {rows} WHERE holds) d JOIN (SELECT DISTINCT user_id FROM {rows}) u USING (user_id)
+WHERE NOT EXISTS (SELECT 1 FROM {c} c WHERE c.user_id = d.user_id AND c.actor = d.actor AND c.n >= d.n AND NOT EXISTS (SELECT 1 FROM {rows} s WHERE s.user_id = c.user_id AND s.r = c.r AND s.actor = d.actor AND s.n = d.n AND s.holds))"""
+
+
+@query("r5_merge_with_events", f"WITH s AS ({_SEEN}), cl AS ({_EVENTS_C}) {_kept_sql('s', 'cl')}")
+def _(spark, sf):
+    return reconcile.dotted(_event_replicas(spark, sf)).select("key", F.explode("siblings.value").alias("value"))
+
+
+_PAIRS_C = _PAIRS.replace(_REPLICAS, _EVENTS_C)
+
+
+@query("r7_syntactic_merge", f"{_PAIRS_C}, s0 AS ({_SEEN}), s AS (SELECT * FROM s0 WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.user_id = s0.user_id AND dom.x = s0.r)), cl AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.user_id = c.user_id AND dom.x = c.r)) {_kept_sql('s', 'cl')}")
+def _(spark, sf):
+    return reconcile.dotted(_event_replicas(spark, sf), syntactic=True).select("key", F.explode("siblings.value").alias("value"))
+
+
+@query("r5_puts_without_context", "SELECT user_id::VARCHAR AS key, string_agg(actor || '=' || n, ',' ORDER BY actor) AS clock, sum(n)::BIGINT AS n FROM (SELECT user_id, event_type AS actor, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.lit("users").alias("bucket"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("actor"), F.lit(None).cast("map<string,bigint>").alias("context"), F.col("event_id").cast("string").alias("value"))
+    return reconcile.apply_puts(e).select("key", "clock", F.size(F.split("vals", ",")).cast("bigint").alias("n"))
+
+
+def _written_over(spark, sf, last_write_wins: bool) -> DataFrame:
+    """Suppliers over suppliers: every third write descends from what is stored, every third is the same, and the others are concurrent."""
+    old = objects(spark, sf, "supplier")
+    at = F.col("key").cast("bigint") % 3
+    clock = F.when(at == 0, F.create_map(F.lit("origin"), F.lit(2).cast("bigint"))).when(at == 1, F.col("clock")).otherwise(F.create_map(F.lit("other"), F.lit(1).cast("bigint")))
+    new = old.withColumn("clock", clock).withColumn("siblings", F.when(at == 1, F.col("siblings")).otherwise(F.transform("siblings", lambda s: s.withField("value", F.lit("new")))))
+    return store.merge_objects(old, new, last_write_wins=last_write_wins)
+
+
+@query("r8_replica_put", "SELECT s_suppkey::VARCHAR AS key, CASE s_suppkey % 3 WHEN 0 THEN 'origin=2' WHEN 1 THEN 'origin=1' ELSE 'origin=1,other=1' END AS clock, CASE s_suppkey % 3 WHEN 2 THEN 2 ELSE 1 END AS n, s_suppkey % 3 <> 1 AS fresh FROM supplier")
+def _(spark, sf):
+    return _written_over(spark, sf, False).select("key", clocks.text(F.col("clock")).alias("clock"), F.size("siblings").alias("n"), F.exists("siblings", lambda s: s["value"] == "new").alias("fresh"))
+
+
+@query("r8_last_write_wins", "SELECT s_suppkey::VARCHAR AS key, CASE s_suppkey % 3 WHEN 0 THEN 'origin=2' WHEN 1 THEN 'origin=1' ELSE 'other=1' END AS clock FROM supplier")
+def _(spark, sf):
+    return _written_over(spark, sf, True).select("key", clocks.text(F.col("clock")).alias("clock"))
+
+
+@query("r10_write_once_merge", "SELECT user_id, event_type, min_by(event_id, sha1(event_id::VARCHAR)) AS event_id FROM events GROUP BY ALL")
+def _(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id").withColumn("body", F.col("event_id").cast("string"))
+    return reconcile.write_once(rows, ["user_id", "event_type"], "body").select("user_id", "event_type", "event_id")
+
+
+@query("r11_best_replies", f"{_PAIRS}, same AS (SELECT a.user_id, a.x, a.y FROM d a JOIN d b ON a.user_id = b.user_id AND a.x = b.y AND a.y = b.x WHERE a.y_over_x AND b.y_over_x) SELECT user_id::VARCHAR AS key, r::INT AS replica FROM k WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.user_id = k.user_id AND dom.x = k.r) AND NOT EXISTS (SELECT 1 FROM same WHERE same.user_id = k.user_id AND same.x = k.r AND (same.y = 1, -same.y) < (k.r = 1, -k.r))")
+def _(spark, sf):
+    rows = replicas(spark, sf).withColumn("arrival", -F.col("replica")).withColumn("is_head", F.col("replica") == 1)
+    return reconcile.find_best(rows).select("key", "replica")
+
+
+@query("r19_pruned_clocks", """SELECT user_id::VARCHAR AS key, string_agg(actor || '=' || n, ',' ORDER BY actor) AS clock FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, actor) - 1 AS i, (SELECT max(epoch(ts)::BIGINT) FROM events) - t AS age FROM (SELECT user_id, event_type AS actor, count(*) AS n, max(epoch(ts)::BIGINT) AS t FROM events GROUP BY ALL))
+WHERE i < 1 OR age < 86400 OR (i < 3 AND age <= 864000) GROUP BY user_id""")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    now = e.agg(F.max(F.unix_timestamp("ts"))).first()[0]
+    each = e.groupBy("user_id", F.col("event_type").alias("actor")).agg(F.count("*").alias("n"), F.max(F.unix_timestamp("ts")).alias("t"))
+    held = each.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("actor", "n"))).alias("clock"), F.map_from_entries(F.collect_list(F.struct("actor", "t"))).alias("times"))
+    kept = reconcile.prune(F.col("clock"), 1, 3, 86_400, 864_000, F.lit(now), F.col("times"))
+    return held.select(F.col("user_id").cast("string").alias("key"), clocks.text(kept).alias("clock"))
+
+
+# ------------------------------------------------------------------ the rest of the convergent data types
+
+@query("c4_structural_equality", "SELECT c_custkey, c_custkey % 3 = c_custkey % 2 AS same, c_custkey % 3 + 1 = c_custkey % 2 + 1 AS same_value FROM customer")
+def _(spark, sf):
+    whole = lambda x: F.lit(x).cast("bigint")
+    a = F.create_map(F.lit("x"), F.col("c_custkey") % 3, F.lit("y"), whole(1))
+    b = F.create_map(F.lit("y"), whole(1), F.lit("x"), F.col("c_custkey") % 2)
+    value = lambda m: F.aggregate(F.map_values(m), whole(0), lambda s, v: s + v)
+    return table(spark, sf, "customer").select("c_custkey", crdt.counter_equal(a, b).alias("same"), (value(a) == value(b)).alias("same_value"))
+
+
+@query("c5_c7_hll_of_few", "SELECT user_id, count(DISTINCT event_type) AS value FROM events GROUP BY 1")
+def _(spark, sf):
+    s = crdt.hll_sketch(table(spark, sf, "events"), ["user_id"], "event_type")
+    return s.select("user_id", crdt.hll_value(F.col("sketch")).alias("value"))
+
+
+@query("c7_hll_within_its_error", "SELECT event_type, true AS within FROM events GROUP BY 1")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    s = crdt.hll_sketch(e, ["event_type"], "event_id").join(e.groupBy("event_type").agg(F.count_distinct("event_id").alias("n")), "event_type")
+    return s.select("event_type", (F.abs(crdt.hll_value(F.col("sketch")) - F.col("n")) <= 3 * 1.04 / 2**7 * F.col("n") + 1).alias("within"))
+
+
+@query("c8_c9_hll_reduced_within_its_error", "SELECT event_type, true AS within, true AS small FROM events GROUP BY 1")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    s = crdt.hll_reduce(spark, crdt.hll_sketch(e, ["event_type"], "event_id"), 8, 14).join(e.groupBy("event_type").agg(F.count_distinct("event_id").alias("n")), "event_type")
+    return s.select("event_type", (F.abs(crdt.hll_value(F.col("sketch")) - F.col("n")) <= 3 * 1.04 / 2**4 * F.col("n") + 1).alias("within"), (crdt.hll_bytes(F.col("sketch")) < 400).alias("small"))
+
+
+@query("c15_sibling_states", """SELECT user_id, 'counter' AS kind, (sum(p) - sum(n))::BIGINT::VARCHAR AS value, false AS error FROM (SELECT user_id, event_type, max(p) AS p, max(n) AS n FROM (SELECT user_id, event_id % 2 AS r, event_type, count(*) FILTER (value >= 50) AS p, count(*) FILTER (value < 50) AS n FROM events GROUP BY ALL) GROUP BY ALL) GROUP BY user_id
+UNION ALL SELECT DISTINCT user_id, NULL, 'plain', false FROM events UNION ALL SELECT DISTINCT user_id, 'counter', 'broken', true FROM events WHERE event_type = 'error'""")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    n = e.groupBy("user_id", (F.col("event_id") % 2).alias("r"), F.col("event_type").alias("actor")).agg(F.array(F.count_if(F.col("value") >= 50), F.count_if(F.col("value") < 50)).alias("pn"))
+    states = n.groupBy("user_id", "r").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("actor", "pn")))).alias("state"))
+    none = F.lit(None).cast("string")
+    rows = states.select("user_id", F.lit("counter").alias("kind"), "state", none.alias("value"))
+    rows = rows.union(e.select("user_id", none, none, F.lit("plain")).distinct()).union(e.filter("event_type = 'error'").select("user_id", F.lit("counter"), F.lit("broken"), none).distinct())
+    return crdt.merge_siblings(rows, ["user_id"])
+
+
+@query("c16_metadata", "SELECT user_id, min_by(event_type, (-epoch_us(ts), event_type)) AS meta, max(ts) AS last_mod FROM events GROUP BY 1")
+def _(spark, sf):
+    return crdt.metadata_merge(table(spark, sf, "events").select("user_id", F.col("event_type").alias("meta"), F.col("ts").alias("last_mod")), ["user_id"])
+
+
+@query("c18_updates_with_and_without_context", """SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_type <> 'signup' AND (event_type = 'error' OR NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.value >= 80)) THEN 'not_present' END AS error FROM events a""")
+def _(spark, sf):
+    e = table(spark, sf, "events").withColumn("element", F.col("event_type"))
+    op = F.expr("case event_type when 'signup' then 'add' when 'error' then 'disable' when 'view' then 'remove_field' else 'remove' end")
+    ops = e.select("event_id", "user_id", "element", op.alias("op"), F.when(F.col("event_id") % 2 == 1, "seen").alias("context"))
+    return crdt.checked_updates(ops, e.filter("value >= 80").select("user_id", "element"), ["user_id"]).select("event_id", "error")
+
+
+@query("c20_counter_requests", "SELECT user_id, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN event_id % 9 WHEN 'error' THEN -2 WHEN 'purchase' THEN -(event_id % 5) ELSE 0 END)::BIGINT AS value FROM events GROUP BY 1")
+def _(spark, sf):
+    body = F.expr("""case event_type when 'view' then '"increment"' when 'click' then cast(event_id % 9 as string) when 'error' then '{"decrement": 2}' when 'purchase' then concat('{"increment":-', event_id % 5, '}') else 'no operation' end""")
+    return crdt.counter_ops(table(spark, sf, "events").select("user_id", crdt.counter_amount(body).alias("amount")), ["user_id"])
+
+
+@query("c21_is_crdt", "SELECT event_id, event_type = 'view' AND event_id % 3 > 0 AS yes FROM events")
+def _(spark, sf):
+    kind = F.expr("case event_type when 'view' then 'counter' when 'click' then 'tree' end")
+    return table(spark, sf, "events").select("event_id", F.coalesce(crdt.is_crdt(kind, F.col("event_id") % 3 > 0), F.lit(False)).alias("yes"))
+
+
+# ------------------------------------------------------------------ synchronisation: sinks, decisions, exchanges
+
+def _queued(spark, sf) -> DataFrame:
+    return queues.routed(_entries(spark, sf), queues.parse_definitions(_RULES))
+
+
+@query("d5_overflow", f"SELECT queue, priority, on_disk, count(*) AS n FROM (SELECT queue, priority, row_number() OVER (PARTITION BY queue, priority ORDER BY seq) > 30 AS on_disk FROM ({_ROUTED})) GROUP BY ALL")
+def _(spark, sf):
+    return queues.overflowed(_queued(spark, sf), 30).groupBy("queue", "priority", "on_disk").agg(F.count("*").alias("n"))
+
+
+@query("d7_sink_workers", "SELECT o_orderkey::VARCHAR AS key, o_orderkey % 4 = 1 AS fetched FROM orders WHERE o_orderkey % 4 IN (0, 1)")
+def _(spark, sf):
+    k = keys(spark, sf, "orders").select("bucket", "key", F.concat(F.lit("v"), "key").alias("value"))
+    at = F.col("key").cast("bigint") % 4
+    queued = k.select("bucket", "key", F.when(at == 1, F.lit(None)).otherwise(F.col("value")).alias("value"), (at != 0).alias("to_fetch")).filter(at <= 2)
+    got = queues.pulled(queued, k.filter(at != 2))  # what is queued but no longer stored drops out
+    return got.filter(F.col("value") == F.concat(F.lit("v"), "key")).select("key", F.col("to_fetch").alias("fetched"))
+
+
+_FLAGS = "(VALUES (true), (false))"
+
+
+@query("d10_next_check", f"SELECT a AS has_range, b AS succeeded, c AS in_window, d AS drop_next, peer, CASE WHEN a OR b THEN 'range' WHEN d AND peer = 'disabled' THEN 'no' WHEN c THEN 'all' ELSE 'day' END AS next FROM {_FLAGS} t1(a), {_FLAGS} t2(b), {_FLAGS} t3(c), {_FLAGS} t4(d), (VALUES ('disabled'), ('enabled')) t5(peer)")
+def _(spark, sf):
+    names = ["has_range", "succeeded", "in_window", "drop_next", "peer"]
+    flags = itertools.product((True, False), (True, False), (True, False), (True, False), ("disabled", "enabled"))
+    cases = spark.createDataFrame(list(flags), "has_range boolean, succeeded boolean, in_window boolean, drop_next boolean, peer string")
+    return cases.select(*names, queues.next_check(*[F.col(n) for n in names]).alias("next"))
+
+
+def _repairs(spark, sf) -> DataFrame:
+    a, b = _two_stores(spark, sf)
+    return sync.compare(a, b).join(keystore(spark, sf, "orders").select("bucket", "key", "last_mod"), ["bucket", "key"])
+
+
+@query("d12_next_range", "SELECT 'orders' AS bucket, min(o_orderdate) AS low, max(o_orderdate) AS high FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
+def _(spark, sf):
+    return queues.narrowed(sync.repair_summary(_repairs(spark, sf)), 16)
+
+
+@query("d13_repair_filter", "SELECT 'bucket' AS kind, 'orders' AS bucket, min(o_orderkey::VARCHAR) AS low_key, max(o_orderkey::VARCHAR) AS high_key, min(epoch(o_orderdate)::BIGINT) - 1 AS low, max(epoch(o_orderdate)::BIGINT) + 1 AS high FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
+def _(spark, sf):
+    return queues.repair_filter(_repairs(spark, sf), 32, key_range=True)
+
+
+@query("d13_repair_filter_by_time", "SELECT 'modtime' AS kind, NULL::VARCHAR AS bucket, NULL::VARCHAR AS low_key, NULL::VARCHAR AS high_key, min(epoch(o_orderdate)::BIGINT) - 1 AS low, max(epoch(o_orderdate)::BIGINT) + 1 AS high FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
+def _(spark, sf):
+    spread = _repairs(spark, sf).withColumn("bucket", F.concat(F.lit("b"), F.pmod(F.col("key").cast("bigint") % 5, F.lit(5))))
+    return queues.repair_filter(spread, int(spread.count() * 1.5))
+
+
+@query("d14_slices", "SELECT start::BIGINT AS start, item FROM (VALUES (150, 'hour'), (450, 'day'), (750, 'all'), (1050, 'hour'), (1350, 'day'), (1650, 'hour')) t(start, item)")
+def _(spark, sf):
+    return spark.createDataFrame(queues.slices({"all": 1, "day": 2, "hour": 3}, 1800, 1, 2), "start long, item string")
+
+
+@query("d14_window", "SELECT range AS hour, range >= 22 OR range <= 4 AS may_run FROM range(24)")
+def _(spark, sf):
+    return spark.range(24).select(F.col("id").alias("hour"), queues.in_window(F.col("id"), 22, 4).alias("may_run"))
+
+
+@query("d16_exchange", "SELECT o_orderkey::VARCHAR AS key, CASE o_orderkey % 20 WHEN 1 THEN 'source_repair' WHEN 2 THEN 'source_repair' WHEN 3 THEN 'sink_repair' WHEN 4 THEN 'sink_repair' WHEN 5 THEN 'source_repair' END AS action FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 5")
+def _(spark, sf):
+    return sync.exchange(*_two_stores(spark, sf), folds.Scope("orders")).select("key", "action")
+
+
+@query("d17_pushed_and_fetched", "SELECT n_nationkey::VARCHAR AS key, CASE WHEN n <= 7 THEN 'fetched' ELSE 'queued' END AS state FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey::VARCHAR) AS n FROM nation)")
+def _(spark, sf):
+    on = queues.pushed(keystore(spark, sf, "nation"), "q")
+    first, rest = queues.popped(on, "q", 7)
+    return first.select("key", F.lit("fetched").alias("state")).union(rest.select("key", F.lit("queued")))

@@ -101,34 +101,39 @@ def eq(v: Column, x) -> Column:
     return v == F.lit(x)
 
 
+def _text(x) -> str:
+    """A literal's text form; numbers with a point have twenty digits after it."""
+    return "%.20e" % x if isinstance(x, float) else str(x)
+
+
 def set_member(v: Column, *members) -> Column:
     """Membership by text form."""
-    return v.cast("string").isin(*[str(m) for m in members])
+    return v.cast("string").isin(*[_text(m) for m in members])
 
 
 def similar_to(v: Column, other: str, distance: int) -> Column:
-    return F.levenshtein(v.cast("string"), F.lit(other)) <= distance
+    return F.levenshtein(v.cast("string"), F.lit(_text(other))) <= distance
 
 
 def starts_with(v: Column, prefix: str) -> Column:
-    return v.cast("string").startswith(prefix)
+    return v.cast("string").startswith(_text(prefix))
 
 
 def ends_with(v: Column, suffix: str) -> Column:
-    return v.cast("string").endswith(suffix)
+    return v.cast("string").endswith(_text(suffix))
 
 
-def and_all(v: Column, *chains) -> Column:
-    return reduce(and_, [compiled(c, v) for c in chains])
+def and_all(v: Column, *chains, floats: bool = False) -> Column:
+    return reduce(and_, [compiled(c, v, floats) for c in chains])
 
 
-def or_any(v: Column, *chains) -> Column:
-    return reduce(or_, [compiled(c, v) for c in chains])
+def or_any(v: Column, *chains, floats: bool = False) -> Column:
+    return reduce(or_, [compiled(c, v, floats) for c in chains])
 
 
-def not_first(v: Column, chain, *_ignored) -> Column:
+def not_first(v: Column, chain, *_ignored, floats: bool = False) -> Column:
     """Only the first chain counts."""
-    return ~compiled(chain, v)
+    return ~compiled(chain, v, floats)
 
 
 def sounds_like(*_) -> Column:
@@ -141,8 +146,12 @@ FILTERS = {
 } | {"and": and_all, "or": or_any, "not": not_first}
 
 
-def compiled(chain: Sequence[Sequence], value: Column) -> Column:
-    """The chain as a Column of ``value``."""
+#: Predicates on the text form of a value, and filters that take chains.
+BY_TEXT, NESTED = ("set_member", "similar_to", "starts_with", "ends_with"), ("and", "or", "not")
+
+
+def compiled(chain: Sequence[Sequence], value: Column, floats: bool = False) -> Column:
+    """The chain as a Column of ``value``. ``floats``: the value is a floating-point number, whose text form is that of ``float_to_string``."""
     if chain and isinstance(chain[0], str):  # one step, not in a list
         chain = [chain]
     out = value
@@ -150,10 +159,14 @@ def compiled(chain: Sequence[Sequence], value: Column) -> Column:
         name, *args = step
         if name not in FILTERS:
             raise BadFilter(f"bad_filter: {name}")
-        out = FILTERS[name](out, *args)
+        if name in NESTED:
+            out = FILTERS[name](out, *args, floats=floats)
+        else:
+            out = FILTERS[name](_scientific(out.cast("double")) if floats and name in BY_TEXT else out, *args)
+        floats = name == "string_to_float"
     return out if chain else F.lit(True)
 
 
 def keep(df, chain: Sequence[Sequence], column: str = "key"):
     """Rows for which the chain is exactly true."""
-    return df.filter(compiled(chain, F.col(column)))
+    return df.filter(compiled(chain, F.col(column), df.schema[column].dataType.typeName() in ("float", "double")))

@@ -87,14 +87,31 @@ class Lens:
         grouped = each.groupBy("bucket_type", "bucket", "key").agg(F.first("clock").alias("clock"), F.collect_list("s").alias("siblings"))
         return grouped.select("bucket_type", "bucket", "key", "clock", "siblings")
 
+    def narrowed(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows that may have ``key``: where keys are a whole-number column, a filter on it that the scan can take."""
+        if self.key not in rows.columns or rows.schema[self.key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+            return rows
+        whole = key.removeprefix("-").isdigit() and str(int(key)) == key
+        return rows.filter(F.col(self.key) == int(key)) if whole else rows.filter(F.lit(False))
+
+    def _entry(self, name: str) -> list[Column]:
+        whole, term = name.endswith(INTEGER_SUFFIX), F.expr(self.indexes[name])
+        return [F.lit(name).alias("field"), (F.lit(None) if whole else term).cast("string").alias("term_bin"), (term if whole else F.lit(None)).cast("bigint").alias("term_int")]
+
     def postings(self, rows: DataFrame) -> DataFrame:
-        """A row an index entry. Nothing is made distinct: a key with two terms in a range is found twice."""
-        parts = []
-        for name, e in self.indexes.items():
-            whole = name.endswith(INTEGER_SUFFIX)
-            term = F.expr(e)
-            parts.append(F.struct(F.lit(name).alias("field"), (F.lit(None) if whole else term).cast("string").alias("term_bin"), (term if whole else F.lit(None)).cast("bigint").alias("term_int")))
-        each = rows.select(*self._named(), F.explode(F.array(*parts)).alias("p"))
+        """A row an index entry. Nothing is made distinct: a key with two terms in a range is found twice.
+
+        A union of a part a field: a lookup of one field leaves one part, whose filter on the term is one on the column and reaches the scan.
+        """
+        out = None
+        for name in self.indexes:
+            part = rows.select(*self._named()[:2], *self._entry(name), self._key().alias("key"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def all_postings(self, rows: DataFrame) -> DataFrame:
+        """The same rows in one scan, for folds over every field."""
+        each = rows.select(*self._named(), F.explode(F.array(*[F.struct(*self._entry(name)) for name in self.indexes])).alias("p"))
         return each.select("bucket_type", "bucket", "p.field", "p.term_bin", "p.term_int", "key")
 
     def edges(self, rows: DataFrame) -> DataFrame:

@@ -66,8 +66,29 @@ def parse_counter_op(body: str | int | dict) -> int:
     raise ValueError(f"bad counter operation {body!r}")
 
 
+def counter_amount(body: Column) -> Column:
+    """``parse_counter_op`` over a column of texts; what is no operation is null."""
+    whole = F.regexp_extract(body, r'^"?([+-]?[0-9]+)"?$', 1)
+    word = F.regexp_extract(body, r'^\s*[{]?"?(increment|decrement)"?(?:\s*:\s*(-?[0-9]+)\s*[}])?\s*$', 1)
+    by = F.regexp_extract(body, r'^\s*[{]?"?(?:increment|decrement)"?(?:\s*:\s*(-?[0-9]+)\s*[}])?\s*$', 1)
+    amount = F.when(by == "", F.lit(1)).otherwise(F.try_to_number(by, F.lit("S9999999999999999"))).cast("bigint")
+    return F.when(whole != "", whole.cast("bigint")).when(word == "increment", amount).when(word == "decrement", -amount)
+
+
 # ------------------------------------------------------------------ sets
 
+def checked_updates(ops: DataFrame, present: DataFrame, key: list[str], element: str = "element") -> DataFrame:
+    """``ops`` (key, element, op, context) with ``error``: a removal without context of what is not ``present`` (key, element) fails its precondition.
+
+    Holds for elements of sets and fields of maps; disabling a flag needs a context that is not empty.
+    """
+    there = present.select(*key, element).distinct().withColumn("_there", F.lit(True))
+    removes = F.col("op").isin("remove", "remove_field", "disable")
+    missing = F.col("_there").isNull() | (F.col("op") == "disable")
+    bare = F.coalesce(F.col("context") == "", F.lit(True))
+    return ops.join(there, [*key, element], "left").withColumn("error", F.when(removes & bare & missing, "not_present")).drop("_there")
+
+
 def gset_merge(elements: DataFrame, key: list[str], element: str = "element") -> DataFrame:
     """Union of a grow-only set, a row an element."""
     return elements.select(*key, element).distinct()
@@ -222,7 +243,7 @@ def merge_siblings(siblings: DataFrame, key: list[str]) -> DataFrame:
 
 def metadata_merge(rows: DataFrame, key: list[str]) -> DataFrame:
     """Metadata of merged siblings: the later modified; of equal times the first by content."""
-    first = F.min(F.struct((-F.coalesce(F.unix_micros("last_mod"), F.lit(-(1 << 62)))).alias("t"), F.col("meta").alias("meta"), F.col("last_mod").alias("last_mod"))).alias("m")
+    first = F.min(F.struct((-F.coalesce(F.unix_micros(F.col("last_mod").cast("timestamp")), F.lit(-(1 << 62)))).alias("t"), F.col("meta").alias("meta"), F.col("last_mod").alias("last_mod"))).alias("m")
     return rows.groupBy(*key).agg(first).select(*key, "m.meta", "m.last_mod")
 
 

@@ -48,11 +48,11 @@ def scoped(keystore: DataFrame, s: Scope) -> DataFrame:
     if s.modified:
         rows = rows.filter(F.col("last_mod").between(*[F.timestamp_seconds(F.lit(x)) for x in s.modified]))
     if s.segments is not None:
-        rows = rows.filter(_segment(s).isin(*s.segments))
+        rows = rows.filter(segment_of(s).isin(*s.segments))
     return rows
 
 
-def _segment(s: Scope) -> Column:
+def segment_of(s: Scope) -> Column:
     return scalars.segment(F.col("bucket"), F.col("key"), SEGMENTS[s.tree_size], s.portable)
 
 
@@ -61,7 +61,7 @@ def tree(keystore: DataFrame, s: Scope, iv: int | None = None) -> DataFrame:
     salted = clocks.hashed(F.col("clock"), iv, s.portable)
     name = F.concat("bucket", F.lit("/"), "key", F.lit("@"), clocks.text(F.col("clock")))
     body = F.conv(F.substring(F.md5(name if iv is None else F.concat(F.lit(f"{iv}:"), name)), 1, 15), 16, 10).cast("bigint") if s.portable else F.xxhash64("bucket", "key", salted)
-    each = scoped(keystore, s).select(_segment(s).alias("segment"), body.alias("h"))
+    each = scoped(keystore, s).select(segment_of(s).alias("segment"), body.alias("h"))
     return each.groupBy("segment").agg(F.bit_xor("h").alias("seg_hash")).select((F.col("segment") / BRANCH).cast("int").alias("branch"), "segment", "seg_hash")
 
 
@@ -150,6 +150,11 @@ def repl_keys(keystore: DataFrame, s: Scope) -> DataFrame:
     return rows.withColumn("batch", F.floor(nth / BATCH))
 
 
+def repair_keys(keystore: DataFrame, s: Scope) -> DataFrame:
+    """What a repair fold reads again: (bucket, key) of every key in scope, to be fetched and mended."""
+    return scoped(keystore, s).select("bucket", "key")
+
+
 def dispatched(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"))
 
@@ -167,7 +172,7 @@ def encoded(result: DataFrame) -> DataFrame:
 #: Query names of range folds, with what runs them.
 FOLDS = {
     "merge_tree_range": tree, "fetch_clocks_range": fetch_clocks, "find_keys": find_keys, "object_stats": object_stats, "find_tombs": find_tombs,
-    "reap_tombs": reap_tombs, "erase_keys": erase_keys, "repl_keys_range": lambda k, s: dispatched(repl_keys(k, s)), "repair_keys_range": lambda k, s: dispatched(repl_keys(k, s)),
+    "reap_tombs": reap_tombs, "erase_keys": erase_keys, "repl_keys_range": lambda k, s: dispatched(repl_keys(k, s)), "repair_keys_range": lambda k, s: dispatched(repair_keys(k, s)),
 }
 
 

@@ -74,6 +74,24 @@ def write_once(rows: DataFrame, key: list[str], body: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.sha1(body)).alias("b")).select(*key, "b.*")
 
 
+def dotted(replicas: DataFrame, key: list[str] = NAME, syntactic: bool = False) -> DataFrame:
+    """Merge replicas whose siblings have events: (key, clock, siblings) from rows (key, clock, siblings array<struct<value,actor,counter>>).
+
+    A sibling stays if every replica holds its event or has not seen it; one that several hold stays once. ``syntactic``: dominated replicas do not count.
+    """
+    held = replicas.groupBy(*key).agg(F.collect_list(F.struct("clock", "siblings")).alias("r"))
+    held = held.withColumn("r", undominated(F.col("r"))) if syntactic else held
+    zero = F.lit(0).cast("bigint")
+
+    def stays(s: Column) -> Column:
+        holds = lambda x: F.exists(x["siblings"], lambda y: (y["actor"] == s["actor"]) & (y["counter"] == s["counter"]))
+        return F.forall("r", lambda x: holds(x) | (F.coalesce(F.try_element_at(x["clock"], s["actor"]), zero) < s["counter"]))
+
+    every = F.array_sort(F.array_distinct(F.flatten(F.transform("r", lambda x: x["siblings"]))))
+    clock = F.aggregate("r", F.create_map().cast("map<string,bigint>"), lambda a, x: clocks.merged(a, x["clock"]))
+    return held.select(*key, clock.alias("clock"), F.filter(every, stays).alias("siblings"))
+
+
 # ------------------------------------------------------------------ siblings with events (dots), and writes in order
 
 def _seen(clock: dict, dot: tuple[str, int]) -> bool:
@@ -119,9 +137,9 @@ def apply_puts(puts: DataFrame, last_write_wins: bool = False, allow_mult: bool
         state: tuple[dict, list[dict]] = ({}, [])
         for r in rows.itertuples():
             context = {} if r.context is None else dict(r.context)
-            if last_write_wins:
-                n = state[0].get(r.actor, 0) + 1
-                state = (state[0] | {r.actor: n}, [{"value": r.value, "dot": (r.actor, n)}])
+            if last_write_wins:  # the new object's own clock moves on, whatever is stored
+                n = context.get(r.actor, 0) + 1
+                state = (context | {r.actor: n}, [{"value": r.value, "dot": (r.actor, n)}])
                 continue
             n = max(state[0].get(r.actor, 0), context.get(r.actor, 0)) + 1
             frontier = {k: max(state[0].get(k, 0), context.get(k, 0)) for k in {*state[0], *context}} | {r.actor: n}
@@ -144,18 +162,31 @@ def put(stored: DataFrame, incoming: DataFrame, allow_mult: bool = True, last_wr
 
 # ------------------------------------------------------------------ quorums
 
-def get_decision(replies: DataFrame, n: int = 3, r: int = 2, pr: int = 0, notfound_ok: bool = True, basic_quorum: bool = False) -> DataFrame:
-    """(request, outcome) from replies (request, status in ok/tombstone/notfound/error, primary): ok, notfound, r_unsatisfied or pr_unsatisfied."""
-    ok_like = F.col("status").isin("ok", "tombstone") | (F.col("status") == "notfound" if notfound_ok else F.lit(False))
+def get_decision(replies: DataFrame, n: int = 3, r: int = 2, pr: int = 0, notfound_ok: bool = True, basic_quorum: bool = False, node_confirms: int = 0, deleted_clock: bool = False) -> DataFrame:
+    """(request, outcome) from all replies (request, status in ok/tombstone/notfound/error, primary; also clock, node) to each request.
+
+    With enough replies the objects are merged by clock before the outcome is told: ok where a live object is left, deleted (if its clock was asked for)
+    or notfound where only tombstones are, notfound where there is none. Else insufficient_nodes, notfound, pr_unsatisfied or r_unsatisfied. Without a
+    ``clock`` all objects are concurrent. A request has as many replies as replicas, so gathering them is bounded.
+    """
+    status = F.col("status")
+    object_ = status.isin("ok", "tombstone")
+    counts = object_ | (status == "notfound" if notfound_ok else F.lit(False))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    sums = replies.groupBy("request").agg(count(ok_like).alias("oks"), count(ok_like & F.col("primary")).alias("poks"), count(F.col("status") == "ok").alias("values"), count(F.col("status").isin("notfound", "tombstone")).alias("absent"), count(F.col("status") == "error").alias("failed"))
-    enough = (F.col("oks") >= r) & (F.col("poks") >= pr)
-    short = F.when(F.lit(pr) >= F.lit(r), "pr_unsatisfied").otherwise("r_unsatisfied")
-    nothing = (F.col("absent") > 0) & (F.col("values") == 0) & (F.col("failed") == 0)
+    clock = F.col("clock") if "clock" in replies.columns else F.lit(None).cast("map<string,bigint>")
+    sums = [count(counts).alias("oks"), count(counts & F.col("primary")).alias("poks"), count(status == "tombstone").alias("dead"), count(status == "notfound").alias("missing"), count(status == "error").alias("failed")]
+    if node_confirms:
+        sums.append(F.count_distinct(F.when(counts, F.col("node"))).alias("nodes"))
+    held = replies.groupBy("request").agg(*sums, F.collect_list(F.when(object_, F.struct(clock.alias("clock"), (status == "ok").alias("live")))).alias("objects"))
+    left = undominated(F.col("objects")) if "clock" in replies.columns else F.col("objects")
+    merged = F.when(F.exists(left, lambda x: x["live"]), "ok").when(F.lit(deleted_clock) & (F.size("objects") > 0), "deleted").otherwise("notfound")
+    unheard = F.lit(0) if notfound_ok else F.col("missing")
+    nothing = (unheard + F.col("dead") > 0) & (F.col("oks") == F.col("dead")) & (F.col("failed") == 0)
     if basic_quorum:
-        nothing = nothing | ((F.col("values") == 0) & (F.col("absent") >= n // 2 + 1))
-    outcome = F.when(enough, F.when(F.col("values") > 0, "ok").otherwise("notfound")).when(nothing, "notfound").when((F.lit(pr) > 0) & (F.col("poks") < pr) & (F.col("oks") >= r), "pr_unsatisfied").otherwise(short)
-    return sums.select("request", outcome.alias("outcome"))
+        nothing = nothing | ((F.size("objects") == F.col("dead")) & (F.col("missing") + F.col("dead") >= n // 2 + 1))
+    outcome = F.when(F.col("nodes") < node_confirms, "insufficient_nodes") if node_confirms else F.when(F.lit(False), "")
+    outcome = outcome.when((F.col("oks") >= r) & (F.col("poks") >= pr), merged).when(nothing, "notfound").when(F.lit(pr > 0) & (F.col("poks") < pr) & (F.col("oks") >= r), "pr_unsatisfied").otherwise("pr_unsatisfied" if pr >= r else "r_unsatisfied")
+    return held.select("request", outcome.alias("outcome"))
 
 
 def put_decision(acks: DataFrame, n: int = 3, w: int = 2, dw: int = 1, pw: int = 0, node_confirms: int = 0) -> DataFrame:
@@ -209,16 +240,20 @@ def conditional(stored: DataFrame, incoming: DataFrame, *, if_none_match: bool =
 
 
 def find_best(replies: DataFrame) -> DataFrame:
-    """Of each key's replies (bucket, key, replica, clock, arrival) those to fetch: undominated, of equal clocks the first to arrive."""
+    """Of each key's replies (bucket, key, replica, clock, arrival) those to fetch: undominated, of equal clocks full objects before heads, then the first to arrive.
+
+    ``is_head`` may tell which replies are heads.
+    """
     live = remove_dominated(replies)
-    first = W.partitionBy(*NAME, "_c").orderBy("arrival", "replica")
+    first = W.partitionBy(*NAME, "_c").orderBy(*(["is_head"] if "is_head" in replies.columns else []), "arrival", "replica")
     return live.withColumn("_c", clocks.text(F.col("clock"))).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_c")
 
 
 def prune(clock: Column, small: int = 50, big: int = 50, young: int = 20, old: int = 86400, now: Column | None = None, times: Column | None = None) -> Column:
-    """Clock entries kept: none is dropped up to ``small``; beyond ``big`` the oldest go, if older than ``young`` seconds."""
+    """Clock entries kept: the oldest goes while there are more than ``small``, it is ``young`` seconds old, and there are more than ``big`` or it is over ``old``."""
     if times is None or now is None:
         return clock
     entries = F.array_sort(F.transform(F.map_entries(clock), lambda e: F.struct((-F.element_at(times, e["key"])).alias("t"), e["key"].alias("key"), e["value"].alias("value"))))
-    kept = F.filter(entries, lambda e, i: (i < big) | (now + e["t"] < young))
-    return F.when(F.size(clock) <= small, clock).otherwise(F.map_from_arrays(F.transform(kept, lambda e: e["key"]), F.transform(kept, lambda e: e["value"])))
+    # i entries are newer; whatever lets an entry go lets all older ones go before it
+    kept = F.filter(entries, lambda e, i: (i < small) | (now + e["t"] < young) | ((i < big) & (now + e["t"] <= old)))
+    return F.map_from_arrays(F.transform(kept, lambda e: e["key"]), F.transform(kept, lambda e: e["value"]))

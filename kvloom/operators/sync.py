@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.functions import clocks
+from kvloom.operators import folds
 
 
 def fetch(inputs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -54,6 +55,13 @@ def compare(local: DataFrame, remote: DataFrame) -> DataFrame:
     return a.join(b, ["bucket", "key"], "full_outer").select("bucket", "key", repair_side(F.col("ca"), F.col("cb")).alias("action")).filter("action is not null")
 
 
+def exchange(local: DataFrame, remote: DataFrame, scope: folds.Scope) -> DataFrame:
+    """(bucket, key, action) by comparing hash trees first, then clocks of keys in differing segments only: a row a segment is joined, not a row a key."""
+    differ = folds.tree_diff(folds.tree(local, scope), folds.tree(remote, scope))
+    some = lambda k: folds.scoped(k, scope).withColumn("segment", folds.segment_of(scope)).join(F.broadcast(differ) if folds.SEGMENTS[scope.tree_size] <= 1 << 16 else differ, "segment", "left_semi")
+    return compare(some(local), some(remote))
+
+
 def repair_summary(repairs: DataFrame) -> DataFrame:
     """(bucket, repairs, low, high) of repairs (bucket, last_mod)."""
     return repairs.groupBy("bucket").agg(F.count("*").alias("repairs"), F.min("last_mod").alias("low"), F.max("last_mod").alias("high"))

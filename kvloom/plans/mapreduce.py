@@ -235,23 +235,35 @@ def reduce_slice(rows: DataFrame, arg: tuple[int, int]) -> DataFrame:
     return held.join(F.broadcast(total)).filter(short | ((F.col("_n") > start) & (F.col("_n") <= end))).select("value")
 
 
-def python_reduce(rows: DataFrame, f: Callable, arg: Any, batch: int = BATCH, once: bool = False) -> DataFrame:
-    """``f(list, arg)`` gives a list, and is fed its own result before each next batch; with no inputs it runs once on []. One task, as it must."""
+def python_reduce(rows: DataFrame, f: Callable, arg: Any, batch: int = BATCH, once: bool = False, prereduce: bool = False) -> DataFrame:
+    """``f(list, arg)`` gives a list, and is fed its own result before each next batch; with no inputs it runs once on [].
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []
-        waiting: list = []
-        ran = False
-        for part in parts:
-            for v in part["value"]:
-                waiting.append(v)
-                if not once and len(waiting) == batch:
-                    held, waiting, ran = f(held + waiting, arg), [], True
-        if waiting or not ran:
-            held = f(held + waiting, arg)
-        yield pd.DataFrame({"value": pd.Series([None if x is None else x if isinstance(x, str) else json.dumps(x) for x in held], dtype=object)})
+    One task sees all inputs, for results may depend on that; with ``prereduce`` every partition is reduced where it is first, and one task reduces what
+    these give. A map phase asks for that with the argument ``do_prereduce``.
+    """
 
-    return _values(rows).select(F.col("value").cast("string")).coalesce(1).mapInPandas(run, "value string")
+    def reduced(alone: bool) -> Callable:
+        return lambda parts: _reduced(parts, f, arg, batch, once, alone)
+
+    values = _values(rows).select(F.col("value").cast("string"))
+    if prereduce and not once:
+        values = values.mapInPandas(reduced(False), "value string")
+    return values.repartition(1).mapInPandas(reduced(True), "value string")
+
+
+def _reduced(parts: Iterator[pd.DataFrame], f: Callable, arg: Any, batch: int, once: bool, alone: bool) -> Iterator[pd.DataFrame]:
+    """One task's reduction; ``alone``: it also runs on no inputs."""
+    held: list = []
+    waiting: list = []
+    ran = False
+    for part in parts:
+        for v in part["value"]:
+            waiting.append(v)
+            if not once and len(waiting) == batch:
+                held, waiting, ran = f(held + waiting, arg), [], True
+    if waiting or (alone and not ran):
+        held = f(held + waiting, arg)
+    yield pd.DataFrame({"value": pd.Series([None if x is None else x if isinstance(x, str) else json.dumps(x) for x in held], dtype=object)})
 
 
 REDUCES = {
@@ -280,6 +292,7 @@ def run(tables: Tables, job: Job, batch: int = BATCH) -> DataFrame | list[DataFr
     if not job.phases:
         return rows
     out: list[DataFrame] = []
+    combine = False
     for n, p in enumerate(job.phases):
         try:
             if p.kind in ("map", "link"):
@@ -288,16 +301,20 @@ def run(tables: Tables, job: Job, batch: int = BATCH) -> DataFrame | list[DataFr
             if p.kind == "link":
                 rows = link(tables, rows, p)
             elif p.kind == "map":
+                arg, combine = p.arg, False
+                if isinstance(arg, dict) and "do_prereduce" in arg:
+                    combine = bool(arg["do_prereduce"])
+                    arg = {k: v for k, v in arg.items() if k != "do_prereduce"} or None
                 if callable(p.function):
-                    rows = python_map(rows, p.function, p.arg)
+                    rows = python_map(rows, p.function, arg)
                 elif p.function in MAPS:
-                    rows = MAPS[p.function](rows, p.arg)
+                    rows = MAPS[p.function](rows, arg)
                 else:
                     raise BadJob(f"no map function {p.function}")
             else:
                 options = p.arg if isinstance(p.arg, dict) else {}
                 if callable(p.function):
-                    rows = python_reduce(rows, p.function, p.arg, options.get("reduce_phase_batch_size", batch), bool(options.get("reduce_phase_only_1")))
+                    rows = python_reduce(rows, p.function, p.arg, options.get("reduce_phase_batch_size", batch), bool(options.get("reduce_phase_only_1")), combine)
                 elif p.function == "reduce_count_inputs" and "value" not in rows.columns:
                     rows = reduce_count_keys(rows, p.arg)
                 elif p.function in REDUCES:

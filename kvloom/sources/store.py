@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.functions import clocks, keyfilters
-from kvloom.model import DEFAULT_TYPE, MAX_KEY_BYTES, OBJECTS, keystore_of, postings_of, sibling
+from kvloom.model import DEFAULT_TYPE, MAX_KEY_BYTES, OBJECTS, POSTINGS, keystore_of, postings_of, sibling
 from kvloom.operators import reconcile
 from kvloom.operators.index import IndexesNotSupported
 
@@ -32,7 +34,8 @@ class Backend(Protocol):
 class ParquetStore:
     """Objects in parquet files, partitioned by type and bucket and sorted by key, so that a bucket is a folder and a key range skips row groups.
 
-    A write goes to a new version beside the old one and is named by one small file, so readers of the old version are not disturbed.
+    A write goes to a new version beside the old one and is named by one small file, so readers of the old version are not disturbed. The index is
+    written before its objects, by bucket and field and sorted by term.
     """
 
     def __init__(self, spark: SparkSession, path: str, indexes: bool = True) -> None:
@@ -47,7 +50,7 @@ class ParquetStore:
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
             return None
-        done = [f.getPath() for f in fs.listStatus(path(self.path)) if fs.exists(path(f.getPath(), "_SUCCESS"))]
+        done = [f.getPath() for f in fs.listStatus(path(self.path)) if f.getPath().getName().startswith("v") and fs.exists(path(f.getPath(), "_SUCCESS"))]
         return max((p.toString() for p in done), default=None)
 
     def objects(self) -> DataFrame:
@@ -59,8 +62,22 @@ class ParquetStore:
     def write(self, objects: DataFrame) -> None:
         long = F.octet_length("key") > MAX_KEY_BYTES
         checked = objects.withColumn("key", F.when(long, F.raise_error(F.lit("key_too_large")).cast("string")).otherwise(F.col("key")))
-        at = f"{self.path}/v{time.time_ns():020d}"
-        checked.repartition("bucket_type", "bucket", F.pmod(F.xxhash64("key"), F.lit(64))).sortWithinPartitions(*NAME).write.partitionBy("bucket_type", "bucket").parquet(at)
+        name = f"{time.time_ns():020d}"
+        # ranges of keys, as many as shuffle partitions and fewer where these are small: files of a bucket hold disjoint ranges
+        if self.indexes:
+            entries = [*NAME[:2], "field", "term_bin", "term_int", "key"]
+            postings_of(checked).repartitionByRange(*entries).sortWithinPartitions(*entries).write.partitionBy(*NAME[:2], "field").parquet(f"{self.path}/index-{name}")
+        checked.repartitionByRange(*NAME).sortWithinPartitions(*NAME).write.partitionBy("bucket_type", "bucket").parquet(f"{self.path}/v{name}")
+
+    def postings(self) -> DataFrame:
+        """The index as it was written: a field is a folder, and a range of terms skips files and row groups."""
+        at = self._version()
+        if not self.indexes:
+            raise IndexesNotSupported(type(self).__name__)
+        if at is None:
+            return self.spark.createDataFrame([], POSTINGS)
+        folder, _, version = at.rpartition("/v")
+        return self.spark.read.schema(POSTINGS).parquet(f"{folder}/index-{version}")
 
     def drop(self) -> None:
         fs, path = self._fs()
@@ -129,6 +146,16 @@ class MultiStore:
             s.drop()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder; one of our own only where none is set and Spark runs locally."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='kvloom-')}"
+    return f"{found.rstrip('/')}/kvloom/{name}-{uuid.uuid4().hex}"
+
+
 def routed(bucket: Column, default: str, prefixes: Mapping[str, str] = (), buckets: Mapping[str, str] = ()) -> Column:
     """Name of the store of a bucket: prefixes first, the longest before others, then the bucket's own property."""
     out = None
@@ -198,7 +225,7 @@ class Client:
     def postings(self) -> DataFrame:
         if not self.store.indexes:
             raise IndexesNotSupported(type(self.store).__name__)
-        return postings_of(self.store.objects())
+        return self.store.postings() if hasattr(self.store, "postings") else postings_of(self.store.objects())
 
     def keystore(self) -> DataFrame:
         return keystore_of(self.store.objects())

@@ -64,11 +64,47 @@ def drained(entries: DataFrame, n: int, key: Sequence[str] = ("queue",)) -> Data
 
 
 def limited(entries: DataFrame, object_limit: int, queue_limit: int) -> DataFrame:
-    """Entries by arrival: past the object limit a reference goes in place of the value; past the queue's limit those in real time are dropped."""
-    place = F.row_number().over(W.partitionBy("queue", "priority").orderBy("seq"))
-    held = entries.withColumn("position", place)
-    held = held.filter((F.col("position") <= queue_limit) | (F.col("priority") != REAL_TIME))
-    return held.withColumn("to_fetch", F.col("position") > object_limit).withColumn("value", F.when(F.col("position") <= object_limit, F.col("value")))
+    """Entries by arrival: past the object limit a reference goes in place of the value; past the queue's limit those in real time are dropped.
+
+    Only where the limits fall is looked up, in the first entries of each queue and priority; no queue is sorted or gathered as a whole.
+    """
+    held = _upto(_upto(entries, object_limit, "_objects"), queue_limit, "_queue")
+    held = held.filter((F.col("seq") <= F.col("_queue")) | (F.col("priority") != REAL_TIME) | F.col("_queue").isNull())
+    past = F.coalesce(F.col("seq") > F.col("_objects"), F.lit(False))
+    return held.withColumn("to_fetch", past).withColumn("value", F.when(~past, F.col("value"))).drop("_objects", "_queue")
+
+
+def _upto(entries: DataFrame, limit: int, name: str) -> DataFrame:
+    """With ``name``: the seq of the ``limit``-th entry of a queue and priority, null where it has no more than these. Partitions send ``limit`` rows each."""
+    first = W.partitionBy("queue", "priority").orderBy("seq")
+    at = entries.select("queue", "priority", "seq").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit + 1)
+    at = at.groupBy("queue", "priority").agg(F.max(F.when(F.col("_n") <= limit, F.col("seq"))).alias(name), F.max("_n").alias("_n")).filter(F.col("_n") > limit).drop("_n")
+    return entries.join(F.broadcast(at), ["queue", "priority"], "left")
+
+
+def overflowed(entries: DataFrame, limit: int) -> DataFrame:
+    """Entries with ``on_disk``: those that arrived after a queue and priority had ``limit`` in memory."""
+    return _upto(entries, limit, "_held").withColumn("on_disk", F.coalesce(F.col("seq") > F.col("_held"), F.lit(False))).drop("_held")
+
+
+def pushed(keys: DataFrame, queue: str, priority: int = FULL_SYNC, start: int = 0) -> DataFrame:
+    """Entries that put a list of (bucket_type, bucket, key, clock) on a queue, references without values, in order of the keys."""
+    nth = F.row_number().over(W.orderBy("bucket_type", "bucket", "key"))  # a pushed list is one request's
+    return keys.select("bucket_type", "bucket", "key", (nth + F.lit(start)).cast("bigint").alias("seq"), F.lit(priority).alias("priority"), F.lit(queue).alias("queue"), F.lit(True).alias("to_fetch"))
+
+
+def popped(entries: DataFrame, queue: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """The next ``n`` entries of a queue, and the queue without them."""
+    mine = entries.filter(F.col("queue") == queue)
+    first = mine.orderBy(F.desc("priority"), "seq").limit(n)
+    return first, entries.join(F.broadcast(first.select("queue", "priority", "seq")), ["queue", "priority", "seq"], "left_anti")
+
+
+def pulled(queued: DataFrame, objects: DataFrame) -> DataFrame:
+    """Entries as a sink's workers apply them: references get the object stored now, and drop out where there is none."""
+    whole = queued.filter(~F.col("to_fetch"))
+    wanted = queued.filter("to_fetch").drop("value").join(objects.select("bucket", "key", "value"), ["bucket", "key"])
+    return whole.unionByName(wanted.select(*whole.columns))
 
 
 def lengths(entries: DataFrame) -> DataFrame:
@@ -117,6 +153,40 @@ def auto_check(has_range: bool, succeeded: bool, in_window: bool, drop_next: boo
     return "all" if in_window else "day"
 
 
+def next_check(has_range: Column, succeeded: Column, in_window: Column, drop_next: Column, peer: Column) -> Column:
+    """``auto_check`` over columns."""
+    return F.when(has_range | succeeded, "range").when(drop_next & (peer == "disabled"), "no").when(in_window, "all").otherwise("day")
+
+
+def narrowed(summary: DataFrame, target: int) -> DataFrame:
+    """``next_range`` of a table (bucket, repairs, low, high): one row or none."""
+    all_ = summary.agg(F.sum("repairs").alias("repairs"), F.count("*").alias("n"), F.min("bucket").alias("one"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return all_.filter(F.col("repairs") > target).select(F.when(F.col("n") == 1, F.col("one")).otherwise("all").alias("bucket"), "low", "high")
+
+
+def repair_filter(repairs: DataFrame, most: int, key_range: bool = False) -> DataFrame:
+    """(kind, bucket, low_key, high_key, low, high): the filter of the next exchange, from repairs (bucket, key, last_mod).
+
+    The bucket with most repairs, if these are over two thirds of ``most``; else all buckets, if all repairs are over a third; else nothing. Times are
+    epoch seconds, a second wider on both sides.
+    """
+    seconds = F.unix_timestamp("last_mod")
+    by = repairs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low_key"), F.max("key").alias("high_key"), F.min(seconds).alias("low"), F.max(seconds).alias("high"))
+    top = F.max(F.struct("n", "bucket", "low_key", "high_key", "low", "high"))
+    found = by.agg(top.alias("top"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    third = most // 3
+    own = F.col("top.n") > 2 * third
+    none = F.lit(None).cast("string")
+    rows = found.filter(own | (F.col("n") > third))
+    keys = [F.when(own, F.col(f"top.{c}")).otherwise(none).alias(c) if key_range else none.alias(c) for c in ("low_key", "high_key")]
+    return rows.select(F.when(own, "bucket").otherwise("modtime").alias("kind"), F.when(own, F.col("top.bucket")).alias("bucket"), *keys, (F.when(own, F.col("top.low")).otherwise(F.col("low")) - 1).alias("low"), (F.when(own, F.col("top.high")).otherwise(F.col("high")) + 1).alias("high"))
+
+
+def in_window(hour: Column, low: int, high: int) -> Column:
+    """Whether full checks may run at an hour; a window may pass midnight."""
+    return (hour >= low) & (hour <= high) if low <= high else (hour >= low) | (hour <= high)
+
+
 def next_range(summary: list[tuple[str, int, object, object]], target: int, full: bool = True) -> dict | None:
     """The range that the next check is narrowed to, from (bucket, repairs, low, high): only past ``target`` repairs."""
     total = sum(n for _, n, _, _ in summary)
@@ -138,13 +208,16 @@ def analyse_repairs(counts: list[tuple[str, int]], most: int) -> tuple[str, str
     return ("modtime", None) if sum(c for _, c in counts) > third else ("none", None)
 
 
-def slices(items: dict[str, int], seconds: int = 86_400) -> list[tuple[int, str]]:
-    """(start, item) of a day's work: items of each kind spread evenly over equal slots."""
+def slices(items: dict[str, int], seconds: int = 86_400, slot: int = 0, slots: int = 1) -> list[tuple[int, str]]:
+    """(start, item) of a day's work: items of each kind spread evenly over equal slots.
+
+    Nodes that share the work start at different times of a slot: the ``slot``-th of ``slots``.
+    """
     total = sum(items.values())
     if not total:
         return []
     due = sorted(((2 * i + 1) / (2 * n), name) for name, n in items.items() for i in range(n))
-    return [(round(k * seconds / total), name) for k, (_, name) in enumerate(due)]
+    return [(round((k + slot / slots) * seconds / total), name) for k, (_, name) in enumerate(due)]
 
 
 # ------------------------------------------------------------------ job queues and change feeds

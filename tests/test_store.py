@@ -138,6 +138,64 @@ def test_puts_in_order(spark):
     assert early.vals == "v1,v2"
 
 
+def test_last_write_moves_its_own_clock(spark):
+    rows = [("b", "k", 1, "x", {"y": 7}, "v1"), ("b", "k", 2, "x", {"y": 5}, "v2")]
+    got = reconcile.apply_puts(spark.createDataFrame(rows, "bucket string, key string, seq long, actor string, context map<string,bigint>, value string"), last_write_wins=True).first()
+    assert (got.clock, got.vals) == ("x=1,y=5", "v2")
+
+
+def test_replies_are_merged_before_the_outcome(spark):
+    rows = [
+        ("newer tombstones", "ok", {"a": 1}, 1), ("newer tombstones", "tombstone", {"a": 2}, 2), ("newer tombstones", "tombstone", {"a": 2}, 3),
+        ("newer value", "tombstone", {"a": 1}, 1), ("newer value", "ok", {"a": 2}, 2),
+        ("concurrent", "tombstone", {"a": 1}, 1), ("concurrent", "ok", {"b": 1}, 2),
+        ("one node", "ok", {"a": 1}, 1), ("one node", "ok", {"a": 1}, 1),
+        ("failing", "ok", {"a": 1}, 1), ("failing", "error", None, 2), ("failing", "error", None, 3), ("nothing", "notfound", None, 1), ("nothing", "notfound", None, 2),
+    ]
+    replies = spark.createDataFrame([(*r, True) for r in rows], "request string, status string, clock map<string,bigint>, node int, primary boolean")
+    got = {r.request: r.outcome for r in reconcile.get_decision(replies, node_confirms=2, deleted_clock=True).collect()}
+    assert got == {"newer tombstones": "deleted", "newer value": "ok", "concurrent": "ok", "one node": "insufficient_nodes", "failing": "insufficient_nodes", "nothing": "notfound"}
+    got = {r.request: r.outcome for r in reconcile.get_decision(replies, pr=2).collect()}
+    assert got["newer tombstones"] == "notfound" and got["one node"] == "ok" and got["failing"] == "pr_unsatisfied"
+
+
+def test_events_of_replicas_merge_as_pairs_do(spark):
+    a = ({"x": 2}, [("v1", "x", 2)])
+    b = ({"x": 1, "y": 1}, [("v0", "x", 1), ("w", "y", 1)])
+    c = ({"x": 2, "y": 1}, [("v1", "x", 2)])  # saw w and gave it up
+    rows = spark.createDataFrame([("b", "k", clock, s) for clock, s in (a, b, c)] + [("b", "j", *a)], "bucket string, key string, clock map<string,bigint>, siblings array<struct<value:string,actor:string,counter:bigint>>")
+    got = {r.key: ([s.value for s in r.siblings], r.clock) for r in reconcile.dotted(rows).collect()}
+    assert got == {"k": (["v1"], {"x": 2, "y": 1}), "j": (["v1"], {"x": 2})}
+    plain = [(clock, [{"value": v, "dot": (n, k)} for v, n, k in s]) for clock, s in (a, b, c)]
+    merged = reconcile.merge_dotted(reconcile.merge_dotted(plain[0], plain[1]), plain[2])
+    assert [s["value"] for s in merged[1]] == ["v1"] == got["k"][0]
+
+
+def test_clocks_are_pruned(spark):
+    def kept(small, big, young, old):
+        clock = F.create_map(*[x for k in "abcd" for x in (F.lit(k), F.lit(1).cast("bigint"))])
+        times = F.create_map(*[x for k, t in zip("abcd", (10, 20, 30, 40)) for x in (F.lit(k), F.lit(t).cast("bigint"))])
+        return "".join(sorted(spark.range(1).select(reconcile.prune(clock, small, big, young, old, F.lit(50).cast("bigint"), times).alias("c")).first()["c"]))
+
+    assert kept(4, 4, 0, 0) == "abcd" and kept(2, 4, 0, 100) == "abcd" and kept(2, 3, 0, 100) == "bcd" and kept(2, 4, 0, 25) == "cd" and kept(1, 1, 25, 25) == "cd"
+
+
+def test_lookups_reach_the_scan(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for q, column in ((IndexQuery.eq("orders", "o_custkey_int", 42), "o_custkey"), (IndexQuery.between("orders", "o_orderpriority_bin", "1", "3"), "o_orderpriority")):
+        got = plan(index.lookup(q, catalog.postings(spark, SF, "orders"), catalog.keys(spark, SF, "orders")))
+        assert got.count("FileScan") == 1 and "Generate" not in got and f"({column}," in got.split("PushedFilters")[1], got
+    assert "EqualTo(o_orderkey,77)" in plan(catalog.QUERIES["s10_get"](spark, SF))
+
+
+def test_text_forms_of_floats(spark):
+    assert one(spark, [["string_to_float"], ["starts_with", "2.05"]], "20.5") is True and one(spark, [["string_to_float"], ["ends_with", "e+01"]], "20.5") is True
+    assert one(spark, [["string_to_float"], ["set_member", 20.5]], "20.5") is True and one(spark, [["string_to_float"], ["not", [["starts_with", "20"]]]], "20.5") is True
+    assert one(spark, [["or", [["starts_with", "1.5"]], [["eq", 2.0]]]], "1.5") is True and one(spark, [["string_to_int"], ["starts_with", "2"]], "20") is True
+
+
 def test_histograms_merge(spark):
     a = spark.createDataFrame([(1, 23), (4, 36), (3, 17), (8, 12)], "id int, n long")
     b = spark.createDataFrame([(7, 11), (8, 15), (1, 15)], "id int, n long")
@@ -218,6 +276,9 @@ def test_reducers(spark):
     assert {r["name"]: r["value"] for r in mapreduce.reduce_plist_sum(lists, None).collect()} == {"a": 3.0, "b": 5.0}
     calls = mapreduce.python_reduce(frame([]), lambda xs, arg: [len(xs)], None)
     assert [r["value"] for r in calls.collect()] == ["0"]
+    for again in (False, True):
+        parts = mapreduce.python_reduce(frame(["1"] * 50).repartition(7), lambda xs, arg: [sum(map(int, xs))], None, batch=3, prereduce=again)
+        assert [r["value"] for r in parts.collect()] == ["50"]
     fed = mapreduce.python_reduce(frame(["1"] * 7).repartition(3), lambda xs, arg: [sum(map(int, xs))], None, batch=2)
     assert [r["value"] for r in fed.collect()] == ["7"]
 
@@ -254,6 +315,7 @@ def test_store_conformance(spark, tmp_path):
         client.put(obj(("b1", "k1"), ("b2", "k2")))
         assert {r.bucket for r in client.buckets().collect()} == {"b1", "b2"} == set(client.stream_buckets())
         assert [r.key for r in client.keys("b1").collect()] == ["k1"] and client.get("b1", "k3") is None
+        assert client.postings().count() == 0
         client.delete(client.store.objects().filter("key = 'k2'"))
         assert client.get("b2", "k2") is None and [r.key for r in client.keys("b2").collect()] == ["k2"]
         client.compact("immediate")
