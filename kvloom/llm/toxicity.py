@@ -14,12 +14,12 @@ labelled rows the lexicon is empty and every score is 0.5; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.llm.common import slices, span_hashes, texts_of, word_spans
@@ -27,14 +27,11 @@ from kvloom.llm.training import labelled
 
 #: Labelled rows that a model is fitted on, about.
 MOST_ROWS = 20_000
-#: Terms of the lexicon at most.
-MOST_TERMS = 200
 THRESHOLD = 0.5
 WINDOW = 5
 STEMS = (4, 5, 6, 7, 8)
 FUZZY_FROM = 5
 _BUCKETS = 1024
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _QUOTES = ('"', "“", "”", "„", "«", "»")
 _EXACT, _MISSPELLED, _STEM = 1, 2, 3
 
@@ -109,8 +106,12 @@ def intersect(terms: list[tuple[bytes, bool, float]], fuzzy_from: int = FUZZY_FR
     start = closed({(0, 0, 0), (1, 0, 0)})
     number, order, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
     for states in order:
+        told = {c for t, node, edits in states if edits < 2 for c in both[t].children[node]}  # all other letters lead where -1 does
         row = []
         for c in [-1, *letters]:
+            if c >= 0 and c not in told:
+                row.append(row[0])
+                continue
             to = moved(states, c)
             if to not in number:
                 number[to] = len(order)
@@ -130,13 +131,13 @@ def intersect(terms: list[tuple[bytes, bool, float]], fuzzy_from: int = FUZZY_FR
         return max(found)[:0:-1] if found else (0, 0.0)
 
     last = [ending(s) for s in order]
-    return Automaton(letter, np.array(rows, np.int64), np.array([k for k, _ in last], np.int64), np.array([w for _, w in last]))
+    return Automaton(letter, np.array(rows, np.int32), np.array([k for k, _ in last], np.int64), np.array([w for _, w in last]))
 
 
 def hits(automaton: Automaton, run: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which words are hits, of what kind, and their terms' weights."""
     live = np.arange(len(start))
-    state = np.ones(len(start), np.int64)
+    state = np.ones(len(start), np.int32)
     found, kinds, weights = [], [], []
     k = 0
     while len(live):
@@ -212,45 +213,70 @@ def features(model: Model, run: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.column_stack([*np.log1p(columns), total > 0, 100 * total / np.maximum(words, 20), best, np.bincount(doc, near, n), heavy, heaviest])
 
 
-def _longer(words: Column, n: int) -> Column:
-    return F.filter(words, lambda w: F.length(w) > n)
-
-
-def _cut_to(n: int) -> Callable[[Column], Column]:
-    return lambda w: F.substring(w, 1, n)
-
-
-def _terms(train: DataFrame, most: int) -> list[tuple[bytes, bool, float]]:
-    """Words, and stems of longer words, that mark toxic rows: at least eight have them, and more than half of the rows with them are toxic after smoothing."""
-    lowered = F.lower(F.replace(F.col("text"), F.lit("\u212a"), F.lit("\u0101")))
-    words = F.array_distinct(F.filter(F.split(lowered, _BREAK), lambda w: F.length(w) >= 3))
-    forms = [F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(False).alias("stem")))]
-    for n in STEMS:
-        longer = F.array_distinct(F.transform(_longer(words, n), _cut_to(n)))
-        forms.append(F.transform(longer, lambda w: F.struct(w.alias("term"), F.lit(True).alias("stem"))))
-    each = train.select("label", F.explode(F.flatten(F.array(*forms))).alias("t"))
-    counted = each.groupBy("t").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, stem, bad, n): in how many rows, and toxic rows, a slice has each word of three letters or more and each beginning of longer words."""
+    for rows, data, at in slices(batches, "text"):
+        start, end, first = word_spans(_bare(data), at)
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
+        _, one, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        number: dict[tuple[str, bool], int] = {}
+        word, term = [], []
+        for k, i in enumerate(one.tolist()):
+            w = raw[start[i] : end[i]].lower().decode()
+            if len(w) >= 3:
+                forms = [(w, False), *((w[:n], True) for n in STEMS if len(w) > n)]
+                word += [k] * len(forms)
+                term += [number.setdefault(f, len(number)) for f in forms]
+        if not number:
+            continue
+        word, term = np.array(word), np.array(term)
+        of_word = np.searchsorted(word, np.arange(len(one) + 1))
+        pair = np.unique(doc * len(one) + which)  # a word counts once a row
+        doc, which = pair // len(one), pair % len(one)
+        count = np.diff(of_word)[which]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found = np.unique(np.repeat(doc, count) * len(number) + term[np.repeat(of_word[:-1][which], count) + step])
+        label = rows.column(1).to_numpy()
+        bad = np.bincount(found % len(number), label[found // len(number)] > 0, len(number)).astype(np.int64)
+        n = np.bincount(found % len(number), minlength=len(number))
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in number]), pa.array([s for _, s in number]), pa.array(bad), pa.array(n)], ["term", "stem", "bad", "n"])
+
+
+def _terms(train: DataFrame) -> list[tuple[bytes, bool, float]]:
+    """Words, and stems of longer words, that mark toxic rows: at least eight have them, and more than half of the rows with them are toxic after smoothing.
+
+    Words are those that scoring sees. Nothing but the bounded sample of rows bounds the lexicon.
+    """
+    counted = train.mapInArrow(_counted, "term string, stem boolean, bad long, n long").groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     rows, bad = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = bad / rows if rows else 0.0
     sure = (F.col("bad") + 4 * F.lit(prior)) / (F.col("n") + 4)
-    kept = counted.filter((F.col("bad") >= 8) & (sure >= 0.55)).orderBy(F.desc("bad"), F.length("t.term"), "t.term", "t.stem").limit(20 * most)
+    found = counted.filter((F.col("bad") >= 8) & (sure >= 0.55)).collect()
+    found.sort(key=lambda r: (-r["bad"], len(r["term"]), r["term"], r["stem"]))
+    begun: dict[str, int] = {}  # by beginning: the most toxic rows of one word
+    for r in found:
+        if not r["stem"]:
+            for n in STEMS:
+                begun[r["term"][:n]] = max(begun.get(r["term"][:n], 0), r["bad"])
     out: list[tuple[str, bool, float]] = []
-    found = kept.collect()
-    words_bad = {r["t"]["term"]: r["bad"] for r in found if not r["t"]["stem"]}
+    stems: dict[str, float] = {}
     for r in found:
-        term, stem = r["t"]["term"], r["t"]["stem"]
-        if stem and any(w.startswith(term) and b >= 0.9 * r["bad"] for w, b in words_bad.items()):
+        term, stem = r["term"], r["stem"]
+        if stem and begun.get(term, 0) >= 0.9 * r["bad"]:
             continue  # a single word's beginning; the word itself allows misspellings
         good = r["n"] - r["bad"]
-        weight = np.log((r["bad"] + 0.5) / (bad + 1)) - np.log((good + 0.5) / (rows - bad + 1))
-        if not any(s and term != t and term.startswith(t) and w > weight - 0.3 for t, s, w in out):  # else a shorter stem in the lexicon covers it
-            out.append((term, stem, float(weight)))
-    return [(t.encode(), s, w) for t, s, w in out[:most]]
+        weight = float(np.log((r["bad"] + 0.5) / (bad + 1)) - np.log((good + 0.5) / (rows - bad + 1)))
+        if not any(stems.get(term[:n], -np.inf) > weight - 0.3 for n in STEMS if n < len(term)):  # else a shorter stem in the lexicon covers it
+            out.append((term, stem, weight))
+            if stem:
+                stems[term] = weight
+    return [(t.encode(), s, w) for t, s, w in out]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_terms: int = MOST_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     train = labelled(docs, labels, "toxic", most)
-    terms = _terms(train, most_terms)
+    terms = _terms(train)
     model = Model(intersect(terms), terms)
 
     def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

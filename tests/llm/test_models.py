@@ -85,6 +85,87 @@ def test_quotation_is_told_from_abuse():
     assert doc.tolist() == [0, 1, 2] and quoted.tolist() == [False, True, True] and words[3] == 0
 
 
+def test_terms_are_counted_by_rows(spark):
+    texts = [("a “vile” word, Vile VILE éclairs", 1), ("éclairs in vilest words", 0), (None, 1), ("", 0), ("vilest vileness", 1)]
+    plain = spark.createDataFrame([(t or "", y) for t, y in texts], "text string, label int").repartition(1)
+    got = {(r.term, r.stem): (r.bad, r.n) for r in plain.mapInArrow(toxicity._counted, "term string, stem boolean, bad long, n long").collect()}
+    assert got["vile", False] == (1, 1) and got["éclairs", False] == (1, 2) and got["vilest", False] == (1, 2)
+    assert got["vile", True] == (1, 2) and got["éclai", True] == (1, 2) and got["viles", True] == (1, 2) and got["vilen", True] == (1, 1)
+    assert ("in", False) not in got and ("word", True) in got and ("word", False) in got
+
+
+def test_the_lexicon_has_no_cap(spark):
+    rng = np.random.default_rng(6)
+    make = lambda: "".join(rng.choice(list("bcdfghklmnprst"), 7))
+    bad, good = [make() for _ in range(400)], [make() for _ in range(400)]
+    rows = [(i, " ".join([*rng.choice(good, 20), *(rng.choice(bad, 20) if i % 2 else rng.choice(good, 20))]), i % 2) for i in range(1200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {t.decode() for t, stem, _ in model.terms if not stem} >= set(bad) - set(good)
+    got = quality.judged(toxicity.score(docs, model), 0.5).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got) >= 1190
+
+
+def test_columns_named_like_outputs_do_no_harm(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", 9, "x", 7, 1) for i in range(30)], "doc_id long, text string, score int, predicted string, held_out int, label int")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        got = quality.judged(module.score(docs, module.fit(docs, labels)), 0.5)
+        assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 30
+    assert toxicity.kept(docs, toxicity.fit(docs, labels)).columns == docs.columns
+
+
+def test_texts_longer_than_a_slice_are_scored(spark):
+    long = "some plain words here. " * 60_000  # over a slice
+    docs = spark.createDataFrame([(1, long), (2, long[:23 * 40]), (3, None)], "doc_id long, text string")
+    for score in (toxicity.score(docs, toxicity.Model(toxicity.intersect([(b"moron", False, 1.0)]), [])), quality.score(docs, quality.grow(np.zeros((0, 27), np.float32), np.zeros(0)))):
+        assert sorted(r.doc_id for r in score.collect()) == [1, 2, 3]
+    import pyarrow as pa
+
+    from kvloom.llm.common import text_bytes
+
+    apart = [quality.statistics(*text_bytes(pa.array([t])))[0] for t in (long, "tiny")]
+    assert np.allclose(quality.statistics(*text_bytes(pa.array([long, "tiny"]))), apart)
+
+
+def plain_trees(x, y, trees, depth, bins, rate=0.2, l2=2.0):
+    """Boosting by loops over nodes, features and edges, and a walk row by row."""
+    edges = np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], axis=0, method="lower").astype(np.float32)
+    mean = y.mean()
+    raw = np.full(len(x), np.log(mean / (1 - mean)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        nodes = [np.arange(len(x))]
+        for _ in range(depth):
+            below = []
+            for rows in nodes:
+                best = (1e-6, None)
+                for f in range(x.shape[1]):
+                    for e in edges[:, f]:
+                        left = x[rows, f] <= e
+                        a, b = rows[left], rows[~left]
+                        if h[a].sum() < 1 or h[b].sum() < 1:
+                            continue
+                        gain = g[a].sum() ** 2 / (h[a].sum() + l2) + g[b].sum() ** 2 / (h[b].sum() + l2) - g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (a, b))
+                below += best[1] or (rows, rows[:0])
+            nodes = below
+        for rows in nodes:
+            raw[rows] -= rate * g[rows].sum() / (h[rows].sum() + l2)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_trees_are_those_of_a_plain_search():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)).astype(np.float32)
+    y = ((x[:, 0] + 0.5 * x[:, 1] * x[:, 2] + rng.normal(size=300) * 0.5) > 0).astype(float)
+    model = quality.grow(x, y, trees=5, depth=3, bins=8)
+    assert np.allclose(model.scores(x), plain_trees(x, y, 5, 3, 8), atol=1e-6)
+
+
 def test_trees_learn_a_step():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5)).astype(np.float32)
