@@ -2,7 +2,7 @@
 
 Rows are ordered by a hash of their text, so equal texts stand together. A sample of rows, drawn in proportion to their size, gives the boundaries of
 many small ranges; exact sizes of the ranges follow from one aggregation. A text whose copies weigh more than a twentieth of a shard overfills its
-range: its rows are subdivided by a hash of their id. Each group of equal texts goes, whole unless it was subdivided, to the shard in which the
+range: its rows are subdivided by a hash of their id. A lighter text of very many rows stays whole, but its rows are counted in parts. Each group of equal texts goes, whole unless it was subdivided, to the shard in which the
 middle of its bytes falls, so shards differ by a twentieth at most where single texts are small against a shard. No step gathers more than one
 range's narrow rows in a task, and the driver holds one number a range.
 
@@ -48,9 +48,11 @@ def shards(docs: DataFrame, n: int = SHARDS, doc_id: str = "doc_id", text: str =
     placed = cut(rows.withColumn("_range", range_of("_key")), "ranges")
     # overfull ranges: the texts that weigh most in them are subdivided; there are at most 20 n of these
     whole = max(1.0, WHOLE * total / n)
-    by_range = placed.groupBy("_range").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > F.lit(whole)).select("_range")
-    heavy = placed.join(F.broadcast(by_range), "_range").groupBy("_range", "_key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > F.lit(whole))
-    heavy = heavy.select("_key", F.greatest(F.lit(2), F.ceil(F.col("bytes") / F.lit(total / ranges)).cast("long")).alias("_parts"))
+    over = (F.col("bytes") > F.lit(whole)) | (F.col("n") > ROWS_EACH)
+    by_range = placed.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(over).select("_range")
+    heavy = placed.join(F.broadcast(by_range), "_range").groupBy("_range", "_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(over)
+    parts = F.greatest(F.lit(2), F.ceil(F.col("bytes") / F.lit(total / ranges)), F.ceil(F.col("n") / ROWS_EACH)).cast("long")
+    heavy = cut(heavy.select("_key", parts.alias("_parts"), (F.col("bytes") > F.lit(whole)).alias("_divided")), "heavy")  # a row a hundred thousand rows at most, and 20 n
     placed = placed.join(F.broadcast(heavy), "_key", "left")
     # a heavy text cuts its range: what is below it, its own parts, what is above it
     split = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_parts")) + 1).otherwise(F.lit(0))
@@ -67,15 +69,19 @@ def shards(docs: DataFrame, n: int = SHARDS, doc_id: str = "doc_id", text: str =
     table = sorted((tuple(r["_cell"]), r["b"], r["n"]) for r in cells.collect())  # a row a range and heavy part
     starts_b = np.concatenate([[0], np.cumsum([b for _, b, _ in table])]).tolist()
     starts_n = np.concatenate([[0], np.cumsum([k for _, _, k in table])]).tolist()
-    offsets = spark.createDataFrame([(*c, starts_b[i], starts_n[i]) for i, (c, _, _) in enumerate(table)], "_range int, c int, s long, _b long, _n long")
+    group: dict[tuple[int, int], list[int]] = {}  # where a heavy text begins and what it weighs
+    for i, ((r, c, _), b, _) in enumerate(table):
+        group.setdefault((r, c), [starts_b[i], 0])[1] += b
+    offsets = spark.createDataFrame([(*c, starts_b[i], starts_n[i], *group[c[:2]]) for i, (c, _, _) in enumerate(table)], "_range int, c int, s long, _b long, _n long, _gb long, _gw long")
     placed = placed.withColumn("_run", F.sum("size").over(within)).withColumn("_nth", F.row_number().over(within))
     same = W.partitionBy("_cell", "_key")
-    alone = F.col("_parts").isNotNull()
+    alone = F.col("_divided")
     begin = F.when(alone, F.col("_run") - F.col("size")).otherwise(F.min(F.col("_run") - F.col("size")).over(same))
     weight = F.when(alone, F.col("size")).otherwise(F.sum("size").over(same))
     placed = placed.withColumn("_middle", begin + weight / 2).select("*", "_cell.c", "_cell.s")
     out = placed.join(F.broadcast(offsets), ["_range", "c", "s"])
-    out = out.withColumn("shard", F.least(F.lit(n - 1), F.floor((F.col("_b") + F.col("_middle")) * F.lit(n) / F.lit(total))).cast("int")).withColumn("_place", F.col("_n") + F.col("_nth") - 1)
+    middle = F.when(F.col("_divided") == F.lit(False), F.col("_gb") + F.col("_gw") / 2).otherwise(F.col("_b") + F.col("_middle"))
+    out = out.withColumn("shard", F.least(F.lit(n - 1), F.floor(middle * F.lit(n) / F.lit(total))).cast("int")).withColumn("_place", F.col("_n") + F.col("_nth") - 1)
     out = cut(out.select("doc_id", "size", "text_crc32", "shard", "_place"), "shards")
     first = out.groupBy("shard").agg(F.min("_place").alias("_first"))
     out = out.join(F.broadcast(first), "shard")

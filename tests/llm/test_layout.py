@@ -204,3 +204,67 @@ def test_local_search_goes_on_past_a_bin_that_stays():
     # the emptiest bin, a lone 60, finds no place; the three 24 do
     packed = [((60,), 1), ((24, 24, 24), 1), ((76,), 3)]
     assert sum(n for _, n in packing.improve(packed, 100)) == 4
+
+
+def test_a_text_of_many_rows_is_counted_in_parts_but_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_EACH", 100)
+    r = random.Random(4)
+    texts = ["x"] * 1200 + ["y"] * 150 + [""] * 300 + ["".join(r.choices("abcdef", k=r.randint(2000, 4000))) for _ in range(700)]
+    rows = [(i, t, "en", "s", 0, 0, "", "") for i, t in enumerate(texts)]
+    got = sharding.shards(frame(spark, rows), 8).collect()
+    weight = check_shards(rows, got, 8)
+    mean = sum(weight.values()) / 8
+    assert max(abs(w - mean) for w in weight.values()) < 0.06 * mean
+    where = defaultdict(set)
+    for g in got:
+        where[texts[g.doc_id]].add(g.shard)
+    assert all(len(x) == 1 for x in where.values())
+
+
+def earliest_deadline(blocks, weights):
+    """Slot of each (source, block): ideal flow stepped from one source's end to the next, then the earliest deadline among what is released."""
+    at, t, left, times = dict.fromkeys(blocks, 0.0), 0.0, {s for s in blocks if blocks[s]}, {}
+    while left:
+        scale = sum(weights[s] for s in left)
+        step = min((blocks[s] - at[s]) * scale / weights[s] for s in left)
+        for s in left:
+            rate = weights[s] / scale
+            for j in range(blocks[s] + 1):
+                if at[s] - 1e-9 <= j <= at[s] + step * rate + 1e-9:
+                    times.setdefault((s, j), t + (j - at[s]) / rate)
+            at[s] += step * rate
+        t += step
+        left = {s for s in left if blocks[s] - at[s] > 1e-9}
+    names = sorted(blocks, key=lambda s: (s is None, s or ""))
+    todo = {(s, j): (int(np.floor(times[s, j] + 1e-6)), int(np.ceil(times[s, j + 1] - 1e-6))) for s in blocks for j in range(blocks[s])}
+    out = {}
+    for slot in range(len(todo)):
+        ready = [k for k, (release, _) in todo.items() if release <= slot]
+        best = min(ready, key=lambda k: (todo[k][1], names.index(k[0]), k[1]))
+        out[best] = slot
+        del todo[best]
+    return out
+
+
+def test_slots_are_those_of_a_plain_earliest_deadline_schedule(spark):
+    rows = [(i, "some words " * (1 + i % 9), "en", (None, "a", "b", "c", "c")[i % 5], 0, 0, "", "") for i in range(400)]
+    size = Counter()
+    for x in rows:
+        size[x[3]] += len(x[1])
+    for weights in ({"a": 2.0, "b": 1.0, "c": 4.0}, None):
+        got = mixing.mixed(frame(spark, rows), weights, block_bytes=300).collect()
+        blocks = {s: n // 300 + 1 for s, n in size.items()}
+        real = {s: (n + 1) ** 0.5 for s, n in size.items()} if weights is None else weights | {None: 1 / 1000}
+        want = earliest_deadline(blocks, real)
+        assert {(g.source, g.block): g.slot for g in got}.items() <= want.items()
+
+
+def test_texts_longer_than_a_slice(spark):
+    r = random.Random(8)
+    long = " ".join(r.choice(["sun", "moon", "rain", "tree", "house"]) for _ in range(450_000))  # over two slices
+    rows = [(1, long, "en", "s", 0, 0, "", ""), (2, "short", "en", "s", 0, 0, "", ""), (3, long[:3_000_000], "en", "s", 0, 0, "", "")]
+    got = packing.pack(frame(spark, rows)).collect()
+    ids = np.array(whole([long])[0] + [0], "<u4")
+    mine = {g.piece: (g.start, g.length, g.ids_crc32) for g in got if g.doc_id == 1}
+    assert mine == {i // 2048: (i, len(ids[i : i + 2048]), zlib.crc32(ids[i : i + 2048].tobytes())) for i in range(0, len(ids), 2048)}
+    check_shards(rows, sharding.shards(frame(spark, rows), 4).collect(), 4)
