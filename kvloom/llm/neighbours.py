@@ -5,7 +5,7 @@ Unit vectors are cut into pairs of dimensions, each coded by one of 16 centroids
 much as error across it. Vectors are also dealt to parts around coarse centres; a query scans the parts nearest to it, as many as found 985 of 1000 true
 neighbours in the sample. In a part, scores are sums of a query's table of 16 products a pair, looked up by the codes; the best are compared exactly.
 
-Centres and centroids are fitted on a bounded sample; every vector is indexed. Equal vectors are one entry of the index that lists its least ids, so
+Centres and centroids are fitted on a bounded sample of 131,072 vectors at most; every vector is indexed. Equal vectors are one entry of the index that lists its least ids, so
 a vector that a third of all rows share costs one; large parts are split by a hash.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or with null or non-finite components take no part, nor do
@@ -27,8 +27,11 @@ from pyspark.sql.window import Window as W
 from kvloom.llm.common import cut
 
 NEAREST = 5
-#: Vectors that the index is fitted on, at least and a part; entries of a part scanned together; candidates compared exactly.
-SAMPLE, SAMPLE_PART, GROUP, RERANK = 20_000, 64, 50_000, 200
+#: Vectors that the index is fitted on, at least and a part, and parts at most, so 131,072 vectors at most; entries of a part scanned together;
+#: candidates compared exactly.
+SAMPLE, SAMPLE_PART, MOST_PARTS, GROUP, RERANK = 20_000, 32, 4096, 50_000, 200
+#: Rows of a product with all centres that are held at once.
+ROWS = 4096
 ETA = 4.0
 COVER = 0.985
 
@@ -45,7 +48,7 @@ class Index:
         return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")
 
     def part(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centres.T).argmax(axis=1) if len(x) else np.zeros(0, np.int64)
+        return _nearest(x, self.centres)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         codes = _codes(_pairs(x), self.codebooks)
@@ -113,12 +116,17 @@ def _books(x: np.ndarray, eta: float = ETA, turns: int = 8) -> np.ndarray:
     return books
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre nearest to each row, some rows at a time."""
+    return np.concatenate([np.zeros(0, np.int64), *[(x[i : i + ROWS] @ centres.T).argmax(axis=1) for i in range(0, len(x), ROWS)]])
+
+
 def _centres(x: np.ndarray, k: int, turns: int = 10) -> np.ndarray:
     """Spherical k-means."""
     rng = np.random.default_rng(5)
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(turns):
-        part = (x @ centres.T).argmax(axis=1)
+        part = _nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, part, x)
         norm = np.linalg.norm(sums, axis=1)
@@ -162,11 +170,12 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
     queries = cut(queries.join(entries.select("h", "g", "rep"), ["h", "g"]).select(F.col("id").alias("query_id"), "rep"), "queries")
     asked = queries.select("rep").distinct()
     distinct = entries.count()
-    parts = int(min(16_384, max(1, distinct**0.5 / 4)))
+    parts = int(min(MOST_PARTS, max(1, distinct**0.5 / 4)))
     most = max(SAMPLE, SAMPLE_PART * parts)
-    picked = entries if distinct <= most else entries.filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * most / distinct))
-    sample = picked.select("rep", "v").toPandas().sort_values("rep")
-    index = fit(np.stack(sample["v"]), parts)
+    picked = entries if distinct <= most else entries.filter(F.shiftrightunsigned(F.xxhash64("rep", F.lit(3)), 1) < F.lit((most << 63) // distinct))
+    sample = picked.select("rep", "v").toArrow()
+    first = np.argsort(sample["rep"].to_numpy(), kind="stable")
+    index = fit(sample["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims)[first], parts)
 
     def unit(column: pa.Array) -> np.ndarray:
         flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten()
