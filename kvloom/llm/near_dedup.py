@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kvloom.llm.common import cut, discard, lists, mix, numbered, shingles, slices, texts_of, told_apart, with_facts
+from kvloom.llm.common import HEAVY, cut, discard, lists, mix, numbered, shingles, slices, texts_of, told_apart, with_facts
 
 SLOTS = 210
 BAND_ROWS = 7
 THRESHOLD = 0.8
+#: Members of a bucket that meet its pivots in one task, about.
+SPLIT_ROWS = 2000
 _U = 2.0**-53
 
 
@@ -153,8 +155,9 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
 
     # first every text with one other only: of the leaders of its buckets the one with the most company, likely what the others were copied from
     company = members.groupBy("_t").agg(F.sum("n").alias("w"))
-    leads = members.join(company, "_t").groupBy("bucket").agg(F.max(F.struct("w", "_t")).alias("lead"))
-    first = members.join(leads, "bucket").groupBy("_t").agg(F.max(F.when(F.col("lead._t") != F.col("_t"), F.col("lead"))).alias("lead"))
+    leads = members.join(company, "_t").groupBy("bucket").agg(F.max(F.struct("w", "_t")).alias("lead"), F.count("*").alias("held"))
+    some, others = with_facts(members.drop("n"), leads, "bucket", "held", members.count())
+    first = some.unionByName(others).groupBy("_t").agg(F.max(F.when(F.col("lead._t") != F.col("_t"), F.col("lead"))).alias("lead"))
     first = first.filter("lead is not null").select("_t", F.col("lead._t").alias("lead"))
     first = cut(first.select("_t", "lead", F.greatest("_t", "lead").alias("a"), F.least("_t", "lead").alias("b")), "first")
     met = cut(overlaps(first.select("a", "b").distinct()), "met")
@@ -186,7 +189,7 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     least = left.groupBy("bucket").agg(F.min("size").alias("least"))
     need = F.lit(threshold / (1 + threshold)) * (F.col("size") + F.greatest(F.col("least"), F.lit(threshold) * F.col("size"))) - F.lit(1e-6)
     left = cut(left.join(least, "bucket").filter(F.col("shared") >= need).select("bucket", "_t", "size", "shared", "lead", "o", F.lit(False).alias("tried")), "left")
-    pivots = 64
+    pivots, total = 64, left.count()
     while True:
         left = cut(in_open(placed(left)), "left")
         if left.isEmpty():
@@ -196,14 +199,17 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
         free = left.filter(~F.col("tried")).join(held, ["bucket", "comp"])
         chosen = _first(free, pivots, F.col("held")).select("bucket", "_t", F.lit(True).alias("pivot"))
         marked = cut(left.join(chosen, ["bucket", "_t"], "left").join(others, "_t").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "pivots")
-        x = marked.select("bucket", F.col("all").alias("ax"), F.col("_t").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("lead").alias("lx"), F.col("o").alias("ox"), F.col("pivot").alias("px"))
-        y = marked.filter("pivot").select(F.col("bucket").alias("by"), F.col("all").alias("ay"), F.col("_t").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("shared").alias("sy"), F.col("lead").alias("ly"), F.col("o").alias("oy"))
+        # members of a large bucket are dealt to splits, and its pivots go to each
+        large = marked.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > max(SPLIT_ROWS, HEAVY * total)).select("bucket", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("splits"))
+        marked = marked.join(F.broadcast(large), "bucket", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+        x = marked.select(F.pmod(F.xxhash64("_t", F.lit(9)), F.col("splits")).cast("int").alias("sx_"), "bucket", F.col("all").alias("ax"), F.col("_t").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("lead").alias("lx"), F.col("o").alias("ox"), F.col("pivot").alias("px"))
+        y = marked.filter("pivot").select(F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("sy_"), F.col("bucket").alias("by"), F.col("all").alias("ay"), F.col("_t").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("shared").alias("sy"), F.col("lead").alias("ly"), F.col("o").alias("oy"))
         # common elements are shared ones; with one original they are in what both have of it, or in what both share besides
         most = F.when(F.col("lx") == F.col("ly"), F.least("ox", "oy") + F.least(F.col("sx") - F.col("ox"), F.col("sy") - F.col("oy")))
         most = F.least(F.col("sx"), F.col("sy"), most)
         can = (most >= F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)) & (F.col("cx") != F.col("cy"))
         can = can & (F.col("bucket") == F.array_min(F.array_intersect("ax", "ay"))) & ~(F.col("px") & (F.col("x") > F.col("y")))
-        pairs = cut(x.join(y, (F.col("bucket") == F.col("by")) & can).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
+        pairs = cut(x.join(y, (F.col("bucket") == F.col("by")) & (F.col("sx_") == F.col("sy_")) & can).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
         links, old, dropped = cut(links.union(overlaps(pairs).filter("link").select("a", "b")).distinct(), "links"), links, comps
         comps = cut(components(links), "comps")
         discard(pairs, old, dropped)

@@ -105,3 +105,45 @@ def test_minhash_classes(spark):
     rows = [r for r in odd_rows() if r[0] is not None and r[0] < 3006]
     got = {r.doc_id: r.class_id for r in fingerprints.classes(frame(spark, rows)).collect()}
     assert got[1000] == got[0] and got[1006] == got[6]
+
+
+def test_minhash_classes_are_those_of_all_pairs_of_sets(spark):
+    rows = odd_rows()
+    sets = [set(bag(r[1])) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (rows[i][1] or "") == (rows[j][1] or "") or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r[0])
+    want = sorted((str(d), str(min((x for x in g if x is not None), default=None))) for g in groups.values() for d in g)
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in fingerprints.classes(frame(spark, rows)).collect()) == want
+
+
+def test_rows_without_an_id_come_after_all_others(spark):
+    rows = [(2, "b" * 9, "en", "s", 0, 0, "", ""), (None, "n" * 6, "en", "s", 0, 0, "", ""), (None, "m" * 6, "en", "s", 0, 0, "", ""), (1, "a" * 9, "en", "s", 0, 0, "", "")]
+    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited_fingerprints(frame(spark, rows)).collect()}
+    texts = [(2, "b" * 6 + "a" * 3), (1, "a" * 6 + "m" * 3), (None, "m" * 4 + "n" * 2), (None, "n" * 4 + "b" * 2)]
+    assert got == {(i, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts}
+
+
+def test_large_buckets_are_dealt_to_splits(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SPLIT_ROWS", 20)
+    monkeypatch.setattr(near_dedup, "HEAVY", 0.0)
+    test_large_bucket_of_unlike_members_is_resolved(spark)
+
+
+def test_texts_longer_than_a_slice(spark):
+    words = [f"w{i % 7000}x{i % 11}" for i in range(250_000)]  # over a slice
+    rows = [(1, " ".join(words), "en", "s", 0, 0, "", ""), (2, " ".join(words[:-9]), "en", "s", 0, 0, "", ""), (3, "short one", "en", "s", 0, 0, "", "")]
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(frame(spark, rows)).collect()}
+    assert got[2].near_next > 0.95 and got[1].near_next == 0.0 and got[1].n_chars == len(rows[0][1])
