@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -122,6 +123,10 @@ _LETTER[128:] = True
 _FOLD = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _FOLD[ord("A") : ord("Z") + 1] = _FOLD[ord("a") : ord("z") + 1]
 _powers: dict[str, np.ndarray] = {}
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -156,6 +161,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return run, at - at[0]
 
 
+def give_back() -> None:
+    """Hand memory that this worker has freed back to the system: workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices whose ``column`` holds at most ``most`` bytes (or one row), with those bytes and offsets."""
     for batch in batches:
@@ -167,6 +179,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
             yield batch.slice(i, j - i), run[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+    give_back()
 
 
 def word_spans(run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import cut, discard, mix, powers, slices, texts_of, told_apart
+from kvloom.llm.common import SLICE_BYTES, cut, discard, give_back, mix, powers, slices, texts_of, told_apart
 
 WINDOW = 200
 GRAM = 48
@@ -97,7 +97,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     r numbers the rows: the partition, then the row in it. A row's first anchor bears its id and digest.
     """
     done = TaskContext.get().partitionId() << 40
-    for rows, run, at in slices(batches, "_text"):
+    for rows, run, at in slices(batches, "_text", SLICE_BYTES // 2):
         h, doc, owner, first, last = owners(run, at)
         up, down = powers(len(run))
         sums = np.zeros(len(run) + 1, np.uint64)
@@ -214,6 +214,7 @@ def _line_up(part: pd.DataFrame) -> pd.DataFrame:
         start = rows["start"].to_numpy(np.int64)[which]
         out.append(pd.DataFrame({"r": rows["r"].to_numpy(np.int64)[which], "first": start + first, "last": start + last + WINDOW}))
         i = j
+    give_back()
     return pd.concat(out).astype({"r": "int64", "first": "int32", "last": "int32"})
 
 
