@@ -123,8 +123,9 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = cut(plain.mapInArrow(bands, "doc_id long, _t binary, bands array<long>"), "bands")
     texts = rows.groupBy("_t").agg(F.first("bands").alias("bands")).select("_t", F.explode("bands").alias("bucket"))
-    sizes = texts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(texts.join(sizes, "bucket"), "members")
+    sizes = cut(texts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    large, small = with_facts(texts, sizes, "bucket", "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    members = cut(large.unionByName(small.filter("n is not null")), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in slices(batches, "_text"):
