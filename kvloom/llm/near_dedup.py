@@ -6,12 +6,12 @@ mark within the interval. A document sees the points whose mark lies below its w
 weights; a slot keeps its earliest point, and two slots agree with a probability equal to the weighted Jaccard similarity. Points are made in
 order of time and a process is left as soon as its time passes the latest slot, so a document needs about n + m ln m points, not n times m.
 
-Candidates share a band of slots. Links are verified on the shingle multisets themselves, kept as 32-bit
-hashes. A bucket, however large, is never expanded into all its
-pairs. Each text is first compared with one likely original. In buckets that are then in several classes, texts with so many elements of their own
-that no overlap can reach the threshold are set aside (the prefix filter's argument). The rest are compared with a few pivots a round, never inside
-one class, until all members that were no pivot are in one class. Any two members are then in one class, were compared, or cannot be alike: no link
-between classes is lost. Thirty bands of seven slots find a link at the threshold with a probability of 0.999.
+Candidates share a band of slots. Links are verified on the shingle multisets themselves, kept as 32-bit hashes. Each text is first compared with one
+likely original. In buckets that are then in several classes, texts with so many elements of their own that no overlap can reach the threshold are set
+aside (the prefix filter's argument). The rest are compared with a few pivots a round, never inside one class, until all members that were no pivot are
+in one class. Any two members are then in one class, were compared, or cannot be alike: no link between classes is lost. A bucket is expanded into pairs
+only as far as these bounds leave some: many texts alike but under the threshold are the worst case. Members of a large bucket are dealt to splits.
+Thirty bands of seven slots find a link at the threshold with a probability of 0.999.
 
 Defined results: a null text is empty; equal texts are one class, also texts without words, which are near nothing else; the class id is the least
 doc_id of the class (null only if all are null); an empty table gives an empty result; only the named id and text columns are read.
@@ -157,7 +157,8 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     # first every text with one other only: of the leaders of its buckets the one with the most company, likely what the others were copied from
     company = members.groupBy("_t").agg(F.sum("n").alias("w"))
     leads = members.join(company, "_t").groupBy("bucket").agg(F.max(F.struct("w", "_t")).alias("lead"), F.count("*").alias("held"))
-    some, others = with_facts(members.drop("n"), leads, "bucket", "held", members.count())
+    everywhere = members.count()
+    some, others = with_facts(members.drop("n"), leads, "bucket", "held", everywhere)
     first = some.unionByName(others).groupBy("_t").agg(F.max(F.when(F.col("lead._t") != F.col("_t"), F.col("lead"))).alias("lead"))
     first = first.filter("lead is not null").select("_t", F.col("lead._t").alias("lead"))
     first = cut(first.select("_t", "lead", F.greatest("_t", "lead").alias("a"), F.least("_t", "lead").alias("b")), "first")
@@ -170,8 +171,10 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
 
     def in_open(table: DataFrame) -> DataFrame:
         """The buckets whose members that were no pivot are in several classes."""
-        several = table.filter(~F.col("tried")).groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        return table.join(several, "bucket", "left_semi")
+        fresh = F.when(~F.col("tried"), F.col("comp"))
+        several = table.groupBy("bucket").agg(F.min(fresh).alias("lo"), F.max(fresh).alias("hi"), F.count("*").alias("held")).filter("lo <> hi").select("bucket", "held")
+        large, small = with_facts(table, several, "bucket", "held", everywhere)
+        return large.unionByName(small.filter("held is not null")).drop("held")
 
     left = cut(in_open(placed(members.select("bucket", "_t", F.lit(False).alias("tried")))).select("bucket", "_t"), "open")
     others = left.groupBy("_t").agg(F.sort_array(F.collect_list("bucket")).alias("all"))  # as many as there are bands
