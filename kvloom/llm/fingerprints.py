@@ -11,7 +11,9 @@ doc_id are ordered by text, and a null doc_id comes after all others. Only the n
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,11 @@ _rng = np.random.default_rng(977)
 _A = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64)
 _CHUNK = 1 << 14
+#: Bytes of text that a range of ``edited_fingerprints`` holds, about, and how many ranges there are at most; past that they hold more.
+RANGE_BYTES = 128 << 20
+MOST_RANGES = 50_000
+#: Characters of a text that tell where it stands among those of its id.
+TIP = 64
 
 
 def signatures(hashed: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -88,40 +95,81 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     return near_dedup.linked(docs, run, doc_id, text, threshold, multiset=False)
 
 
+@dataclass
+class _Ranges:
+    """Ranges of (id, text) in the order of descending ids, then texts: ``keys`` (ascending) end ranges of ids, ``cuts`` divide the rows of one of them."""
+
+    keys: np.ndarray
+    cuts: list[list[str]]
+
+    def __post_init__(self) -> None:
+        held = np.array([len(c) + 1 for c in self.cuts], np.int64)
+        self.total = int(held.sum())
+        self.last = self.total - 1 - (np.cumsum(held) - held)  # of a key's ranges; the highest key comes first
+
+    def of(self, key: np.ndarray, tips: pd.Series) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.keys, key, "left"), len(self.keys) - 1)
+        out = self.last[i].astype(np.int32)
+        for j in np.flatnonzero(self.keys[i] <= key):  # rows of the key itself precede those of the ids below it
+            cuts = self.cuts[i[j]]
+            if cuts:
+                out[j] -= len(cuts) - (bisect_left(cuts, tips.iloc[j]) if self.keys[i[j]] == key[j] else 0)
+        return out
+
+
+def _ranges(keyed: DataFrame) -> _Ranges:
+    """Ranges of about ``RANGE_BYTES`` of text, MOST_RANGES at most. Where they are cut decides who works on a row, never the result."""
+    total = keyed.agg(F.count("*").alias("n"), F.sum(F.octet_length("_text")).alias("size")).first()
+    n = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, (total["size"] or 0) // RANGE_BYTES))
+    found = keyed.agg(F.percentile_approx("_key", F.array(*[F.lit((i + 1) / n) for i in range(n)]), F.lit(max(10_000, 10 * n))).alias("q")).first()["q"]
+    keys, times = np.unique(np.array(found or [0], dtype=np.int64), return_counts=True)
+    cuts: dict[int, list[str]] = {}
+    heavy = {int(k): int(t) for k, t in zip(keys, times) if t > 1}
+    if heavy:  # some 16 rows a range are drawn, whose texts' beginnings cut an id's rows evenly
+        drawn = keyed.filter(F.col("_key").isin(list(heavy))).filter(F.rand(5) < 16.0 * n / max(1, total["n"])).select("_key", F.substring("_text", 1, TIP).alias("tip"))
+        for r in drawn.collect():
+            cuts.setdefault(r["_key"], []).append(r["tip"])
+    return _Ranges(keys, [sorted(set(sorted(cuts[k])[len(cuts[k]) // heavy[k] :: max(1, len(cuts[k]) // heavy[k])])) if k in cuts else [] for k in keys.tolist()])
+
+
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document in descending doc_id.
 
-    Texts cross the network once: rows are dealt to ranges of doc_id, and the first rows of each range, known from a pass over the ids alone,
-    go to the range before it as well.
+    Texts cross the network once: rows are dealt to ranges of doc_id, as many as their bytes ask for, and the first row of each range, known from a
+    pass over the ids alone, goes to the range before it as well. An id that fills more than a range is cut by the beginnings of its texts.
     """
-    spark = docs.sparkSession
     least = -(1 << 63)
     plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     keyed = plain.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(least)))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("_key"))
-    found = ids.agg(F.percentile_approx("_key", F.array(*[F.lit((i + 1) / n) for i in range(n)]), F.lit(max(10_000, 10 * n))).alias("q")).first()["q"]
-    bounds = np.unique(np.array(found or [], dtype=np.int64))  # at most as many as there are partitions
+    places = _ranges(keyed)
+    heavy = [k for k, cuts in zip(places.keys.tolist(), places.cuts) if cuts]
+    # only rows of these ids need a look at their texts
+    tip = F.when(F.col("_key").isin(heavy), F.substring("_text", 1, TIP)).otherwise("") if heavy else F.lit("")
 
     @F.pandas_udf("int")
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "left").astype(np.int32))
+    def part_of(key: pd.Series, tips: pd.Series) -> pd.Series:
+        return pd.Series(places.of(key.to_numpy(np.int64), tips))
 
-    firsts = sorted((r["p"], r["k"]) for r in ids.groupBy(part_of("_key").alias("p")).agg(F.max("_key").alias("k")).collect())
-    parts, heads = np.array([p for p, _ in firsts], np.int32), np.array([k for _, k in firsts], np.int64)
-    above = np.roll(parts, -1)  # the part whose last row precedes this part's first; past the highest part comes the lowest
+    ids = keyed.select("_key", tip.alias("_tip"))
+    heads = ids.groupBy(part_of("_key", "_tip").alias("p")).agg(F.min(F.struct(F.bitwise_not("_key").alias("k"), "_tip")).alias("h")).collect()
+    heads = sorted((r["p"], ~r["h"]["k"], r["h"]["_tip"]) for r in heads)  # a row a range
+    before = {(k, t): heads[i - 1][0] for i, (_, k, t) in enumerate(heads)}  # the range that ends where this one begins; before the first comes the last
+    begins = np.array(sorted({k for _, k, _ in heads}), np.int64)
 
-    @F.pandas_udf("int")
-    def guest_of(key: pd.Series) -> pd.Series:
+    @F.pandas_udf("own int, guest int")
+    def dealt_to(key: pd.Series, tips: pd.Series) -> pd.DataFrame:
         k = key.to_numpy(np.int64)
-        i = np.minimum(np.searchsorted(heads, k, "left"), len(heads) - 1)
-        return pd.Series(np.where(heads[i] == k, above[i], -1).astype(np.int32))
-
-    at_home = F.struct(part_of("_key").alias("part"), F.lit(0).alias("guest"))
-    abroad = F.struct(guest_of("_key").alias("part"), F.lit(1).alias("guest"))
-    dealt = keyed.withColumn("_own", at_home).withColumn("_at", F.explode(F.filter(F.array("_own", abroad), lambda x: x["part"] >= 0)))
+        guest = np.full(len(k), -1, np.int32)
+        for i in np.flatnonzero(np.isin(k, begins)):
+            guest[i] = before.get((int(k[i]), tips.iloc[i]), -1)
+        return pd.DataFrame({"own": places.of(k, tips), "guest": guest})
+
+    both = keyed.withColumn("_to", dealt_to("_key", tip))
+    at_home = F.struct(F.col("_to.own").alias("part"), F.lit(0).alias("guest"))
+    abroad = F.struct(F.col("_to.guest").alias("part"), F.lit(1).alias("guest"))
+    dealt = both.withColumn("_at", F.explode(F.filter(F.array(at_home, abroad), lambda x: x["part"] >= 0)))
     dealt = dealt.select(F.col("_at.part").alias("_part"), F.col("_at.guest").alias("_guest"), "_key", "doc_id", "_text")
-    dealt = dealt.repartition(n, "_part").sortWithinPartitions("_part", "_guest", F.desc("_key"), "_text")
+    dealt = dealt.repartitionById(places.total, F.col("_part")).sortWithinPartitions("_part", "_guest", F.desc("_key"), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[tuple] = []

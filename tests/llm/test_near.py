@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -135,6 +136,24 @@ def test_rows_without_an_id_come_after_all_others(spark):
     assert got == {(i, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts}
 
 
+def test_an_id_that_fills_several_ranges_is_cut_by_its_texts(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 1000)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ape", "bear", "cat", "élan", "𝄞"]) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    ids = [7 if i % 3 == 0 else None if i % 3 == 1 else i for i in range(300)]
+    rows = [(d, t, "en", "s", 0, 0, "", "") for d, t in zip(ids, texts)]
+    keyed = frame(spark, rows).selectExpr("coalesce(doc_id, -9223372036854775808) AS _key", "text AS _text")
+    held = fingerprints._ranges(keyed)
+    assert [k for k, c in zip(held.keys.tolist(), held.cuts) if len(c) > 3] == [-(1 << 63), 7] and held.total > 20
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1].encode()))
+    want = []
+    for r, after in zip(order, order[1:] + order[:1]):
+        k = len(r[1]) // 3
+        want.append((str(r[0]), len(r[1]), hashlib.sha256((r[1][: len(r[1]) - k] + after[1][:k]).encode()).hexdigest()))
+    got = fingerprints.edited_fingerprints(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_large_buckets_are_dealt_to_splits(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SPLIT_ROWS", 20)
     monkeypatch.setattr(near_dedup, "HEAVY", 0.0)
