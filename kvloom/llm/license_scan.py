@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import cut, told_apart
+from kvloom.llm.common import HEAVY, cut, told_apart
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -39,6 +39,8 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 THRESHOLD = 0.8
+#: Rows of a common text that meet its notices in one task, about.
+SPLIT_ROWS = 1000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BREAK_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -130,7 +132,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     runs = runs.filter(F.col("_best.common") >= F.col("need")).select("_text", (-F.col("_best.before")).alias("line"), "template", "label", F.col("_best.common").alias("_c"), "n")
     found = found.filter("line >= 0").select("_text", "line", "template", "label", "_c", "n").unionByName(runs)
     found = found.groupBy("_text").agg(F.array_sort(F.collect_set(F.struct("line", "template", "label", (F.col("_c").cast("double") / F.col("n")).alias("containment")))).alias("notices"))
-    out = held.drop("_blocks").join(found, "_text", "left")
+    out = _noticed(held.drop("_blocks"), cut(found, "found"), held.count())
     starts = F.coalesce(F.flatten("_places"), F.array().cast("array<int>"))
     base = F.array_distinct(F.flatten(F.array(*[F.when(F.size(F.coalesce(F.get("_places", F.lit(k)), F.array().cast("array<int>"))) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for k, label in enumerate(phrases.values())])))
     out = out.withColumn("_starts", starts).withColumn("_base", base).withColumn("notices", F.coalesce("notices", F.array().cast("array<struct<line:int,template:int,label:string,containment:double>>")))
@@ -141,6 +143,18 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     )
 
 
+def _noticed(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the notices of their texts. Rows whose text has none stay where they are; those of a common text are dealt to splits."""
+    some, rest = told_apart(rows, found, ["_text"])
+    found = cut(found.join(some.groupBy("_text").agg(F.count("*").alias("copies")), "_text"), "copies")
+    common = found.filter(F.col("copies") > max(SPLIT_ROWS, HEAVY * total)).select("_text", F.ceil(F.col("copies") / SPLIT_ROWS).cast("int").alias("splits"))
+    splits = F.coalesce("splits", F.lit(1))
+    # at most 10,000 texts are as common, so their numbers of splits, but not their notices, may be broadcast
+    dealt = some.join(F.broadcast(common), "_text", "left").withColumn("_split", F.pmod(F.xxhash64("row", F.spark_partition_id()), splits).cast("int")).drop("splits")
+    facts = found.join(F.broadcast(common), "_text", "left").select("_text", "notices", F.explode(F.sequence(F.lit(0), splits - 1)).alias("_split"))
+    return dealt.join(facts, ["_text", "_split"], "left").drop("_split").unionByName(rest, allowMissingColumns=True)
+
+
 def oracle(phrases: dict[str, str] = PHRASES, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for the query's rows."""
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -102,3 +102,13 @@ def test_wrapped_notices_are_found(spark):
         assert label is not None or "bsd" not in labels
         assert got[i].labels == ",".join(sorted({x for x in one[5].split(",") if x} | labels)), t
         assert got[i].score == max(one[6], best)
+
+
+def test_rows_of_a_common_text_are_dealt_to_splits(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "SPLIT_ROWS", 10)
+    text = "Released under the MIT License"
+    rows = [(i if i % 2 else 7, text if i < 150 else f"{text} {i % 5}" if i < 200 else f"nothing {i}") for i in range(240)] + [(None, None)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+    assert sum(r.labels == "mit" and r.score == 1.0 and len(r.notices) == 1 for r in got) == 200
+    assert sum(r.labels == "" and r.score == 0.0 and r.notices == [] for r in got) == 41
