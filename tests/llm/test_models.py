@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from tests.llm.corpora import frame, odd_rows
 
@@ -85,6 +87,66 @@ def test_quotation_is_told_from_abuse():
     assert doc.tolist() == [0, 1, 2] and quoted.tolist() == [False, True, True] and words[3] == 0
 
 
+def plain_hit(word, terms):
+    """(kind, weight) of a word by edit distances to every term, or None."""
+    found = []
+    for term, stem, weight in terms:
+        if stem:
+            if word.startswith(term) and len(word) > len(term):
+                found.append((2, weight, 3))
+        elif word == term:
+            found.append((3, weight, 1))
+        elif len(term) >= 5 and edits(word, term) == 1:
+            found.append((1, weight, 2))
+    return max(found)[:0:-1] if found else None
+
+
+def plain_score(text, model):
+    """A text's score by loops over its words."""
+    from kvloom.llm.common import span_hashes
+
+    raw = (text or "").encode()
+    bare = re.sub(rb"\xe2\x80.|\xc2[\xab\xbb]", lambda m: b" " * len(m[0]), raw, flags=re.S)
+    words = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", bare)]
+    bucket = lambda a, b: int(span_hashes(np.frombuffer(raw[a:b], np.uint8), np.array([0]), np.array([b - a]))[0] % np.uint64(1024))
+    marks = [q.encode() for q in "\"“”„«»"]
+    kinds, weights, best, near_all = [0, 0, 0, 0], [], 0.0, 0.0
+    for w, (a, b) in enumerate(words):
+        hit = plain_hit(raw[a:b].lower(), model.terms)
+        if not hit:
+            continue
+        around = words[max(0, w - 5) : w] + words[w + 1 : w + 6]
+        near = float(np.mean([model.near[bucket(*x)] for x in around])) if around else 0.0
+        left = raw[max(0, words[max(0, w - 5)][0] - 3) : a]
+        right = raw[b : words[min(len(words) - 1, w + 5)][1] + 3]
+        near_all += near
+        if any(m in left for m in marks) and any(m in right for m in marks):
+            kinds[3] += 1
+        else:
+            kinds[hit[0] - 1] += 1
+            weights.append(hit[1])
+            best = max(best, near)
+    total = len(weights)
+    x = [*np.log1p(kinds), total > 0, 100 * total / max(len(words), 20), best, near_all, min(sum(weights), 20.0), max([0.0, *weights])]
+    return 1 / (1 + np.exp(-(model.weights[0] + np.dot(x, model.weights[1:]))))
+
+
+def test_scores_are_those_of_a_plain_search(spark):
+    rng = np.random.default_rng(8)
+    terms = [(b"moron", False, 1.5), (b"clown", False, 2.0), (b"crown", False, 0.5), (b"bad", False, 1.0), (b"vequ", True, 0.7), ("éclat".encode(), False, 1.2)]
+    model = toxicity.Model(toxicity.intersect(terms), terms, rng.normal(size=1024), rng.normal(size=11) / 4)
+    words = ["moron", "MORON", "mroon", "moro", "clowns", "Crown", "crowm", "bad", "bat", "vequ", "vequist", "éclat", "Éclat", "eclat", "plain", "word", "日本", "naïve", "x"]
+    joints = [" ", " ", " ", " ", ", ", ' "', '" ', " “", "” ", "«", "»", "—", ".\n"]
+    make = lambda n: "".join(w + j for w, j in zip(rng.choice(words, n), rng.choice(joints, n)))
+    texts = [None, "", "moron", '"moron"', *(make(n) for n in rng.integers(1, 60, 150))]
+    texts += texts[4:7]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert len(got) == len(texts) and len(set(got.values())) > 100
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain_score(t, model)) < 1e-9, t
+
+
 def test_terms_are_counted_by_rows(spark):
     texts = [("a “vile” word, Vile VILE éclairs", 1), ("éclairs in vilest words", 0), (None, 1), ("", 0), ("vilest vileness", 1)]
     plain = spark.createDataFrame([(t or "", y) for t, y in texts], "text string, label int").repartition(1)
