@@ -4,7 +4,7 @@ Piece lengths are whole numbers up to the capacity, so all that a packing depend
 2048 rows, whatever the corpus. On it the driver packs best-fit decreasing, bins with equal contents as one entry with a count, and then improves:
 the emptiest bins give documents to fuller underfull ones by moves, one-for-one and two-for-one exchanges that raise the sum of squared fills, all bins
 of equal contents at once, until no exchange of any bin helps or the number of bins has reached its lower bound. Pieces are ranked within their length without one large task, and a
-piece's rank tells its sequence and offset.
+piece's rank tells its sequence and offset. Where sequences follow an order, the bins are ranked in it too, as rows, and meet the pieces by length and rank.
 
 Tokenising: a token never crosses white space or the end of an ASCII word before a stop mark, so documents are cut there, and each distinct part is
 given to the tokenizer once a worker, in a bounded cache. The ids are those of the whole text.
@@ -23,14 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.llm.common import cut, ranked, slices, texts_of
 
 CAPACITY = 2048
-#: Stretches of the order that bins are dealt over at most, and rows of the table of places that they may make; what a sequence's number is does not depend on them.
-STRETCHES, MOST_PLACES = 64, 500_000
 TOKENIZER = "word_bpe_49k.json"
 _CACHE = 500_000
 _SPACE = np.zeros(256, bool)
@@ -304,19 +302,32 @@ def places(packed: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(names, np.array(rows, np.int64).reshape(-1, 5).T))
 
 
-def dealt(packed: list[tuple[tuple[int, ...], int]], found: dict[int, np.ndarray]) -> list[tuple[tuple[int, ...], int]]:
-    """The same bins, stretch by stretch of the order: those of a content as the pieces of its greatest length are (``found``: pieces a stretch)."""
-    n = len(next(iter(found.values()), ()))
-    by: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(n)]
-    share = {length: np.cumsum(x) / x.sum() for length, x in found.items()}
-    for k, (contents, bins) in enumerate(packed):
-        # bin j of these stands at (j + u) / bins; u differs, so that single bins do not all stand in the middle
-        upto = np.ceil(bins * share[contents[0]] - (k * 0.6180339887498949) % 1).astype(np.int64).clip(0, bins)
-        upto[-1] = bins
-        each = np.diff(upto, prepend=0)
-        for b in np.flatnonzero(each).tolist():
-            by[b].append((contents, int(each[b])))
-    return [x for xs in by for x in xs]
+def bins_of(spark: SparkSession, packed: list[tuple[tuple[int, ...], int]], counts: dict[int, int]) -> DataFrame:
+    """(bin, lead, at, length, each, offset): a row a bin and length in it. Bins of a content stand as the pieces of its greatest length do: at the ``at``-th of ``lead``."""
+    bins = np.array([n for _, n in packed], np.int64)
+    ends = np.cumsum(bins)
+    lead = np.array([contents[0] for contents, _ in packed], np.int64)
+    pieces_led = np.array([counts[contents[0]] for contents, _ in packed], np.int64)
+    # bin j of a content stands at (j + u) / bins of these pieces; u differs, so that single bins do not all stand in the middle
+    u = np.arange(len(packed)) * 0.6180339887498949 % 1
+    inside = [[(x, contents.count(x)) for x in dict.fromkeys(contents)] for contents, _ in packed]
+    lengths = np.array([len(x) for x in inside], np.int64)
+    first = np.cumsum(lengths) - lengths
+    length, each = np.array([x for xs in inside for x in xs], np.int64).reshape(-1, 2).T
+    filled = np.cumsum(length * each) - length * each
+    offset = filled - np.repeat(filled[first], lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column(0).to_numpy()
+            k = np.searchsorted(ends, b, "right")
+            at = np.minimum(((b - ends[k] + bins[k] + u[k]) / bins[k] * pieces_led[k]).astype(np.int64), pieces_led[k] - 1)
+            n = lengths[k]
+            row = np.repeat(np.arange(len(b)), n)
+            i = first[k][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b[row], lead[k][row], at[row], length[i], each[i], offset[i])], ["bin", "lead", "at", "length", "each", "offset"])
+
+    return spark.range(int(bins.sum())).mapInArrow(run, "bin long, lead long, at long, length long, each long, offset long")
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, source: str = "source", order: DataFrame | None = None) -> DataFrame:
@@ -330,22 +341,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         slots = (order.agg(F.max("_slot")).first()[0] or 0) + 1
         held = held.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_id", "_source")
     held = cut(held, "pieces")
-    if order is None:
-        counts = {r["length"]: r["count"] for r in held.groupBy("length").count().collect()}  # a row a length
-        packed = improve(best_fit(counts, capacity), capacity)
-    else:
-        found: dict[int, np.ndarray] = {}
-        stretch = F.floor(F.col("_slot") * STRETCHES / slots).cast("int")
-        for r in held.groupBy("length", stretch.alias("s")).count().collect():  # STRETCHES rows a length at most
-            found.setdefault(r["length"], np.zeros(STRETCHES, np.int64))[r["s"]] = r["count"]
-        packed = improve(best_fit({length: int(x.sum()) for length, x in found.items()}, capacity), capacity)
-        n = STRETCHES
-        while n > 1 and sum(min(bins, n) * len(set(contents)) for contents, bins in packed) > MOST_PLACES:
-            n //= 2
-        packed = dealt(packed, {length: x.reshape(n, -1).sum(axis=1) for length, x in found.items()})
+    counts = {r["length"]: r["count"] for r in held.groupBy("length").count().collect()}  # a row a length
+    packed = improve(best_fit(counts, capacity), capacity)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if order is not None:
+        return _in_order(held, bins_of(held.sparkSession, packed, counts), slots).select(*columns, "sequence_id", "offset")
     table = places(packed)
     key = table["length"] << np.int64(44) | table["rank"]
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,14 +356,23 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
             turn, nth = np.divmod(rank - table["rank"][k], table["each"][k])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(table["sequence"][k] + turn), pa.array(table["offset"][k] + nth * length)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    if order is None:
-        numbered = ranked(held, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
-        return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    numbered = ranked(held, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
+    return numbered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _in_order(held: DataFrame, bins: DataFrame, slots: int) -> DataFrame:
+    """``held`` with sequence_id and offset: pieces of a length go to bins in the order of both, and sequences are numbered by their tokens' mean slot.
+
+    A bin has the slot of the piece it stands at, whatever the number of bins: they are rows of a table, ranked and joined as the pieces are.
+    """
     wide = (1 << 62) // slots
     follow = [F.col("source").asc_nulls_last(), F.col("_nth"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    numbered = ranked(held, ["length"], F.col("_slot") * F.lit(wide), follow).select(*columns, "_slot", "rank")
-    placed = cut(numbered.mapInArrow(run, f"{schema}, _slot long, sequence_id long, offset long"), "placed")
-    sequences = cut(placed.groupBy("sequence_id").agg((F.sum(F.col("_slot") * F.col("length")) / F.sum("length")).alias("_mean")), "sequences")
-    sequences = ranked(sequences, [], (F.col("_mean") * F.lit(float(wide))).cast("long"), [F.col("sequence_id")])
-    return placed.join(sequences, "sequence_id").select(*columns, F.col("rank").alias("sequence_id"), "offset")
+    numbered = cut(ranked(held, ["length"], F.col("_slot") * F.lit(wide), follow).drop("source", "_nth"), "numbered")
+    leads = numbered.select(F.col("length").alias("lead"), F.col("rank").alias("at"), F.col("_slot").alias("_time"))
+    bins = cut(bins.join(leads, ["lead", "at"]).select("bin", "length", "each", "offset", "_time"), "bins")
+    room = ranked(bins, ["length"], F.col("_time") * F.lit(wide), [F.col("bin")], "each").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)))
+    room = room.select("length", (F.col("before") + F.col("_i")).alias("rank"), "bin", (F.col("offset") + F.col("_i") * F.col("length")).alias("offset"))
+    placed = cut(numbered.join(room, ["length", "rank"]), "placed")
+    sequences = cut(placed.groupBy("bin").agg((F.sum(F.col("_slot") * F.col("length")) / F.sum("length")).alias("_mean")), "sequences")
+    sequences = ranked(sequences, [], (F.col("_mean") * F.lit(float(wide))).cast("long"), [F.col("bin")])
+    return placed.join(sequences.select("bin", F.col("rank").alias("sequence_id")), "bin")

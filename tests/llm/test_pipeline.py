@@ -86,6 +86,39 @@ def test_sequences_follow_the_mix(spark):
     assert len({g.sequence_id for g in plain}) == len(bins)  # the mix costs no sequence
 
 
+def in_order(pieces, capacity):
+    """(piece, sequence, offset) by a plain loop; ``pieces``: (slot, source, rank, doc_id, piece, length, crc)."""
+    by = {}
+    for p in sorted(pieces):
+        by.setdefault(p[5], []).append(p)
+    packed = packing.improve(packing.best_fit({n: len(x) for n, x in by.items()}, capacity), capacity)
+    bins = []
+    for k, (contents, n) in enumerate(packed):
+        led = by[contents[0]]
+        bins += [(led[int((j + k * 0.6180339887498949 % 1) / n * len(led))][0], contents) for j in range(n)]
+    left = {n: iter(x) for n, x in by.items()}
+    filled = {}
+    for b in sorted(range(len(bins)), key=lambda b: (bins[b][0], b)):
+        filled[b] = [next(left[n]) for n in bins[b][1]]
+    mean = {b: sum(p[0] * p[5] for p in ps) / sum(p[5] for p in ps) for b, ps in filled.items()}
+    return {(p[3], p[4], s, sum(q[5] for q in filled[b][:i])) for s, b in enumerate(sorted(filled, key=lambda b: (mean[b], b))) for i, p in enumerate(filled[b])}
+
+
+def test_sequences_follow_one_law_at_every_size(spark, monkeypatch):
+    r = random.Random(11)
+    docs = frame(spark, [(i, " ".join(["sun"] * r.randint(0, 150)), "en", "ab"[i % 2], 0, 0, "", "") for i in range(900)])
+    places = [(i, "ab"[i % 2], i * 7 % 90 if i % 2 else i // 10, i) for i in range(900)]
+    order = spark.createDataFrame(places, "doc_id long, source string, slot long, rank long")
+    got = []
+    for most in (500_000, 1):  # rows of the table of places from which on bins were once dealt less finely
+        monkeypatch.setattr(packing, "MOST_PLACES", most, raising=False)
+        got.append({(x.doc_id, x.piece, x.sequence_id, x.offset) for x in packing.pack(docs, capacity=100, order=order).collect()})
+    assert got[0] == got[1]
+    at = {i: (slot, source, rank) for i, source, slot, rank in places}
+    pieces = packing.pieces(docs, capacity=100).collect()
+    assert got[0] == in_order([(*at[x.doc_id], x.doc_id, x.piece, x.length, x.ids_crc32) for x in pieces], 100)
+
+
 def test_classes_go_by_text_and_not_by_id(spark):
     r = random.Random(3)
     prose = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(80))
