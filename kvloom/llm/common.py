@@ -17,6 +17,10 @@ from pyspark.sql.window import Window as W
 SHINGLE_WORDS = 5
 #: Bytes of text that a Python worker holds in numpy arrays at a time, besides one whole document.
 SLICE_BYTES = 1 << 20
+#: Rows of ``cut`` that one file holds, about, where their number is known.
+FILE_ROWS = 20_000
+#: Rows up to which a table of known size goes whole to the driver or to every executor.
+FEW = 100_000
 
 _scratch: dict[str, list[str]] = {}
 
@@ -31,10 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def cut(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    ``rows``: about how many things it is about, where known. A small table of many shuffle partitions then becomes no more files than two a core.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kvloom/{what}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     paths = _scratch.setdefault("paths", [])
     if not paths:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kvloom.llm.common import HEAVY, cut, discard, lists, mix, numbered, shingles, slices, texts_of, told_apart, with_facts
+from kvloom.llm.common import FEW, HEAVY, cut, discard, lists, mix, numbered, shingles, slices, texts_of, told_apart, with_facts
 
 SLOTS = 210
 BAND_ROWS = 7
@@ -97,8 +97,13 @@ def _bag_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield banded(rows, bag_signatures(hashed, first), np.diff(first) > 0, BAND_ROWS)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes of ``edges`` (a, b); comp is the least node connected. Stars are contracted until nothing moves."""
+def components(edges: DataFrame, count: int) -> DataFrame:
+    """(node, comp) of all nodes of ``edges`` (a, b), a stored table of ``count`` rows; comp is the least node connected.
+
+    Few edges are united by the driver, and the result is marked to be broadcast. Else stars are contracted until nothing moves.
+    """
+    if count <= FEW:
+        return F.broadcast(cut(_united(edges), "comps"))
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -112,7 +117,23 @@ def components(edges: DataFrame) -> DataFrame:
         ends = now.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-    return now.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
+    return cut(now.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp"), "comps")
+
+
+def _united(edges: DataFrame) -> DataFrame:
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    held = edges.select("a", "b").toArrow()
+    for a, b in zip(held["a"].to_pylist(), held["b"].to_pylist()):
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    columns = [pa.array(x, held.schema.field("a").type) for x in (list(up), [root(x) for x in list(up)])]
+    return edges.sparkSession.createDataFrame(pa.Table.from_arrays(columns, ["node", "comp"])).coalesce(1)
 
 
 def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold: float, multiset: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -122,10 +143,11 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     """
     plain = texts_of(docs, F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = cut(plain.mapInArrow(bands, "doc_id long, _t binary, bands array<long>"), "bands")
+    many = rows.count()
     texts = rows.groupBy("_t").agg(F.first("bands").alias("bands")).select("_t", F.explode("bands").alias("bucket"))
-    sizes = cut(texts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    sizes = cut(texts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets", many)
     large, small = with_facts(texts, sizes, "bucket", "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    members = cut(large.unionByName(small.filter("n is not null")), "members")
+    members = cut(large.unionByName(small.filter("n is not null")), "members", many)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in slices(batches, "_text"):
@@ -141,7 +163,7 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     # one row of each wanted text. A bitmap, of two million words at most, keeps other texts off the network; past its capacity it only saves less
     likely, _ = told_apart(plain, wanted, ["_t"])
     bodies = likely.join(once.select(F.col("_t").alias("_u"), "d"), (F.col("_t") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("_t", "_text")
-    bags = cut(bodies.mapInArrow(sets, "_t binary, s array<int>").dropDuplicates(["_t"]), "bags")
+    bags = cut(bodies.mapInArrow(sets, "_t binary, s array<int>").dropDuplicates(["_t"]), "bags", many)
 
     def overlaps(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes allow a link, with the size ``o`` of their overlap and whether it makes one."""
@@ -161,22 +183,25 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     some, others = with_facts(members.drop("n"), leads, "bucket", "held", everywhere)
     first = some.unionByName(others).groupBy("_t").agg(F.max(F.when(F.col("lead._t") != F.col("_t"), F.col("lead"))).alias("lead"))
     first = first.filter("lead is not null").select("_t", F.col("lead._t").alias("lead"))
-    first = cut(first.select("_t", "lead", F.greatest("_t", "lead").alias("a"), F.least("_t", "lead").alias("b")), "first")
-    met = cut(overlaps(first.select("a", "b").distinct()), "met")
-    links = cut(met.filter("link").select("a", "b"), "links")
-    comps = cut(components(links), "comps")
+    first = cut(first.select("_t", "lead", F.greatest("_t", "lead").alias("a"), F.least("_t", "lead").alias("b")), "first", many)
+    met = cut(overlaps(first.select("a", "b").distinct()), "met", many)
+    links = cut(met.filter("link").select("a", "b"), "links", many)
+    number = links.count()
+    comps = components(links, number)
 
     def placed(table: DataFrame) -> DataFrame:
         return table.join(comps.withColumnRenamed("node", "_t"), "_t", "left").withColumn("comp", F.coalesce("comp", "_t"))
 
-    def in_open(table: DataFrame) -> DataFrame:
-        """The buckets whose members that were no pivot are in several classes."""
+    def in_open(table: DataFrame, count: int) -> DataFrame:
+        """The buckets whose members that were no pivot are in several classes; ``count`` is the number of rows of ``table``."""
         fresh = F.when(~F.col("tried"), F.col("comp"))
         several = table.groupBy("bucket").agg(F.min(fresh).alias("lo"), F.max(fresh).alias("hi"), F.count("*").alias("held")).filter("lo <> hi").select("bucket", "held")
+        if count <= FEW:
+            return table.join(F.broadcast(several.select("bucket")), "bucket")
         large, small = with_facts(table, several, "bucket", "held", everywhere)
         return large.unionByName(small.filter("held is not null")).drop("held")
 
-    left = cut(in_open(placed(members.select("bucket", "_t", F.lit(False).alias("tried")))).select("bucket", "_t"), "open")
+    left = cut(in_open(placed(members.select("bucket", "_t", F.lit(False).alias("tried"))), everywhere).select("bucket", "_t"), "open", many)
     others = left.groupBy("_t").agg(F.sort_array(F.collect_list("bucket")).alias("all"))  # as many as there are bands
     # elements that only one of these texts has can be in no overlap: a text with too many of them has no link left to find
     wanted = left.select("_t").distinct()
@@ -187,22 +212,22 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
     facts = facts.filter(F.col("shared") >= F.lit(threshold) * F.col("size"))
     # what a text has in common with the likely original it was compared with, where that is among these texts
     known = first.join(met, ["a", "b"]).join(wanted.withColumnRenamed("_t", "lead"), "lead", "left_semi").select("_t", "lead", "o")
-    facts = cut(facts.join(known, "_t", "left"), "facts")
-    left = left.join(facts, "_t")
+    facts = cut(facts.join(known, "_t", "left"), "facts", many)
+    left = left.join(F.broadcast(facts) if facts.count() <= FEW else facts, "_t")
     discard(first, met)
     least = left.groupBy("bucket").agg(F.min("size").alias("least"))
     need = F.lit(threshold / (1 + threshold)) * (F.col("size") + F.greatest(F.col("least"), F.lit(threshold) * F.col("size"))) - F.lit(1e-6)
-    left = cut(left.join(least, "bucket").filter(F.col("shared") >= need).select("bucket", "_t", "size", "shared", "lead", "o", F.lit(False).alias("tried")), "left")
+    left = cut(left.join(least, "bucket").filter(F.col("shared") >= need).select("bucket", "_t", "size", "shared", "lead", "o", F.lit(False).alias("tried")), "left", many)
     pivots, total = 64, left.count()
     while True:
-        left = cut(in_open(placed(left)), "left")
+        left = cut(in_open(placed(left), total), "left", many)
         if left.isEmpty():
             break
         # pivots come from the smallest classes of a bucket; a pair that shares several buckets is made in the first
         held = left.groupBy("bucket", "comp").agg(F.count("*").alias("held"))
         free = left.filter(~F.col("tried")).join(held, ["bucket", "comp"])
         chosen = _first(free, pivots, F.col("held")).select("bucket", "_t", F.lit(True).alias("pivot"))
-        marked = cut(left.join(chosen, ["bucket", "_t"], "left").join(others, "_t").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "pivots")
+        marked = cut(left.join(chosen, ["bucket", "_t"], "left").join(others, "_t").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "pivots", many)
         # members of a large bucket are dealt to splits, and its pivots go to each
         large = marked.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > max(SPLIT_ROWS, HEAVY * total)).select("bucket", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("splits"))
         marked = marked.join(F.broadcast(large), "bucket", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
@@ -213,10 +238,14 @@ def grouped(docs: DataFrame, bands: Callable, doc_id: str, text: str, threshold:
         most = F.least(F.col("sx"), F.col("sy"), most)
         can = (most >= F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)) & (F.col("cx") != F.col("cy"))
         can = can & (F.col("bucket") == F.array_min(F.array_intersect("ax", "ay"))) & ~(F.col("px") & (F.col("x") > F.col("y")))
-        pairs = cut(x.join(y, (F.col("bucket") == F.col("by")) & (F.col("sx_") == F.col("sy_")) & can).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
-        links, old, dropped = cut(links.union(overlaps(pairs).filter("link").select("a", "b")).distinct(), "links"), links, comps
-        comps = cut(components(links), "comps")
-        discard(pairs, old, dropped)
+        pairs = cut(x.join(y, (F.col("bucket") == F.col("by")) & (F.col("sx_") == F.col("sy_")) & can).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs", many)
+        # no pair is inside a class, so no link is an old one
+        new = cut(overlaps(pairs).filter("link").select("a", "b"), "links", many)
+        discard(pairs)
+        if found := new.count():
+            links, number = links.union(new), number + found
+            dropped, comps = comps, components(links, number)
+            discard(dropped)
         left = marked.select("bucket", "_t", "size", "shared", "lead", "o", (F.col("tried") | F.col("pivot")).alias("tried"))
         pivots *= 8
     counted = links.select(F.col("a").alias("_t")).union(links.select(F.col("b").alias("_t"))).groupBy("_t").agg(F.count("*").alias("n_links"))

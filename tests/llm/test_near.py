@@ -166,3 +166,56 @@ def test_texts_longer_than_a_slice(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
     got = {r.doc_id: r for r in fingerprints.edited_fingerprints(frame(spark, rows)).collect()}
     assert got[2].near_next > 0.95 and got[1].near_next == 0.0 and got[1].n_chars == len(rows[0][1])
+
+
+def jobs_of(spark, name, run):
+    """The jobs that ``run`` starts, and their tasks."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    jobs = told.getJobIdsForGroup(name)
+    stages = {s for j in jobs for s in told.getJobInfo(j).stageIds}
+    return len(jobs), sum(x.numCompletedTasks for s in stages if (x := told.getStageInfo(s)))
+
+
+def test_components_of_few_and_of_many_edges_are_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    some = {tuple(sorted(rng.sample(range(400), 2))) for _ in range(250)} | {(i, i + 1) for i in range(500, 540)}
+    edges = [(b"%03d" % b, b"%03d" % a) for a, b in some]
+    parent = {x: x for e in edges for x in e}
+    for _ in range(len(parent)):
+        for a, b in edges:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    held = spark.createDataFrame(edges, "a binary, b binary")
+    for few in (near_dedup.FEW, 0):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        got = {bytes(r.node): bytes(r.comp) for r in near_dedup.components(held, len(edges)).collect()}
+        assert parent == {x: x for x in parent} | got  # a least node may be left out
+    assert near_dedup.components(held.limit(0), 0).collect() == []
+
+
+def test_many_partitions_of_few_rows_make_few_tasks(spark):
+    """A small table takes no task a shuffle partition to write, and its links no rounds."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = odd_rows()
+    got = []
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        _, tasks = jobs_of(spark, "near", lambda: got.extend(near_dedup.near_duplicates(frame(spark, rows)).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == brute_classes(rows)
+    assert tasks < 2500
+
+
+def test_rounds_beyond_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    test_classes_are_those_of_all_pairs(spark)
+    test_large_bucket_of_unlike_members_is_resolved(spark)
