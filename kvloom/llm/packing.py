@@ -7,7 +7,8 @@ of equal contents at once, until no exchange of any bin helps or the number of b
 piece's rank tells its sequence and offset. Where sequences follow an order, the bins are ranked in it too, as rows, and meet the pieces by length and rank.
 
 Tokenising: a token never crosses white space or the end of an ASCII word before a stop mark, so documents are cut there, and each distinct part is
-given to the tokenizer once a worker, in a bounded cache. The ids are those of the whole text.
+given to the tokenizer once a worker, in a bounded cache. The ids are those of the whole text. Most parts are a Latin word, with marks behind it or not:
+these are given to it in lines, and told apart by the ids that end a word, where the tokenizer's file says that it splits words so.
 
 Defined results: a null or empty text is one piece, the id 0; rows equal in id and text may swap places; an empty table gives an empty result; only
 the named id and text columns are read.
@@ -17,7 +18,10 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +43,10 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: One word of letters that keep to one letter in lower case, up to U+024F, and one of marks, if any; and how a tokenizer must split for that.
+_PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,;:!?]*")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "</w>"
 
 
 class Tokens:
@@ -52,9 +60,25 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(name if os.path.sep in name else public_tokenizers.path(name))
         self.mark = "<|endoftext|>"
         self.end = self.tokenizer.token_to_id(self.mark)
+        self.ends = self._word_ends()
         self.latest: list[bytes] = []
         self.clear()
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Whether an id ends a word, and every word ends with such an id; none if the file does not say so."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        how = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        steps = how.get("pretokenizers", [])
+        if [x.get("type") for x in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"].get("Regex") != _SPLIT or steps[1].get("use_regex"):
+            return None
+        vocab = self.tokenizer.get_vocab()
+        if getattr(self.tokenizer.model, "end_of_word_suffix", None) != _END or not all(c + _END in vocab for c in ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[k for token, k in vocab.items() if token.endswith(_END)]] = True
+        return ends
+
     def clear(self, keep: list[bytes] = ()) -> None:
         """Forget all parts but ``keep``."""
         old = np.array([self.known[p] for p in keep], np.int64)
@@ -68,27 +92,44 @@ class Tokens:
         self.ids[: self.used] = ids[np.repeat(start - at, length) + np.arange(self.used)]
 
     def _add(self, parts: list[bytes]) -> None:
-        """Parts are given to the tokenizer in one string each few thousand, between end marks; a mark parts what stands beside it."""
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
+        """Plain parts are given to the tokenizer in one string of lines, others in one between end marks; a mark parts what stands beside it."""
+        rest = parts
+        if self.ends is not None:
+            rest, plain, lines = [], [], []
+            for p in parts:
+                line = p.decode()
+                if _PLAIN.fullmatch(line):
+                    plain.append(p)
+                    lines.append(line)
+                else:
+                    rest.append(p)
+            for i in range(0, len(plain), 512):
+                some = lines[i : i + 512]
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.int64)
+                words = np.cumsum([1 if line[-1].isalpha() else 2 for line in some])
+                self._learn(plain[i : i + 512], ids, np.diff(np.flatnonzero(self.ends[ids])[words - 1], prepend=-1))
+        for i in range(0, len(rest), 512):
+            some = rest[i : i + 512]
             if any(b"<|" in p for p in some):
                 ids = [x for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False) for x in (*e.ids, -1)]
                 ids, end = np.array(ids, np.int64), -1
             else:
-                ids = np.array(self.tokenizer.encode(self.mark.join([*map(bytes.decode, some), ""]), add_special_tokens=False).ids, np.int64)
+                ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join([*map(bytes.decode, some), ""])], add_special_tokens=False)[0].ids, np.int64)
                 end = self.end
-            marks = np.flatnonzero(ids == end)
-            length = np.diff(marks, prepend=-1) - 1
-            k, n, ids = len(self.known), len(some), ids[ids != end]
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while k + n > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.length[k : k + n] = length
-            self.start[k : k + n] = self.used + np.cumsum(length) - length
-            self.used += len(ids)
-            self.known.update(zip(some, range(k, k + n)))
+            self._learn(some, ids[ids != end], np.diff(np.flatnonzero(ids == end), prepend=-1) - 1)
+
+    def _learn(self, parts: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        """Keep the ids of ``parts``, that stand one after the other."""
+        k, n = len(self.known), len(parts)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.length[k : k + n] = length
+        self.start[k : k + n] = self.used + np.cumsum(length) - length
+        self.used += len(ids)
+        self.known.update(zip(parts, range(k, k + n)))
 
     def of(self, run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's ended by the id 0, and the documents' offsets."""
@@ -107,14 +148,15 @@ class Tokens:
         parts = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(run))])
         solid = np.flatnonzero(~space[bounds[:-1]])
         coded = parts.take(pa.array(solid)).dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        number = [self.known.get(p, -1) for p in unique]
-        new = [p for p, k in zip(unique, number) if k < 0]
-        if new:
-            self._add(new)
-            number = [self.known[p] for p in unique]
+        unique = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.array(list(map(self.known.get, unique, itertools.repeat(-1))), np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            some = [unique[k] for k in new.tolist()]
+            self._add(some)
+            number[new] = [self.known[p] for p in some]
         self.latest = unique
-        which = np.array(number, np.int64)[coded.indices.to_numpy()]
+        which = number[coded.indices.to_numpy()]
         size = self.length[which]
         doc = np.searchsorted(at, bounds[solid], "right") - 1
         out_at = np.concatenate([[0], np.cumsum(np.bincount(doc, size, docs).astype(np.int64) + 1)])

@@ -268,3 +268,26 @@ def test_texts_longer_than_a_slice(spark):
     mine = {g.piece: (g.start, g.length, g.ids_crc32) for g in got if g.doc_id == 1}
     assert mine == {i // 2048: (i, len(ids[i : i + 2048]), zlib.crc32(ids[i : i + 2048].tobytes())) for i in range(0, len(ids), 2048)}
     check_shards(rows, sharding.shards(frame(spark, rows), 4).collect(), 4)
+
+
+def test_words_of_letters_are_told_apart_by_their_last_ids():
+    """A line a word, no end mark between: half the work. Their ids are still those of whole texts."""
+    tokens = packing.Tokens("word_bpe_49k.json")
+    words = [b + a for b in ("ersteinein", "un\u00e4ngtz", "\u01c4x", "\u0130a", "\u00d7", "\ufb01n", "a\u0301b", "x" * 300) for a in ("", ".", "?!,", ".a", "1", "'s", "\u00df.,")]
+    words += [chr(k) + "q" for k in range(0xA0, 0x260)]
+    given = []
+    plain = tokens.tokenizer
+
+    class Told:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **kw)
+
+    tokens.tokenizer = Told()
+    ids, at = tokens.of(*text_bytes(pa.array(words)))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [x + [0] for x in whole(words)]
+    lines = [x for text in given if tokens.mark not in text for x in text.split("\n")]
+    assert {"ersteinein", "ersteinein\u00df.,", "un\u00e4ngtz", "\u01c4x"} <= set(lines) and not {"\u0130a", "\u00d7", "a\u0301b"} & set(lines)
