@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm.corpora import frame, odd_rows
-from tests.llm.test_near import brute_classes
+from tests.llm.test_near import brute_classes, jobs_of
 from tests.llm.test_suffix import brute
 
 from kvloom.llm import near_dedup, packing
@@ -127,3 +127,19 @@ def test_classes_go_by_text_and_not_by_id(spark):
     got = near_dedup.one_of_each(frame(spark, [(i, t, "en", "s", 0, 0, "", "") for i, t in rows])).collect()
     kept = Counter((x.doc_id, (x.text or "")[:200]) for x in got)
     assert kept == Counter([(1, a[:200]), (2, b[:200]), (3, c[:200]), (None, d[:200]), (None, "")])
+
+
+def test_stage_of_near_duplicates_makes_few_tasks_of_few_rows(spark):
+    """The driver keeps a record of every task: many partitions of a small table must not make one each in every step."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows, got = odd_rows(), []
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        _, tasks = jobs_of(spark, "stage", lambda: got.extend(corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert Counter(str(r.doc_id) for r in got) == Counter({c for _, c in brute_classes(rows)})
+    assert tasks < 2600
