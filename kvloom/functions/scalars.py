@@ -22,7 +22,9 @@ def wanted(value: str | int, n: int) -> int:
 
 
 def epoch(ts: Column) -> Column:
-    return F.unix_timestamp(ts)
+    """Whole seconds since 1970, rounded, halves to even, as SQL casts them."""
+    whole, part = F.unix_timestamp(ts), F.extract(F.lit("SECOND"), ts) % 1
+    return whole + F.when((part > 0.5) | ((part == 0.5) & (whole % 2 != 0)), 1).otherwise(0)
 
 
 def from_epoch(seconds: Column) -> Column:

@@ -11,7 +11,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.functions import clocks, keyfilters
+from kvloom.functions import clocks, keyfilters, scalars
 from kvloom.model import DEFAULT_TYPE, MAX_KEY_BYTES, OBJECTS, POSTINGS, keystore_of, postings_of, sibling
 from kvloom.operators import reconcile
 from kvloom.operators.index import IndexesNotSupported
@@ -167,10 +167,10 @@ def routed(bucket: Column, default: str, prefixes: Mapping[str, str] = (), bucke
 
 
 def alive(rows: DataFrame, ttl: int, now: Column | None = None, last_mod: str | None = None) -> DataFrame:
-    """Rows not older than ``ttl`` seconds; those without a time stay."""
+    """Rows not older than ``ttl`` seconds, times rounded to whole ones; those without a time stay."""
     at = F.col(last_mod) if last_mod else F.array_max(F.transform("siblings", lambda s: s["last_mod"]))
     since = F.coalesce(now, F.current_timestamp()) if now is not None else F.current_timestamp()
-    return rows.filter(at.isNull() | (F.unix_timestamp(at) + ttl >= F.unix_timestamp(since)))
+    return rows.filter(at.isNull() | (scalars.epoch(at) + ttl >= scalars.epoch(since)))
 
 
 def synthetic(spark: SparkSession, n: int, bucket: str = "synthetic", size: int = 16) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kvloom.functions import clocks
+from kvloom.functions import clocks, scalars
 
 #: Priorities of queue entries, highest first served.
 REAL_TIME, FULL_SYNC, FOLD = 3, 2, 1
@@ -170,7 +170,7 @@ def repair_filter(repairs: DataFrame, most: int, key_range: bool = False) -> Dat
     The bucket with most repairs, if these are over two thirds of ``most``; else all buckets, if all repairs are over a third; else nothing. Times are
     epoch seconds, a second wider on both sides.
     """
-    seconds = F.unix_timestamp("last_mod")
+    seconds = scalars.epoch(F.col("last_mod"))
     by = repairs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low_key"), F.max("key").alias("high_key"), F.min(seconds).alias("low"), F.max(seconds).alias("high"))
     top = F.max(F.struct("n", "bucket", "low_key", "high_key", "low", "high"))
     found = by.agg(top.alias("top"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))

@@ -420,3 +420,17 @@ def test_queries_equal_their_sql(spark, duck, name):
     want = duck.sql(catalog.ORACLE_SQL[name])
     assert sorted(want.columns) == columns
     assert _canon(got.select(*columns).collect()) == _canon(want.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["s3_time_to_live", "s11_head", "d13_repair_filter"])
+def test_times_are_rounded_as_in_sql(spark, tmp_path, name):
+    c = duckdb.connect()
+    # half a second and more count as the next one, halves go to even ones; events without a time are not alive
+    at = "make_timestamp(1700000000500000 + CASE WHEN i % 2 = 0 THEN 1296000000000 ELSE 0 END + i // 2 * 250000)"
+    c.sql(f"COPY (SELECT i AS event_id, CASE WHEN i < 195 THEN {at} END AS ts FROM range(199) t(i)) TO '{tmp_path}/events.parquet'")
+    c.sql(f"COPY (SELECT i AS o_orderkey, i AS o_custkey, 'O' AS o_orderstatus, 1.0::DOUBLE AS o_totalprice, {at} AS o_orderdate, 'LOW' AS o_orderpriority FROM range(195) t(i)) TO '{tmp_path}/orders.parquet'")
+    for t in ("events", "orders"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = c.sql(catalog.ORACLE_SQL[name])
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    assert _canon(got.collect()) == _canon(want.fetchall())
