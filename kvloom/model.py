@@ -7,7 +7,7 @@ keystore  one row a key: what folds read, never the values
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,20 +72,41 @@ class Lens:
     def _value(self) -> Column:
         return F.to_json(F.struct(*self.value))
 
-    def objects(self, rows: DataFrame) -> DataFrame:
-        """A row a key; rows that share a key become siblings in one shuffle, and unique keys need none."""
-        entries = [x for name, e in self.indexes.items() for x in (F.lit(name), F.array(F.expr(e).cast("string")))]
-        links = F.array(*[F.struct(F.lit(b).alias("bucket"), F.expr(k).cast("string").alias("key"), F.lit(t).alias("tag")) for b, k, t in self.links])
-        one = sibling(
-            self._value(), last_mod=None if self.last_mod is None else F.expr(self.last_mod), deleted=None if self.deleted is None else F.expr(self.deleted), vtag=F.md5(self._value()),
-            indexes=F.create_map(*entries) if entries else None, links=links if self.links else None,
+    def _sibling(self, at: Callable[[str], Column], parts: Sequence[str] | None) -> Column:
+        """The sibling that a row is; ``at`` gives the value of an expression, ``parts`` the fields wanted, all if None."""
+        want = lambda part: parts is None or part in parts
+        value = F.to_json(F.struct(*[at(c).alias(c) for c in self.value])) if want("value") or want("vtag") else None
+        entries = [x for name, e in self.indexes.items() for x in (F.lit(name), F.array(at(e).cast("string")))] if want("indexes") else []
+        links = [F.struct(F.lit(b).alias("bucket"), at(k).cast("string").alias("key"), F.lit(t).alias("tag")) for b, k, t in self.links] if want("links") else []
+        return sibling(
+            value if want("value") else F.lit(None), last_mod=at(self.last_mod) if self.last_mod and want("last_mod") else None, deleted=at(self.deleted) if self.deleted and want("deleted") else None,
+            vtag=F.md5(value) if want("vtag") else None, indexes=F.create_map(*entries) if entries else None, links=F.array(*links) if links else None,
         )
-        clock = F.expr(self.clock) if self.clock else F.create_map(F.lit("origin"), F.lit(1).cast("bigint"))
-        each = rows.select(*self._named(), clock.cast("map<string,bigint>").alias("clock"), one.alias("s"))
+
+    def objects(self, rows: DataFrame, parts: Sequence[str] | None = None) -> DataFrame:
+        """A row a key; rows that share a key become siblings in one shuffle, and unique keys need none.
+
+        With ``parts`` the siblings' other fields stay empty. Only the columns that the parts are made of cross the network, each once.
+        """
+        none = F.create_map(F.lit("origin"), F.lit(1).cast("bigint"))
         if self.unique:
-            return each.select("bucket_type", "bucket", "key", "clock", F.array("s").alias("siblings"))
-        grouped = each.groupBy("bucket_type", "bucket", "key").agg(F.first("clock").alias("clock"), F.collect_list("s").alias("siblings"))
-        return grouped.select("bucket_type", "bucket", "key", "clock", "siblings")
+            clock = F.expr(self.clock) if self.clock else none
+            return rows.select(*self._named(), clock.cast("map<string,bigint>").alias("clock"), F.array(self._sibling(F.expr, parts)).alias("siblings"))
+        used: dict[str, str] = {}
+
+        def seen(e: str) -> Column:
+            used.setdefault(e, f"c{len(used)}")
+            return F.expr(e)
+
+        self._sibling(seen, parts)
+        if self.clock:
+            seen(self.clock)
+        each = rows.select(self._key().alias("key"), *[F.expr(e).alias(c) for e, c in used.items()])
+        # dealt out before they are gathered: hardly any two rows of a key meet sooner, and lists are wider than rows
+        grouped = each.repartition("key").groupBy("key").agg(F.collect_list(F.struct(*used.values()) if used else F.struct(F.lit(0))).alias("r"))
+        clock = F.col("r")[0][used[self.clock]] if self.clock else none
+        siblings = F.transform("r", lambda r: self._sibling(lambda e: r[used[e]], parts))
+        return grouped.select(*self._named()[:2], "key", clock.cast("map<string,bigint>").alias("clock"), siblings.alias("siblings"))
 
     def narrowed(self, rows: DataFrame, key: str) -> DataFrame:
         """Rows that may have ``key``: where keys are a whole-number column, a filter on it that the scan can take."""

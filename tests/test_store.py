@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import duckdb
 import pytest
 from pyspark.sql import Row
@@ -434,3 +436,22 @@ def test_times_are_rounded_as_in_sql(spark, tmp_path, name):
     want = c.sql(catalog.ORACLE_SQL[name])
     got = catalog.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
     assert _canon(got.collect()) == _canon(want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["x2_links", "s31_choose_sibling"])
+def test_siblings_are_made_behind_the_shuffle(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning", 1)[1]
+    assert not any(made in below for made in ("to_json", "md5", "map(", "collect_list"))
+
+
+def test_gathered_siblings_are_those_of_the_rows(spark):
+    lens = catalog.LENSES["lineitem"]
+    rows = lens.read(spark, SF).limit(500).localCheckpoint()
+    alone = replace(lens, unique=True).objects(rows)
+    text = lambda o: sorted(map(tuple, o.select("bucket_type", "bucket", "key", F.to_json("clock"), F.explode("siblings").alias("s")).select("bucket_type", "key", F.to_json("s")).collect()))
+    every = lens.objects(rows)
+    assert text(every) == text(alone) and every.dtypes == alone.dtypes and every.groupBy("key").count().filter("count > 1").isEmpty()
+    some = lens.objects(rows, ["links"])
+    assert some.columns == every.columns and some.select(F.explode("siblings.value").alias("v")).filter("v is not null").isEmpty()
+    assert sorted(map(tuple, sync.links(some).collect())) == sorted(map(tuple, sync.links(every).collect()))
